@@ -37,9 +37,9 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word), all long."""
     d = df.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     d = d.withColumn("_t", F.expr(f"coalesce(`{text}`, '')"))
-    d = d.withColumn("_trim", F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM _t)"))
+    d = d.withColumn("_trim", F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM _t)"))
     d = d.withColumn("_w", F.expr(f"CASE WHEN _trim = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split(_trim, '{WS}') END"))
-    d = d.withColumn("_lines", F.expr("filter(split(_t, '\n'), l -> trim(BOTH ' \\t\\u000B\\f\\r' FROM l) <> '')"))
+    d = d.withColumn("_lines", F.expr("filter(split(_t, '\n'), l -> trim(BOTH ' \\t\\u000B\\u000C\\r' FROM l) <> '')"))
     d = d.withColumn("_h", F.expr("CASE WHEN size(_w) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"))
     keep = [c for c in df.columns if c not in (*FEATURES, "n_lines")]
     d = d.select(
