@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL."""
 
-from . import quality_rules, substring_dedup, url_filter
+from . import ngram_join, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
