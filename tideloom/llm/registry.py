@@ -1,8 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from . import ngram_join, quality_rules, substring_dedup, url_filter
+from . import bpe, ngram_join, packing, quality_rules, substring_dedup, token_output, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_token_output": token_output.op6_token_output,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
