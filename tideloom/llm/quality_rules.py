@@ -104,6 +104,16 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return apply_rules(feats, select_cutoffs(feats, labels, key, stratum=stratum), stratum)
 
 
+def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. Only features and cutoffs are written, so texts are read twice and never shuffled."""
+    feats = materialize(with_features(docs.select(key, stratum, text), text).drop(text), "quality")
+    cutoffs = materialize(select_cutoffs(feats, labels, key, stratum=stratum), "cutoffs")
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}  # no clash with the features
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_stratum", F.col(names[stratum]))
+    judged = apply_rules(with_features(d, names[text]), cutoffs, "_stratum")
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = judge(docs.select("doc_id", "lang", "text"), labels)

@@ -1,8 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, ngram_join, packing, quality_rules, substring_dedup, token_output, url_filter
+from . import bpe, embedding_dedup, html_extract, ngram_join, packing, quality_cnn, quality_rules, substring_dedup, token_output, url_filter
 
 QUERIES = {
+    "op3_html_extract": html_extract.op3_html_extract,
+    "op9_quality_cnn": quality_cnn.op9_quality_cnn,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op1_bpe": bpe.op1_bpe,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_token_output": token_output.op6_token_output,
