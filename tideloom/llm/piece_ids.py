@@ -1,22 +1,26 @@
-"""Token ids of whole texts by the tokenizers library, asked once for each distinct piece.
+"""Token ids of whole texts by the tokenizers library, asked once for each distinct pre-token.
 
-No token crosses the places where texts are cut here, so a text's ids are those of its pieces in a row. For files that
-drop white space (a Split pre-tokenizer) pieces are runs without white space; for byte-level files they are runs with at most one space
-in front, and runs of white space. A special token's literal is cut out first. Pieces recur, so a bounded table of two generations
-in each worker process holds their ids (little-endian unsigned 32-bit).
+Texts are cut where no token crosses: for files that drop white space (a Split pre-tokenizer) into runs without white space; for
+byte-level files into runs with at most one space in front, and runs of white space. Those pieces are cut into pre-tokens by the file's
+pattern, and a pre-token's ids come from the library. Pieces and pre-tokens recur, so a bounded table of two generations in each worker
+process holds their ids (little-endian unsigned 32-bit). Pieces with a special token's literal, or with code points that this
+Python doesn't know, go to the library as they are.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 from array import array
 from functools import cache
 from itertools import chain
 
-from .bpe import SPACE
 
-LIMIT = 500_000
+from .bpe import SPACE, char_class
+
+LIMIT = 800_000  # entries of a generation
 BATCH_DOCS = 400
 
 
@@ -41,7 +45,13 @@ class PieceIds:
         self.space = re.compile(f"[{SPACE}]+")
         self.odd = re.compile("[\x1c-\x1f]")
         self.runs = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.new: dict[str, bytes] = {}
+        letters, numbers = char_class("L"), char_class("N")
+        sp = "" if self.drops else " ?"
+        digits = f"[{numbers}]" if self.drops else f" ?[{numbers}]+"
+        # the file's pattern; alternatives that can't start alike may change places
+        self.tokens = re.compile(f"{sp}[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|{digits}|{sp}[^{SPACE}{letters}{numbers}]+|[{SPACE}]+")
+        self.unknown = re.compile(f"[{_unassigned()}]")
+        self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -54,24 +64,58 @@ class PieceIds:
             return self.runs.findall(text)
         return [p for p in self.space.split(text) if p] if self.odd.search(text) else text.split()
 
+    def _split(self, piece: str) -> list[str]:
+        if (piece[1:] if piece[0] == " " else piece).isalpha() and (not self.drops or piece.isascii()):
+            return [piece.lower()] if self.drops else [piece]  # letters alone are one pre-token
+        if "<|" in piece or not (piece.isascii() or piece.isprintable()) and self.unknown.search(piece):
+            return [piece]
+        if self.drops:
+            if not piece.isascii():
+                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+            piece = piece.lower()
+        return self.tokens.findall(piece)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; null: none."""
         cut = [self.pieces(t or "") for t in texts]
-        seen = set(chain.from_iterable(cut))
-        if len(self.new) > LIMIT:
-            self.old, self.new = self.new, {}
-        lack = seen - self.new.keys()
-        if self.old:
-            back = lack & self.old.keys()
-            self.new.update(zip(back, map(self.old.__getitem__, back)))
-            lack -= back
+        if len(self.table) > LIMIT:
+            self.old, self.table = self.table, {}
+        lack = _take(set(chain.from_iterable(cut)), self.table, self.old)
         if lack:
-            ask = list(lack)
-            self.new.update(zip(ask, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(ask, add_special_tokens=False)]))
-        get = self.new.__getitem__
+            split = [(p, self._split(p)) for p in lack]
+            made = [(p, parts) for p, parts in split if parts != [p]]
+            ask = {p for p, parts in split if parts == [p]}
+            ask = list(ask | set(_take({w for _, parts in made for w in parts} - ask, self.table, self.old)))
+            if ask:
+                self.table.update(zip(ask, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(ask, add_special_tokens=False)]))
+            get = self.table.__getitem__
+            self.table.update([(p, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for p, parts in made])
+        get = self.table.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
 @cache
 def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
+
+
+def _take(keys: set[str], new: dict, old: dict) -> list[str]:
+    """What neither generation has; what the old one has is taken over."""
+    lack = keys - new.keys()
+    if old:
+        back = lack & old.keys()
+        new.update(zip(back, map(old.__getitem__, back)))
+        lack -= back
+    return list(lack)
+
+
+def _unassigned() -> str:
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        hit = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if hit and start is None:
+            start = c
+        elif not hit and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
