@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_side
 
 WS = r"[\\x20\\x09-\\x0D]+"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -105,13 +105,17 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Only features and cutoffs are written, so texts are read twice and never shuffled."""
-    feats = materialize(with_features(docs.select(key, stratum, text), text).drop(text), "quality")
-    cutoffs = materialize(select_cutoffs(feats, labels, key, stratum=stratum), "cutoffs")
-    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}  # no clash with the features
-    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_stratum", F.col(names[stratum]))
-    judged = apply_rules(with_features(d, names[text]), cutoffs, "_stratum")
-    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Features are computed once and written with each row's key and text hash; the rejected rows are taken out by an anti-join
+    on both (broadcast only if they are counted to be few).
+    """
+    th = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"), th.alias("text_hash"))
+    feats = materialize(with_features(slim, "text").drop("text"), "quality")
+    judged = apply_rules(feats, materialize(select_cutoffs(feats, labels, key), "cutoffs"))
+    gone = materialize(judged.where("NOT kept").select(F.col(key).alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
+    return docs.join(small_side(gone, 24), F.col(f"`{key}`").eqNullSafe(F.col("_gone")) & (th == F.col("_hash")), "left_anti")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,8 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_side(df: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows take at most ``most`` bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
