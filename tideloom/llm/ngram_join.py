@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .chunks import balanced_labels
 from .graph import connected_components, forest, local_roots
-from .shared import materialize, shuffle_partitions
+from .shared import materialize, shuffle_partitions, small_side
 from .wordhash import cut_points, mix, pack_sorted, powers, slices, unpack_sorted, window_hashes, word_hashes
 
 TILE_TOKENS, TILE_SETS = 1 << 20, 2048
@@ -230,7 +230,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
     cand = materialize(shared.join(classes, F.col("node") == F.col("_set")).select("_set", F.col("root").alias("_cluster"), "_first", "_n"), "cand")
     sizes = cand.groupBy("_cluster").agg(F.greatest(F.ceil(F.sum("_n") / TILE_TOKENS), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("_blocks"))
     cand = cand.join(sizes, "_cluster").select("_set", "_cluster", "_first", "_blocks", F.expr("CAST(pmod(xxhash64(_set), _blocks) AS INT)").alias("_block"))
-    texts = own.join(cand, F.col(key) == F.col("_first")).select("_set", "_cluster", "_block", "_blocks", text)
+    texts = own.join(small_side(cand), F.col(key) == F.col("_first")).select("_set", "_cluster", "_block", "_blocks", text)
     loaded = texts.mapInArrow(_load(n, text), "_set bigint, _cluster bigint, _block int, _blocks int, _tokens binary")
     tiles = loaded.select("_set", "_cluster", "_tokens", F.explode(F.expr("transform(sequence(0, _blocks - 1), j -> struct(least(j, _block) AS _i, greatest(j, _block) AS _j))")).alias("t")).select("_set", "_cluster", "t._i", "t._j", "_tokens")
     links = tiles.groupBy("_cluster", "_i", "_j").applyInArrow(_verify(t), "a bigint, b bigint")
@@ -245,7 +245,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that a smaller key's component holds. Columns as they are; keys are unique."""
     j = ngram_join(docs, n, threshold, key, text)
-    return docs.join(j.where(F.col("component_id") == F.col(key)).select(key), key, "left_semi")
+    gone = materialize(j.where(F.col("component_id") < F.col(key)).select(key), "gone")
+    return docs.join(small_side(gone, 16), key, "left_anti")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
