@@ -5,11 +5,13 @@ bands; group k holds the pairs whose smaller set is in band k. Two sets with sim
 there, so if hashing deals the universe into H_k + 1 segments, some segment's subset is the same in both. Each set indexes
 its segment subsets (a sum of element hashes) in its own group and in the one below.
 
-Empty subsets would match nearly everything. The allocation is by cost: a set gives its e empty segments no tolerance and
-pays for that with one-deletion neighbourhoods on the first segments until e of at least three elements are among
-them. If two similar sets share no filled subset, all other segments differ, at most e - 1 of them in more than one element, so
-one of those e differs in exactly one and the neighbourhoods meet. Only a set too small to pay indexes its empty segments. Sets
-that may differ in one element at most use the one-deletion neighbourhood of the whole set.
+Poor subsets (empty ones, and those of very frequent elements alone) would match nearly everything. The allocation is by cost: a
+set gives its e poor segments no tolerance and pays for that with one-deletion neighbourhoods on the first segments until e payers
+(three elements or more, two of them not frequent) are among them. If two similar sets share no other subset, all segments but
+the shared poor ones differ, at most e - 1 of them in more than one element, so some payer differs in exactly one and the
+neighbourhoods meet. Only a set that can't pay indexes its poor segments. This holds for any fixed list of frequent elements; the list
+is counted over all sets (in each batch first, then those of at least FREQUENT of all sets), so its size is bounded by the mean
+set size / FREQUENT. Sets that may differ in one element at most use the one-deletion neighbourhood of the whole set.
 
 Equal sets are one class (64-bit digest), so copies never meet in pairs. Signatures travel as packed blobs by hash range, and each
 range task sends on a spanning forest of what shares a signature. Candidate clusters are verified exactly on sets,
@@ -36,6 +38,7 @@ from .shared import materialize, shuffle_partitions, small_side
 from .wordhash import cut_points, mix, pack_sorted, powers, slices, unpack_sorted, window_hashes, word_hashes
 
 TILE_TOKENS, TILE_SETS = 1 << 20, 2048
+FREQUENT = 0.001  # share of all sets
 _SALT = np.uint64(0xA24BAED4963EE407)
 _GROUP, _PLACE, _EMPTY, _NEAR = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D))
 
@@ -64,7 +67,8 @@ def digest(s: np.ndarray) -> int:
 class Bands:
     """Size bands, difference bounds and signatures for a similarity threshold."""
 
-    def __init__(self, threshold: float | str):
+    def __init__(self, threshold: float | str, frequent: np.ndarray | None = None):
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else frequent  # ascending
         self.t = Fraction(str(threshold))
         self.upper: list[int] = []  # largest size of each band
         self.diff: list[int] = []  # H of each group
@@ -82,10 +86,15 @@ class Bands:
         k = self.band(len(s))
         e = mix(s ^ _SALT)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(e, dtype=np.uint64)])
-        return np.concatenate([self._group(s, e, sums, g) for g in ((k - 1, k) if k else (k,))])
-
-    def _group(self, s, e, sums, g) -> np.ndarray:
-        salt = np.uint64(g + 1) * _GROUP
+        rare = np.ones(len(s), bool)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
+            rare = self.frequent[at] != s
+        rares = np.concatenate([[0], np.cumsum(rare)])
+        return np.concatenate([self._group(s, e, sums, g, rare, rares) for g in ((k - 1, k) if k else (k,))])
+
+    def _group(self, s, e, sums, g, rare, rares) -> np.ndarray:
+        salt = np.uint64((g + 1) * int(_GROUP) % 2**64)
         h = self.diff[g]
         if h == 0:
             return mix(sums[-1:] + salt)
@@ -100,21 +109,24 @@ class Bands:
         size = np.diff(cut)
         place = np.arange(m, dtype=np.uint64) * _PLACE + salt
         sub = sums[cut[1:]] - sums[cut[:-1]]
-        full = size > 0
-        out = [sub[full] + place[full]]
-        empty = m - int(full.sum())
-        if empty:
-            paid = np.cumsum(size >= 3)
-            if paid[-1] < empty:
+        n_rare = rares[cut[1:]] - rares[cut[:-1]]
+        good = n_rare > 0
+        out = [sub[good] + place[good]]
+        poor = m - int(good.sum())
+        if poor:
+            paid = np.cumsum((size >= 3) & (n_rare >= 2))
+            if paid[-1] < poor:
                 end = m
-                out.append(place[~full] ^ _EMPTY)
+                out.append((sub[~good] + place[~good]) ^ _EMPTY)
             else:
-                end = int(np.searchsorted(paid, empty)) + 1
-            near = np.flatnonzero(size[:end] >= 2)
+                end = int(np.searchsorted(paid, poor)) + 1
+            near = np.flatnonzero((size[:end] >= 2) & good[:end])
             out.append((sub[near] + place[near]) ^ _NEAR)
             if len(near):
                 which = np.repeat(near, size[near])
                 inside = np.concatenate([np.arange(cut[j], cut[j + 1]) for j in near])
+                left = n_rare[which] - rare[inside] > 0  # what stays has an element that isn't frequent
+                which, inside = which[left], inside[left]
                 out.append((sub[which] - e[inside] + place[which]) ^ _NEAR)
         return mix(np.concatenate(out))
 
@@ -123,14 +135,27 @@ def _describe(n: int, key: str, text: str):
     def describe(batches):
         for b in batches:
             sets = list(text_sets(b[text], n))
-            yield pa.RecordBatch.from_arrays([b[key], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["_key", "n_shingles", "_set"])
+            tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+            often = counts >= max(8, 2 * FREQUENT * len(sets))
+            heavy = [list(zip(tokens[often].view(np.int64).tolist(), counts[often].tolist()))] + [None] * (len(sets) - 1)
+            yield pa.RecordBatch.from_arrays([
+                b[key], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([h and [{"t": t, "c": c} for t, c in h] for h in heavy[: len(sets)]], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))),
+            ], names=["_key", "n_shingles", "_set", "_heavy"])
 
     return describe
 
 
-def _index(n: int, text: str, threshold, buckets: list[int]):
+def frequent_elements(desc: DataFrame) -> np.ndarray:
+    """Elements that a batch found frequent and that reach FREQUENT of all sets; a bounded list, in ascending order."""
+    n = desc.count()
+    h = desc.where("_heavy IS NOT NULL").select(F.explode("_heavy").alias("h")).groupBy("h.t").agg(F.sum("h.c").alias("c")).where(F.col("c") >= max(8, FREQUENT * n))
+    return np.sort(np.array([r["t"] for r in h.select("t").collect()], np.int64).view(np.uint64))
+
+
+def _index(n: int, text: str, threshold, buckets: list[int], frequent: np.ndarray):
     def index(batches):
-        bands = Bands(threshold)
+        bands = Bands(threshold, frequent)
         for b in batches:
             seen, sigs, owners = set(), [], []
             for s in text_sets(b[text], n):
@@ -221,10 +246,10 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
     t = Fraction(str(threshold))
     own = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
     kind = dict(own.dtypes)[key]
-    desc = materialize(own.mapInArrow(_describe(n, key, text), f"_key {kind}, n_shingles bigint, _set bigint"), "sets")
+    desc = materialize(own.mapInArrow(_describe(n, key, text), f"_key {kind}, n_shingles bigint, _set bigint, _heavy array<struct<t:bigint,c:bigint>>"), "sets")
     classes = desc.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_key").alias("_first"), F.first("n_shingles").alias("_n"))
     buckets = balanced_labels(spark, parts, parts)
-    sent = own.select(text).mapInArrow(_index(n, text, str(threshold), buckets), "_bucket int, _sigs binary, _own binary")
+    sent = own.select(text).mapInArrow(_index(n, text, str(threshold), buckets, frequent_elements(desc)), "_bucket int, _sigs binary, _own binary")
     shared = connected_components(sent.groupBy("_bucket").applyInArrow(_share, "a bigint, b bigint"))
     # candidate clusters, each in as many blocks as its tokens and sets need
     cand = materialize(shared.join(classes, F.col("node") == F.col("_set")).select("_set", F.col("root").alias("_cluster"), "_first", "_n"), "cand")
