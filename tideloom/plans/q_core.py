@@ -93,7 +93,7 @@ def _scalars(s, d):
 
 
 SCAL = ["(bid + ask) / 2 AS mid", "(bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty) AS microprice", "ask - bid AS spread", "(ask - bid) / ((bid + ask) / 2) * 1e4 AS spread_bps", "(ask - bid) / ((bid + ask) / 2) AS rel_spread", "(ask - bid) / ((bid + ask) / 2) * 5e3 AS half_spread_bps", "(ln(ask) - ln(bid)) / 2 AS log_half_spread", "ln((bid + ask) / 2) AS log_mid", "(received_ts_ns - exchange_ts_ns) / 1e6 AS latency_ms", "pow(2, -ask_qty / 3) AS decay"]
-q("h1_h7_scalars", _scalars, [], f"SELECT venue, seq, {r(*SCAL)}, exchange_ts_ns // 60000000000 AS minute, hour(make_timestamp(exchange_ts_ns // 1000))::INT AS hour, (isodow(make_timestamp(exchange_ts_ns // 1000)) - 1)::INT AS weekday FROM ticks")
+q("h1_h7_scalars", _scalars, [], f"SELECT venue, seq, {r(*SCAL, digits=9)}, exchange_ts_ns // 60000000000 AS minute, hour(make_timestamp(exchange_ts_ns // 1000))::INT AS hour, (isodow(make_timestamp(exchange_ts_ns // 1000)) - 1)::INT AS weekday FROM ticks", digits=9)
 q("h8_parsing", lambda s, d: s.createDataFrame([("1.5", "1500000000000000000", "1700000000000", "1700000000.25", "2023-11-14T22:13:20.5Z"), ("x", "y", "z", "", "bad"), (None, None, None, None, None)], "n string, x18 string, ms string, sec string, rfc string").select(sc.to_double("n").alias("n"), sc.fixed18("x18").alias("x18"), sc.epoch_ns("ms", "ms").alias("ms"), sc.epoch_ns("sec", "s").alias("sec"), sc.epoch_ns("rfc", "rfc3339").alias("rfc"), F.lit("s").alias("symbol")),
   [], "SELECT * FROM (VALUES (1.5::DOUBLE, 1.5::DOUBLE, 1700000000000000000::BIGINT, 1700000000250000000::BIGINT, 1700000000500000000::BIGINT), (NULL, NULL, NULL, NULL, NULL), (NULL, NULL, NULL, NULL, NULL)) v(n, x18, ms, sec, rfc)")
 POOLS = [("a", "1461446703485210103287273052203988822378723970341", -7, 10, 18, 6, True, 3000), ("b", "79228162514264337593543950336", 13, 10, 18, 18, False, 500), ("c", "4295128739", -887272, 60, 6, 18, False, 100)]
