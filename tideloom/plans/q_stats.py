@@ -19,15 +19,15 @@ def q(name, fn, ctes=None, select=None, recursive=False, digits=6):
         SQL[name] = sql(ctes or [], select, recursive)
 
 
-W = Window.partitionBy(*KEY).orderBy("snap_ts_ns")
+W = lambda: Window.partitionBy(*KEY).orderBy("snap_ts_ns")
 lm = lambda s, d: snaps(s, d).withColumn("log_mid", F.ln("midquote")).withColumn("rel_spread", F.col("spread") / F.col("midquote")).withColumn("grp", F.lit("G"))
 LM = "lm AS (SELECT *, ln(midquote) AS log_mid, spread / midquote AS rel_spread FROM snaps)"
 RET = "rt AS (SELECT venue, snap_ts_ns, log_return AS x, row_number() OVER (PARTITION BY venue ORDER BY snap_ts_ns) - 1 AS p FROM snaps WHERE log_return IS NOT NULL)"
 q("f1_lag_return", lambda s, d: snaps(s, d).select(*KEY, "snap_ts_ns", "log_return").where("log_return IS NOT NULL"), [SNAPS_SQL], f"SELECT venue, snap_ts_ns, {r('log_return')} FROM snaps WHERE log_return IS NOT NULL")
 q("f2_interval_extremes", lambda s, d: snaps(s, d).select(*KEY, "snap_ts_ns", "mid_high", "mid_low"), [SNAPS_SQL], f"SELECT venue, snap_ts_ns, {r('mid_high', 'mid_low')} FROM snaps")
-q("f3_forward_diff", lambda s, d: snaps(s, d).select(*KEY, "snap_ts_ns", (F.lead("midquote", 5).over(W) - F.col("midquote")).alias("diff")), [SNAPS_SQL], f"SELECT venue, snap_ts_ns, {r('lead(midquote, 5) OVER (PARTITION BY venue ORDER BY snap_ts_ns) - midquote AS diff')} FROM snaps")
-q("f5_moving_average", lambda s, d: snaps(s, d).select(*KEY, "snap_ts_ns", F.avg("midquote").over(W.rowsBetween(-9, 0)).alias("ma")), [SNAPS_SQL], f"SELECT venue, snap_ts_ns, {r('avg(midquote) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ma')} FROM snaps")
-q("f7_asof_lookup", lambda s, d: jn.asof_join(ticks(s, d).where("venue = 'click'").select("symbol", "seq", "exchange_ts_ns"), ticks(s, d).where("venue = 'view'").select("symbol", "exchange_ts_ns", "seq", "bid"), ["symbol"], "exchange_ts_ns", "exchange_ts_ns", "seq").select("symbol", "seq", "r_seq", "r_bid"), [], f"SELECT a.seq, b.seq AS r_seq, {r('b.bid AS r_bid')} FROM (SELECT * FROM ticks WHERE venue = 'click') a ASOF LEFT JOIN (SELECT * FROM ticks WHERE venue = 'view') b ON a.exchange_ts_ns >= b.exchange_ts_ns")
+q("f3_forward_diff", lambda s, d: snaps(s, d).select(*KEY, "snap_ts_ns", (F.lead("midquote", 5).over(W()) - F.col("midquote")).alias("diff")), [SNAPS_SQL], f"SELECT venue, snap_ts_ns, {r('lead(midquote, 5) OVER (PARTITION BY venue ORDER BY snap_ts_ns) - midquote AS diff')} FROM snaps")
+q("f5_moving_average", lambda s, d: snaps(s, d).select(*KEY, "snap_ts_ns", F.avg("midquote").over(W().rowsBetween(-9, 0)).alias("ma")), [SNAPS_SQL], f"SELECT venue, snap_ts_ns, {r('avg(midquote) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ma')} FROM snaps")
+q("f7_asof_lookup", lambda s, d: jn.asof_join(ticks(s, d).where("venue = 'click'").select("symbol", "seq", "exchange_ts_ns"), ticks(s, d).where("venue = 'view'").select("symbol", "exchange_ts_ns", "seq", "bid"), ["symbol"], "exchange_ts_ns", "exchange_ts_ns", "seq").select("symbol", "seq", "r_seq", "r_bid").where("r_seq IS NOT NULL"), [], f"SELECT a.seq, b.seq AS r_seq, {r('b.bid AS r_bid')} FROM (SELECT * FROM ticks WHERE venue = 'click') a ASOF JOIN (SELECT * FROM ticks WHERE venue = 'view') b ON a.exchange_ts_ns >= b.exchange_ts_ns")
 tk = lambda s, d: ticks(s, d).withColumn("snap_ts_ns", (F.expr(f"exchange_ts_ns DIV {HOUR_NS}") + 1) * HOUR_NS)
 q("f8_join_snapshots", lambda s, d: jn.join_on_snapshot(tk(s, d).select("venue", "symbol", "seq", "snap_ts_ns"), st.cross_section(lm(s, d)).select("snap_ts_ns", "median")), [SNAPS_SQL, LM, "cs AS (SELECT snap_ts_ns, quantile_cont(log_mid, 0.5) AS median FROM lm GROUP BY ALL HAVING count(DISTINCT venue) >= 2)"], f"SELECT t.venue, t.seq, cs.snap_ts_ns, {r('median')} FROM ticks t JOIN cs ON cs.snap_ts_ns = (t.exchange_ts_ns // 3600000000000 + 1) * 3600000000000")
 q("f9_last_per_member", lambda s, d: jn.last_per(tk(s, d).select("venue", "symbol", "seq", "snap_ts_ns"), ["venue", "snap_ts_ns"], ["seq"]), [], "SELECT venue, max(seq) AS seq, (exchange_ts_ns // 3600000000000 + 1) * 3600000000000 AS snap_ts_ns FROM ticks GROUP BY ALL")
