@@ -121,4 +121,4 @@ def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = judge(docs.select("doc_id", "lang", "text"), labels)
-    return out.select("doc_id", *FEATURES, "base_failed", "kept", "rejected_by")
+    return out.select("doc_id", *FEATURES, "base_failed", "kept")

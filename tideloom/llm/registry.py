@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, embedding_dedup, html_extract, ngram_join, packing, quality_cnn, quality_rules, substring_dedup, token_output, url_filter
+from . import bpe, embedding_dedup, html_extract, ngram_join, oracles, packing, quality_cnn, quality_rules, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op3_html_extract": html_extract.op3_html_extract,
@@ -14,4 +14,9 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
-ORACLE_SQL = {"op5_url_filter": url_filter.OP5_SQL}
+ORACLE_SQL = {
+    "op2_substring_dedup": oracles.OP2_SQL,
+    "op5_url_filter": url_filter.OP5_SQL,
+    "op7_quality_rules": oracles.OP7_SQL,
+    "op10_embedding_dedup": oracles.OP10_SQL,
+}

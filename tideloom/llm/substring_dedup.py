@@ -148,4 +148,4 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = substring_dedup(docs, carry=["doc_id"])
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
