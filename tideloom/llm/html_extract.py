@@ -255,7 +255,8 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
                 facts.setdefault(f, Counter())[state[i]] += 1
     edge = [[v / sum(row) for v in row] for row in edge]
     spread = max(totals)
-    logs = {f: tuple(math.log((c[k] + smooth) / (totals[k] + smooth * spread / 100)) for k in range(3)) for f, c in facts.items()}
+    eps = lambda f: smooth / 10 if f.startswith("name=") else smooth  # names say most where they are never seen
+    logs = {f: tuple(math.log((c[k] + eps(f)) / (totals[k] + eps(f) * spread / 100)) for k in range(3)) for f, c in facts.items()}
     # only differences between states matter; a fact's mean is taken out to keep numbers small
     logs = {f: tuple(v - sum(w) / 3 for v in w) for f, w in logs.items()}
     return Model(edge, logs, [0.2, 0.1, 0.7])

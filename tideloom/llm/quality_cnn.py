@@ -26,12 +26,15 @@ BLOCK = 1 << 19  # bytes scored at once
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, each filled up with at least four zero bytes to whole half chunks; and the half chunks of each."""
-    halves = np.array([(len(t) + 4 + HALF - 1) // HALF for t in texts])
+    """All texts in one buffer, each between two zero bytes and at least four, in whole half chunks; and the half chunks of each.
+
+    So no window reaches from one text into the next.
+    """
+    halves = np.array([(len(t) + 6 + HALF - 1) // HALF for t in texts])
     buf = np.zeros(int(halves.sum()) * HALF + 2, np.uint8)
     at = 0
     for t, n in zip(texts, halves.tolist()):
-        buf[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        buf[at + 2 : at + 2 + len(t)] = np.frombuffer(t, np.uint8)
         at += n * HALF
     return buf, halves
 
