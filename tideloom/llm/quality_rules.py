@@ -36,26 +36,26 @@ EPS, ALPHA = 0.01, 0.05
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word), all long."""
     d = df.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-    d = d.withColumn("_t", F.expr(f"coalesce(`{text}`, '')"))
-    d = d.withColumn("_trim", F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM _t)"))
-    d = d.withColumn("_w", F.expr(f"CASE WHEN _trim = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split(_trim, '{WS}') END"))
-    d = d.withColumn("_lines", F.expr("filter(split(_t, '\n'), l -> trim(BOTH ' \\t\\u000B\\u000C\\r' FROM l) <> '')"))
-    d = d.withColumn("_h", F.expr("CASE WHEN size(_w) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"))
+    d = d.withColumn("_qr_t", F.expr(f"coalesce(`{text}`, '')"))
+    d = d.withColumn("_qr_trim", F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM _qr_t)"))
+    d = d.withColumn("_qr_w", F.expr(f"CASE WHEN _qr_trim = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split(_qr_trim, '{WS}') END"))
+    d = d.withColumn("_qr_lines", F.expr("filter(split(_qr_t, '\n'), l -> trim(BOTH ' \\t\\u000B\\u000C\\r' FROM l) <> '')"))
+    d = d.withColumn("_qr_h", F.expr("CASE WHEN size(_qr_w) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(_qr_w) - 3), i -> xxhash64(_qr_w[i], _qr_w[i + 1], _qr_w[i + 2])) END"))
     keep = [c for c in df.columns if c not in (*FEATURES, "n_lines")]
     d = d.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.expr("CAST(size(_w) AS BIGINT)").alias("n_words"),
-        F.expr("CAST(length(array_join(_w, '')) AS BIGINT)").alias("word_chars"),
-        F.expr("CAST(length(_t) - length(regexp_replace(_t, '[#*$%&|<>]+', '')) AS BIGINT)").alias("n_symbols"),
-        F.expr("CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)").alias("n_dup_lines"),
-        F.expr("CAST(size(_lines) AS BIGINT)").alias("n_lines"),
+        F.expr("CAST(size(_qr_w) AS BIGINT)").alias("n_words"),
+        F.expr("CAST(length(array_join(_qr_w, '')) AS BIGINT)").alias("word_chars"),
+        F.expr("CAST(length(_qr_t) - length(regexp_replace(_qr_t, '[#*$%&|<>]+', '')) AS BIGINT)").alias("n_symbols"),
+        F.expr("CAST(size(_qr_lines) - size(array_distinct(_qr_lines)) AS BIGINT)").alias("n_dup_lines"),
+        F.expr("CAST(size(_qr_lines) AS BIGINT)").alias("n_lines"),
         # sorted (hash, place) pairs of documents in which some window repeats
-        F.expr("CASE WHEN size(_h) > size(array_distinct(_h)) THEN sort_array(transform(_h, (h, i) -> struct(h AS h, i AS i))) END").alias("_s"),
+        F.expr("CASE WHEN size(_qr_h) > size(array_distinct(_qr_h)) THEN sort_array(transform(_qr_h, (h, i) -> struct(h AS h, i AS i))) END").alias("_qr_s"),
     )
-    d = d.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h OR x.h = get(_s, k + 1).h), x -> x.i))"))
+    d = d.withColumn("_qr_p", F.expr("sort_array(transform(filter(_qr_s, (x, k) -> x.h = get(_qr_s, k - 1).h OR x.h = get(_qr_s, k + 1).h), x -> x.i))"))
     # windows at places p cover [p, p + 2]; each adds what the next one doesn't
-    d = d.withColumn("n_repeat_words", F.expr("CAST(coalesce(aggregate(transform(_p, (x, k) -> least(3, coalesce(get(_p, k + 1), x + 3) - x)), 0, (a, x) -> a + x), 0) AS BIGINT)"))
-    return d.drop("_s", "_p").select(*keep, *FEATURES, "n_lines")
+    d = d.withColumn("n_repeat_words", F.expr("CAST(coalesce(aggregate(transform(_qr_p, (x, k) -> least(3, coalesce(get(_qr_p, k + 1), x + 3) - x)), 0, (a, x) -> a + x), 0) AS BIGINT)"))
+    return d.drop("_qr_s", "_qr_p").select(*keep, *FEATURES, "n_lines")
 
 
 def base_failed():
