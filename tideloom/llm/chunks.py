@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 
 
 def balanced_labels(spark: SparkSession, count: int, partitions: int) -> list[int]:

@@ -17,10 +17,10 @@ from array import array
 from functools import cache
 from itertools import chain
 
-
 from .bpe import SPACE, char_class
+from .shared import trim_memory
 
-LIMIT = 800_000  # entries of a generation
+LIMIT = 450_000  # entries of a generation, about 200 bytes each
 BATCH_DOCS = 400
 
 
@@ -30,6 +30,7 @@ class PieceIds:
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
+        trim_memory()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def small_side(df: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if its counted rows take at most ``most`` bytes; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system: a worker process lives through several stages and keeps what it once took."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

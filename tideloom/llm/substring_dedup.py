@@ -27,11 +27,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .chunks import balanced_labels, key_ranges
-from .shared import shuffle_partitions
+from .shared import shuffle_partitions, trim_memory
 from .wordhash import cut_points, pack_sorted, slices, unpack_sorted, window_hashes, word_hashes
 
 WINDOW = 20
-BUCKET_BYTES = 24 << 20  # of text behind one bucket
 OUT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_removed", T.LongType()),
@@ -84,6 +83,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _cut(width: int, text: str, key: str, schema: pa.Schema):
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        trim_memory()
         if not docs.num_rows:
             return schema.empty_table()
         docs = docs.take(pc.sort_indices(docs, sort_keys=[(key, "ascending"), (text, "ascending")], null_placement="at_start"))
@@ -135,7 +135,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     carry = [c for c in (carry or docs.columns) if c not in {f.name for f in OUT} and c not in ("_chunk", "_order")]
     at, labels, _ = key_ranges(docs, key, text)
     parts = shuffle_partitions(spark)
-    buckets = balanced_labels(spark, max(parts, len(labels)), parts)
+    buckets = balanced_labels(spark, max(parts, -(-len(labels) // 2)), parts)
     inner = list(dict.fromkeys([*carry, key, text]))
     dealt = docs.select(*[F.col(f"`{c}`") for c in inner], at.alias("_order")).withColumn("_chunk", F.element_at(F.array(*map(F.lit, labels)), F.col("_order") + 1))
     sent = dealt.groupBy("_chunk").applyInArrow(_send(window, buckets, text), SENT)
