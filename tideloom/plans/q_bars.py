@@ -33,7 +33,8 @@ live = lambda s, d: base_bars(s, d).where(F.col("open_time_ms") >= CUT)  # noqa:
 q("d6_warmup", lambda s, d: br.with_history(hist(s, d), live(s, d), 512).select(*KEY, "open_time_ms", "close"), [BARS_SQL], f"SELECT venue, open_time_ms, {r(f'CASE WHEN open_time_ms < {CUT} THEN close + 1 ELSE close END AS close')} FROM bars QUALIFY row_number() OVER (PARTITION BY venue ORDER BY open_time_ms DESC) <= 512")
 q("d7_bar_status", lambda s, d: br.bar_status(base_bars(s, d)), [BARS_SQL], f"SELECT venue, count(*) - 1 AS n_completed, {r('arg_max(close, open_time_ms) AS last_close', '((SELECT max(open_time_ms) FROM bars) - max(open_time_ms)) / 1000.0 AS partial_age_s')}, true AS has_ticks FROM bars GROUP BY venue")
 q("d9_return_bars", lambda s, d: br.return_bars(snaps(s, d), 6 * HOUR_NS, 6), [SNAPS_SQL, "c AS (SELECT venue, snap_ts_ns // 21600000000000 AS b, snap_ts_ns, sum(log_return) OVER (PARTITION BY venue, snap_ts_ns // 21600000000000 ORDER BY snap_ts_ns) AS c FROM snaps WHERE log_return IS NOT NULL), g AS (SELECT venue, b, greatest(max(c), 0) AS h, least(min(c), 0) AS l, arg_max(c, snap_ts_ns) AS c, count(*) AS n FROM c GROUP BY venue, b HAVING count(*) >= 3)"], f"SELECT venue, b * 21600000000000 AS bar_ts_ns, {r('greatest(0.5 * (h - l) * (h - l) - (2 * ln(2) - 1) * c * c, 0) AS gk')}, n FROM g")
-q("a11_backfill_merge", lambda s, d: files.with_backfill(live(s, d).where("venue = 'click'").drop("venue", "n_src"), hist(s, d).where("venue = 'click'").drop("venue", "n_src")).select("open_time_ms", "close", "symbol"), [BARS_SQL], f"SELECT open_time_ms, {r(f'CASE WHEN open_time_ms < {CUT} THEN close + 1 ELSE close END AS close')} FROM bars WHERE venue = 'click'")
+by_venue = lambda df: df.drop("symbol", "n_src").withColumnRenamed("venue", "symbol")
+q("a11_backfill_merge", lambda s, d: files.with_backfill(by_venue(live(s, d)), by_venue(hist(s, d))).select(F.col("symbol").alias("venue"), "open_time_ms", "close"), [BARS_SQL], f"SELECT venue, open_time_ms, {r(f'CASE WHEN open_time_ms < {CUT} THEN close + 1 ELSE close END AS close')} FROM bars")
 
 P = vol.VolParams(
     target_min=6, f_h=[1 + 0.02 * h for h in range(24)], f_d=[1 + 0.1 * x for x in range(7)],

@@ -45,7 +45,8 @@ q("f16_bar_expansion", lambda s, d: jn.expand_bars(snaps(s, d).select(*KEY, "sna
 
 CS = "cs AS (SELECT snap_ts_ns, quantile_cont(v, 0.5) AS median, avg(v) AS mean, count(*) AS n_venues FROM (SELECT snap_ts_ns, venue, avg(log_mid) AS v FROM lm GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 2), rs AS (SELECT lm.*, cs.median, log_mid - cs.median AS residual FROM lm JOIN cs ON lm.snap_ts_ns = cs.snap_ts_ns)"
 q("e15_cross_median", lambda s, d: st.cross_section(lm(s, d)), [SNAPS_SQL, LM, CS], f"SELECT snap_ts_ns, {r('median', 'mean')}, n_venues FROM cs")
-q("e15_pivot", lambda s, d: st.cross_section_pivot(lm(s, d), ["click", "view"]), [SNAPS_SQL, LM], f"SELECT snap_ts_ns, {r('avg(log_mid) FILTER (venue = $$click$$) AS click', 'avg(log_mid) FILTER (venue = $$view$$) AS view')} FROM lm GROUP BY snap_ts_ns".replace("$$", "'"))
+VENUES = ["click", "error", "purchase", "signup", "view"]
+q("e15_pivot", lambda s, d: st.cross_section_pivot(lm(s, d), VENUES), [SNAPS_SQL, LM], "SELECT snap_ts_ns, " + r(*[f"avg(log_mid) FILTER (venue = '{v}') AS {v}" for v in VENUES]) + " FROM lm GROUP BY snap_ts_ns")
 q("e16_rulers", lambda s, d: st.rulers(lm(s, d), least=100), [SNAPS_SQL, LM, CS], f"SELECT venue, count(residual) AS n, {r('avg(residual) AS bias', 'greatest(var_samp(residual) - pow(quantile_cont(rel_spread, 0.5), 2) / 12, 1e-12) AS noise_var')} FROM rs GROUP BY venue HAVING count(residual) >= 100")
 q("e17_residual_moments", lambda s, d: st.residual_moments(lm(s, d)), [SNAPS_SQL, LM, CS], f"SELECT venue, count(residual) AS n, {r('avg(residual) AS bias', 'greatest(var_pop(residual), 1e-14) AS noise_var')} FROM rs GROUP BY venue HAVING count(residual) >= 51")
 q("e18_autocov_noise", lambda s, d: st.noise_by_autocov(snaps(s, d), "log_return", KEY, ["snap_ts_ns"]), [SNAPS_SQL, RET, "a AS (SELECT venue, x, lead(x) OVER (PARTITION BY venue ORDER BY p) AS y FROM rt), b AS (SELECT venue, count(*) AS n, greatest(-2 * covar_pop(x, y), 0) AS nv, var_pop(x) AS v FROM a GROUP BY venue)"], f"SELECT venue, n, {r('nv AS noise_var', 'greatest(v - nv, 1e-12) AS signal_var')} FROM b")
@@ -68,8 +69,8 @@ q("e29_order_stats", lambda s, d: st.order_stats(ticks(s, d).withColumn("lat", (
 QUERIES["a23_latency_probe"], SQL["a23_latency_probe"] = QUERIES["e29_order_stats"], SQL["e29_order_stats"]
 
 rets = lambda s, d: snaps(s, d).withColumn("grp", F.col("venue")).select("grp", "snap_ts_ns", "log_return")
-q("m2_garch_grid", lambda s, d: cal.garch_grid(rets(s, d).where("grp = 'click'"), alphas=[0.05, 0.1], betas=[0.8, 0.85, 0.9]))
-q("m1_garch_fit", lambda s, d: cal.garch_fit(rets(s, d).where("grp = 'click'"), alphas=[0.05, 0.1], betas=[0.8, 0.9]))
+q("m2_garch_grid", lambda s, d: cal.garch_grid(rets(s, d), alphas=[0.05, 0.1], betas=[0.8, 0.85, 0.9]))
+q("m1_garch_fit", lambda s, d: cal.garch_fit(rets(s, d), alphas=[0.05, 0.1], betas=[0.8, 0.9]))
 q("m4_constant_vol", lambda s, d: cal.constant_vol(rets(s, d)), [SNAPS_SQL], f"SELECT venue AS grp, {r('var_pop(log_return) AS h')} FROM snaps GROUP BY venue")
 q("m4_ewma_vol", lambda s, d: cal.ewma_vol(rets(s, d), 0.1).select("grp", "snap_ts_ns", "h"), [SNAPS_SQL, RET, "e AS (SELECT venue, snap_ts_ns, p, (x * x)::DOUBLE AS h FROM rt WHERE p = 0 UNION ALL SELECT rt.venue, rt.snap_ts_ns, rt.p, 0.1 * rt.x * rt.x + 0.9 * e.h FROM e JOIN rt ON rt.venue = e.venue AND rt.p = e.p + 1)"], f"SELECT venue AS grp, snap_ts_ns, {r('h')} FROM e", True)
 q("m5_har_path", lambda s, d: cal.har_path(rets(s, d), 6 * HOUR_NS, 6, [1, 4], [0.5, 0.3], -0.2))
