@@ -144,10 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     usable = labels.where(~held_out(key)).where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.5
+    zero = np.zeros(FILTERS)
+    flat = Network(np.zeros((4, 256, FILTERS)), zero, zero, zero, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if len(counts) < 2:
-        share = counts.get(1, 0) / total if total else 0.5
-        zero = np.zeros(FILTERS)
-        return Network(np.zeros((4, 256, FILTERS)), zero, zero, zero, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+        return flat
     picks = None
     for v in sorted(counts):  # at most max_docs / 2 keys of each label
         part = usable.where(F.col("_y") == v).orderBy(F.xxhash64(key), key).limit(max_docs // 2)
@@ -162,6 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             texts.append(t)
             ys.append(rows[i]["_y"])
             size += len(t)
+    if len(set(ys)) < 2:
+        return flat
     weight = {v: counts[v] / total / max(1, ys.count(v)) * len(ys) for v in counts}
     return train(texts, ys, weight)
 
