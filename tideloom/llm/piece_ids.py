@@ -20,7 +20,7 @@ from itertools import chain
 from .bpe import SPACE, char_class
 from .shared import trim_memory
 
-LIMIT = 450_000  # entries of a generation, about 200 bytes each
+LIMIT = 600_000  # entries of a generation, about 200 bytes each
 BATCH_DOCS = 400
 
 
