@@ -7,7 +7,9 @@ text, punctuation) in each state. Messages go from the leaves to the root and ba
 text is kept if content is its most likely state. All potentials are smoothed counts over labelled pages; ``labelled_pages``
 builds such pages from parts of known kinds, and ``train`` takes any others of the same form.
 
-Scripts, styles, comments and other text that a browser doesn't show are never leaves. Kept runs of one block are put together, character
+Scripts, styles, comments and other text that a browser doesn't show are never leaves. A head ends where a browser ends it, with or without an
+end tag. In svg and math "/>" closes an element; formulas are shown but for their annotations, of drawings only what is in text or
+foreignObject. Kept runs of one block are put together, character
 references are decoded, white space becomes one space, and blocks are joined in page order by one space.
 
 Defined results: null or empty html: empty text. Broken markup is closed where it has to be; text without any tag is one block. Nesting of any
@@ -30,13 +32,21 @@ from pyspark.sql import types as T
 
 C, B, M = 0, 1, 2  # content, boilerplate, mixed
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-HIDDEN = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "datalist"}
+HIDDEN = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "object", "canvas", "audio", "video", "head", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "small", "sub", "sup", "u", "s", "code", "tt", "mark", "q", "abbr", "cite", "dfn", "kbd", "samp", "var", "time", "font", "big", "ins", "del", "bdi", "bdo", "wbr", "img", "br", "strike", "acronym", "ruby", "rt", "rp", "data"}
 #: What a start tag closes if it is open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Start tags that leave a head open; any other one and text close it.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template"}
+#: What isn't shown in svg and math, elements of formulas with text, elements with HTML inside, and start tags that end svg and math.
+UNSEEN = {"annotation", "annotation-xml", "mphantom", "desc", "metadata", "defs", "symbol", "clippath", "mask", "pattern", "marker"}
+MATH_TEXT = {"mi", "mn", "mo", "ms", "mtext"}
+POINTS = {"foreignobject", "desc", "title", *MATH_TEXT}
+BREAKOUT = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
+MOVED = re.compile(r"(?:^|\s)(?:x|y|dy)\s*=", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?=[a-zA-Z!?/])[^>]*>""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -55,17 +65,26 @@ def names_of(attrs: str) -> tuple[str, ...]:
     return tuple(w.lower() for m in ATTR.finditer(attrs) for w in NAME.findall(m[2] or m[3] or m[4] or "")) if attrs else ()
 
 
+def self_closed(attrs: str) -> bool:
+    """Whether a tag ends in "/>"; a slash at the end of a value without quotes belongs to the value."""
+    if not attrs.endswith("/"):
+        return False
+    last = attrs.rsplit(None, 1)[-1]
+    return "=" not in last[max(last.rfind('"'), last.rfind("'")) + 1 :]
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; leaves (tag #text) hold raw text. The first node is the root."""
     nodes = [Node("#root", (), -1)]
-    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node (its nearest), block
-    block, links, hidden, leaf, at, size = 0, 0, 0, None, 0, len(page)
+    stack: list[tuple[str, int, bool, int, str]] = [("#root", 0, False, 0, "")]  # tag, node (its nearest), block, hidden and space around it
+    block, links, leaf, at, size = 0, 0, None, 0, len(page)
+    hidden, space, glued = 0, "", False  # 1: a drawing outside its text, 2: never shown; svg, math or HTML; after a formula's text
     opened: Counter = Counter()
 
     def pop_to(i: int) -> None:
-        nonlocal block, links, hidden, leaf
+        nonlocal block, links, hidden, leaf, space, glued
         while len(stack) > i:
-            tag, node, is_block = stack.pop()
+            tag, node, is_block, hidden, space = stack.pop()
             opened[tag] -= 1
             if is_block:
                 block += 1
@@ -73,12 +92,15 @@ def parse(page: str) -> list[Node]:
             elif node != stack[-1][1]:
                 leaf = None
             links -= tag == "a"
-            hidden -= tag in HIDDEN
+            glued = glued or tag in MATH_TEXT
 
     def put(s: str) -> None:
-        nonlocal leaf
+        nonlocal leaf, glued
+        if s and stack[-1][0] == "head" and not s.isspace():
+            pop_to(len(stack) - 1)
         if hidden or not s:
             return
+        glued = False
         if leaf is None:
             if s.isspace() and (not nodes or nodes[-1].tag != "#text" or nodes[-1].block != block):
                 return
@@ -99,6 +121,10 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         tag = m[2]
         if not tag:
+            if (space or stack[-1][0] in MATH_TEXT) and page.startswith("<![CDATA[", m.start()):
+                end = page.find("]]>", m.start())
+                at = size if end < 0 else end + 3
+                put(html_lib.escape(page[m.start() + 9 : size if end < 0 else end]))
             continue
         tag = tag.lower()
         if m[1]:
@@ -107,6 +133,34 @@ def parse(page: str) -> list[Node]:
                     pop_to(i)
                     break
             continue
+        if space and (tag in BREAKOUT or tag == "font" and re.search(r"(?:^|\s)(?:color|face|size)\s*=", m[3], re.I)):
+            while space:
+                pop_to(len(stack) - 1)
+        if tag == "head" and stack[-1][0] not in ("#root", "html"):
+            continue
+        if stack[-1][0] == "head" and tag not in HEAD:
+            pop_to(len(stack) - 1)
+        if space or tag in ("svg", "math"):
+            inner = tag if tag in ("svg", "math") else space
+            inline = inner == "math" or tag in ("tspan", "textpath", "a")
+            if glued and tag in MATH_TEXT or tag == "tspan" and MOVED.search(m[3]):
+                put(" ")
+            if not inline:
+                block += 1
+                leaf = None
+            if self_closed(m[3]):
+                continue
+            level = 2 if tag in HIDDEN or tag in UNSEEN else max(hidden, 1) if tag == "svg" else 0 if hidden == 1 and tag in ("text", "foreignobject") else hidden
+            names, node = names_of(m[3]), stack[-1][1]
+            if not level and (names or not inline):
+                nodes.append(Node(tag, names, node, block))
+                node, leaf = len(nodes) - 1, None
+            stack.append((tag, node, not inline, hidden, space))
+            opened[tag] += 1
+            links += tag == "a"
+            html_inside = tag in POINTS or tag == "annotation-xml" and re.search(r"encoding\s*=\s*[\"']?(?:text/html|application/xhtml\+xml)", m[3], re.I)
+            hidden, space = level, "" if html_inside else inner
+            continue
         if tag == "br":
             put(" ")
             continue
@@ -118,7 +172,7 @@ def parse(page: str) -> list[Node]:
             if names and not hidden:
                 nodes.append(Node(tag, names, node, block))
                 node, leaf = len(nodes) - 1, None
-            stack.append((tag, node, False))
+            stack.append((tag, node, False, hidden, space))
             opened[tag] += 1
             links += tag == "a"
             continue
@@ -126,7 +180,7 @@ def parse(page: str) -> list[Node]:
             shut, stop = ({"p"}, set()) if tag in ENDS_P else (CLOSES[tag], HOLDS[tag])
             low = None
             for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in shut) else ():
-                if stack[i][0] in stop or (tag in ENDS_P and stack[i][0] in ("button", "td", "th", "table", "object")):
+                if stack[i][0] in stop or stack[i][0] in POINTS or (tag in ENDS_P and stack[i][0] in ("button", "td", "th", "table", "object")):
                     break
                 if stack[i][0] in shut:
                     low = i
@@ -140,10 +194,10 @@ def parse(page: str) -> list[Node]:
             continue
         if not hidden and tag not in HIDDEN:
             nodes.append(Node(tag, names_of(m[3]), stack[-1][1], block))
-            stack.append((tag, len(nodes) - 1, True))
+            stack.append((tag, len(nodes) - 1, True, hidden, space))
         else:
-            hidden += tag in HIDDEN
-            stack.append((tag, stack[-1][1], True))
+            stack.append((tag, stack[-1][1], True, hidden, space))
+            hidden = 2 if tag in HIDDEN else hidden
         opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
