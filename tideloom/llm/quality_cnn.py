@@ -6,7 +6,7 @@ A filter is a sum of one learned weight for each (place, byte); for scoring, the
 table over byte pairs, so a response is two table rows.
 
 Training is on the driver, on whole texts of at most ``max_docs`` labelled rows (half of each label as far as there are, chosen by
-a hash of the key, 6 MB of text at most), weighted back to the labels' shares. Labels are read only from rows with crc32(key as
+a hash of the key, 6 MB of text at most), weighted back to the labels' shares. Labels whose documents aren't in ``docs`` count for nothing. Labels are read only from rows with crc32(key as
 text) mod 5 not 0; neither labels nor other columns are inputs of a score.
 
 Defined results: null text is the empty text, which has a score too. No usable labels, or only one: every score is the share of label 1 (0.5 if
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import materialize
+
 FILTERS, HALF, MAX_DOCS, MAX_BYTES, EPOCHS, CUT = 16, 128, 2000, 6 << 20, 8, 0.3
 BLOCK = 1 << 19  # bytes scored at once
 
@@ -58,6 +60,11 @@ class Network:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, mean: np.ndarray, top: np.ndarray, shift: float):
         self.weights, self.bias, self.mean, self.top, self.shift = weights, bias, mean, top, shift
 
+    @property
+    def flat(self) -> bool:
+        """Whether it has learned nothing: every text has the same score."""
+        return not (self.mean.any() or self.top.any())
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         w = self.weights.astype(np.float32)
         pair = lambda a, b: np.ascontiguousarray((b[:, None, :] + a[None, :, :]).reshape(65536, -1))  # low byte first
@@ -142,6 +149,7 @@ def held_out(key: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = MAX_DOCS) -> Network:
     usable = labels.where(~held_out(key)).where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
+    usable = materialize(usable.join(docs.select(key), key, "left_semi"), "labelled")
     counts = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
