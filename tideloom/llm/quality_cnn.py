@@ -1,9 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Filters of four bytes move over the whole text in steps of two. Their responses are max-pooled in overlapping chunks of 256 bytes (every 128
+Filters of four bytes move over the whole text byte by byte. Their responses are max-pooled in overlapping chunks of 256 bytes (every 128
 bytes), passed through a bias and a rectifier, and the chunks' features are combined as mean and maximum into one logistic probability.
 A filter is a sum of one learned weight for each (place, byte); for scoring, the weights of two neighbouring places are summed into a
-table over byte pairs, so a response is two table rows.
+table over byte pairs, so a response is two table rows; pairs are read from even places and from odd ones.
 
 Training is on the driver, on whole texts of at most ``max_docs`` labelled rows (half of each label as far as there are, chosen by
 a hash of the key, 6 MB of text at most), weighted back to the labels' shares. Labels whose documents aren't in ``docs`` count for nothing. Labels are read only from rows with crc32(key as
@@ -28,31 +28,38 @@ BLOCK = 1 << 19  # bytes scored at once
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, each between two zero bytes and at least four, in whole half chunks; and the half chunks of each.
+    """All texts in one buffer, each between three zero bytes and at least three, in whole half chunks; and the half chunks of each.
 
     So no window reaches from one text into the next.
     """
     halves = np.array([(len(t) + 6 + HALF - 1) // HALF for t in texts])
-    buf = np.zeros(int(halves.sum()) * HALF + 2, np.uint8)
+    buf = np.zeros(int(halves.sum()) * HALF + 4, np.uint8)
     at = 0
     for t, n in zip(texts, halves.tolist()):
-        buf[at + 2 : at + 2 + len(t)] = np.frombuffer(t, np.uint8)
+        buf[at + 3 : at + 3 + len(t)] = np.frombuffer(t, np.uint8)
         at += n * HALF
     return buf, halves
 
 
+def byte_pairs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that begin at even bytes and those that begin at odd ones, one more than half chunks hold."""
+    return buf[:-2].view("<u2"), buf[1:-1].view("<u2")
+
+
 def pooled(buf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Maximum response of each filter in each half chunk. ``one``, ``two``: responses by byte pair."""
-    pairs = buf.view("<u2")
-    n = (len(pairs) - 1) * 2 // HALF
+    both = byte_pairs(buf)
+    n = (len(both[0]) - 1) * 2 // HALF
     out = np.empty((n, one.shape[1]), np.float32)
     step = BLOCK // HALF
     for lo in range(0, n, step):
         hi = min(n, lo + step)
         a, b = lo * HALF // 2, hi * HALF // 2
-        y = one[pairs[a:b]]
-        y += two[pairs[a + 1 : b + 1]]
-        y.reshape(hi - lo, HALF // 2, -1).max(1, out=out[lo:hi])
+        for k, pairs in enumerate(both):
+            y = one[pairs[a:b]]
+            y += two[pairs[a + 1 : b + 1]]
+            y = y.reshape(hi - lo, HALF // 2, -1).max(1)
+            out[lo:hi] = np.maximum(out[lo:hi], y) if k else y
     return out
 
 
@@ -106,14 +113,15 @@ def train(texts: list[bytes], labels: list[int], weight: dict[int, float], epoch
             net = Network(p["w"], p["b"], p["m"], p["t"], 0.0)
             one, two = net.tables()
             buf, halves = padded([texts[i] for i in at])
-            pairs = buf.view("<u2")
             n = int(halves.sum())
-            resp = one[pairs[:-1]]
-            resp += two[pairs[1:]]
-            resp = resp.reshape(n, HALF // 2, FILTERS)
-            best = resp.argmax(1)
-            half = np.take_along_axis(resp, best[:, None, :], 1)[:, 0]
-            place = best + np.arange(n)[:, None] * (HALF // 2)
+            half = place = None
+            for k, pairs in enumerate(byte_pairs(buf)):
+                resp = one[pairs[:-1]]
+                resp += two[pairs[1:]]
+                resp = resp.reshape(n, HALF // 2, FILTERS)
+                best = resp.argmax(1)
+                high, where = np.take_along_axis(resp, best[:, None, :], 1)[:, 0], 2 * best + k + np.arange(n)[:, None] * HALF
+                half, place = (high, where) if half is None else (np.maximum(half, high), np.where(high > half, where, place))
             first = np.cumsum(halves) - halves
             raw = chunk_features(half, halves, first)
             nxt = np.minimum(np.arange(n) + 1, n - 1)
@@ -132,7 +140,7 @@ def train(texts: list[bytes], labels: list[int], weight: dict[int, float], epoch
             gw = np.zeros_like(p["w"])
             f = np.broadcast_to(np.arange(FILTERS), dh.shape)
             for k in range(4):
-                np.add.at(gw[k], (buf[2 * place + k], f), dh)
+                np.add.at(gw[k], (buf[place + k], f), dh)
             grads = {"w": gw + 1e-5 * p["w"], "b": dh.sum(0), "m": mean.T @ g, "t": top.T @ g, "s": np.array([g.sum()])}
             step += 1
             for k, v in grads.items():
