@@ -69,15 +69,15 @@ q("e29_order_stats", lambda s, d: st.order_stats(ticks(s, d).withColumn("lat", (
 QUERIES["a23_latency_probe"], SQL["a23_latency_probe"] = QUERIES["e29_order_stats"], SQL["e29_order_stats"]
 
 rets = lambda s, d: snaps(s, d).withColumn("grp", F.col("venue")).select("grp", "snap_ts_ns", "log_return")
-q("m2_garch_grid", lambda s, d: cal.garch_grid(rets(s, d), alphas=[0.05, 0.1], betas=[0.8, 0.85, 0.9]))
-q("m1_garch_fit", lambda s, d: cal.garch_fit(rets(s, d), alphas=[0.05, 0.1], betas=[0.8, 0.9]))
+q("m2_garch_grid", lambda s, d: cal.garch_grid(rets(s, d)))
+q("m1_garch_fit", lambda s, d: cal.garch_fit(rets(s, d)))
 q("m4_constant_vol", lambda s, d: cal.constant_vol(rets(s, d)), [SNAPS_SQL], f"SELECT venue AS grp, {r('var_pop(log_return) AS h')} FROM snaps GROUP BY venue")
 q("m4_ewma_vol", lambda s, d: cal.ewma_vol(rets(s, d), 0.1).select("grp", "snap_ts_ns", "h"), [SNAPS_SQL, RET, "e AS (SELECT venue, snap_ts_ns, p, (x * x)::DOUBLE AS h FROM rt WHERE p = 0 UNION ALL SELECT rt.venue, rt.snap_ts_ns, rt.p, 0.1 * rt.x * rt.x + 0.9 * e.h FROM e JOIN rt ON rt.venue = e.venue AND rt.p = e.p + 1)"], f"SELECT venue AS grp, snap_ts_ns, {r('h')} FROM e", True)
 q("m5_har_path", lambda s, d: cal.har_path(rets(s, d), 6 * HOUR_NS, 6, [1, 4], [0.5, 0.3], -0.2))
 q("m6_observations", lambda s, d: cal.observations(lm(s, d).select("grp", "venue", "snap_ts_ns", "log_mid")), [SNAPS_SQL, LM, "o AS (SELECT venue, snap_ts_ns, log_mid, dense_rank() OVER (ORDER BY snap_ts_ns) - 1 AS step, lag(log_mid) OVER (PARTITION BY venue ORDER BY snap_ts_ns) AS pl FROM lm), n AS (SELECT *, max(CASE WHEN pl IS NULL OR log_mid <> pl THEN step END) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS UNBOUNDED PRECEDING) AS ls FROM o)"], f"SELECT 'G' AS grp, venue, snap_ts_ns, {r('log_mid')}, step::INT AS step, greatest(step - ls, 0)::INT AS age FROM n")
 obs = lambda s, d: cal.observations(lm(s, d).select("grp", "venue", "snap_ts_ns", "log_mid"))
 rul = lambda s: s.createDataFrame([("G", v, 0.01 * i, 0.1) for i, v in enumerate(("click", "view", "purchase", "signup", "error"))], "grp string, venue string, bias double, noise_var double")
-q("m8_em_rulers", lambda s, d: cal.fit_rulers_em(obs(s, d), 0.01, 5))
+q("m8_em_rulers", lambda s, d: cal.fit_rulers_em(obs(s, d), 0.01))
 q("m9_replay", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01))
 q("m7_smoother", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01, backward=True))
 q("m10_score", lambda s, d: st.score(snaps(s, d), "log_return", ["venue"], ["snap_ts_ns"]))
