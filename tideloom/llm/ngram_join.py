@@ -13,9 +13,12 @@ neighbourhoods meet. Only a set that can't pay indexes its poor segments. This h
 is counted over all sets (in each batch first, then those of at least FREQUENT of all sets), so its size is bounded by the mean
 set size / FREQUENT. Sets that may differ in one element at most use the one-deletion neighbourhood of the whole set.
 
-Equal sets are one class (64-bit digest), so copies never meet in pairs. Signatures travel as packed blobs by hash range, and each
-range task sends on a spanning forest of what shares a signature. Candidate clusters are verified exactly on sets,
-in tiles of bounded size; tiles send on spanning forests again. Link components come from star steps.
+Equal sets are one class (64-bit digest), so copies never meet in pairs. Signatures travel as packed blobs by hash range; the number
+of ranges follows the counted shingles, so a range is of bounded size, and sends on a spanning forest of what shares a
+signature. Candidate clusters are verified exactly on sets, in tiles of bounded size: a few pivots are compared with all sets of
+the tile, and pairs inside the largest component found so are left out, as they can't change a component. Other pairs
+are counted in strips, frequent tokens by a matrix product and rare ones over their posting lists. Tiles send on spanning forests
+again; components come from star steps. Classes of very many rows get their component by a broadcast of bounded size.
 
 Defined results: null, empty or blank text: empty set, linked with nothing. Fewer words than n: the whole sequence is the one element.
 Equal texts are always linked (unless empty). Repeated rows all come back. Extra columns stay; equal names are replaced.
@@ -34,10 +37,13 @@ from pyspark.sql import functions as F
 
 from .chunks import balanced_labels
 from .graph import connected_components, forest, local_roots
-from .shared import materialize, shuffle_partitions, small_side
+from .shared import materialize, shuffle_partitions, small_side, trim_memory
 from .wordhash import cut_points, mix, pack_sorted, powers, slices, unpack_sorted, window_hashes, word_hashes
 
-TILE_TOKENS, TILE_SETS = 1 << 20, 2048
+TILE_TOKENS, TILE_SETS = 1 << 19, 2048
+RANGE_ENTRIES, FLUSH = 1 << 20, 1 << 20  # signatures in a range of the hash space (about), and those that a sender packs at once
+CELLS, PIVOTS, DENSE = 1 << 21, 6, 14  # of a strip; compared with all; a token in a DENSE-th of the sets counts by matrix product
+HEAVY = 20  # classes of more than rows / (HEAVY * partitions) rows are broadcast, so at most HEAVY * partitions
 FREQUENT = 0.001  # share of all sets
 _SALT = np.uint64(0xA24BAED4963EE407)
 _GROUP, _PLACE, _EMPTY, _NEAR = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D))
@@ -133,48 +139,58 @@ class Bands:
 
 def _describe(n: int, key: str, text: str):
     def describe(batches):
-        for b in batches:
-            sets = list(text_sets(b[text], n))
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = counts >= max(8, 2 * FREQUENT * len(sets))
-            heavy = [list(zip(tokens[often].view(np.int64).tolist(), counts[often].tolist()))] + [None] * (len(sets) - 1)
-            yield pa.RecordBatch.from_arrays([
-                b[key], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([h and [{"t": t, "c": c} for t, c in h] for h in heavy[: len(sets)]], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))),
-            ], names=["_key", "n_shingles", "_set", "_heavy"])
+        for whole in batches:
+            for lo, hi, *_ in slices(whole[text], 8 << 20):
+                b = whole.slice(lo, hi - lo)
+                sets = list(text_sets(b[text], n))
+                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+                often = counts >= max(8, 2 * FREQUENT * len(sets))
+                heavy = [list(zip(tokens[often].view(np.int64).tolist(), counts[often].tolist()))] + [None] * (len(sets) - 1)
+                yield pa.RecordBatch.from_arrays([
+                    b[key], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([h and [{"t": t, "c": c} for t, c in h] for h in heavy], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))),
+                ], names=["_key", "n_shingles", "_set", "_heavy"])
+        trim_memory()
 
     return describe
 
 
-def frequent_elements(desc: DataFrame) -> np.ndarray:
-    """Elements that a batch found frequent and that reach FREQUENT of all sets; a bounded list, in ascending order."""
-    n = desc.count()
+def frequent_elements(desc: DataFrame, n: int) -> np.ndarray:
+    """Elements that a batch found frequent and that reach FREQUENT of all ``n`` sets; a bounded list, in ascending order."""
     h = desc.where("_heavy IS NOT NULL").select(F.explode("_heavy").alias("h")).groupBy("h.t").agg(F.sum("h.c").alias("c")).where(F.col("c") >= max(8, FREQUENT * n))
     return np.sort(np.array([r["t"] for r in h.select("t").collect()], np.int64).view(np.uint64))
 
 
 def _index(n: int, text: str, threshold, buckets: list[int], frequent: np.ndarray):
+    def packed(sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        h, own = np.concatenate(sigs), np.concatenate(owners)
+        order = np.argsort(h)
+        h, own = h[order], own[order]
+        cuts = cut_points(h, len(buckets))
+        full = np.flatnonzero(np.diff(cuts))
+        return pa.RecordBatch.from_arrays([
+            pa.array([buckets[k] for k in full], pa.int32()),
+            pa.array([pack_sorted(h[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()),
+            pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()),
+        ], names=["_bucket", "_sigs", "_own"])
+
     def index(batches):
         bands = Bands(threshold, frequent)
+        sigs, owners, held = [], [], 0
         for b in batches:
-            seen, sigs, owners = set(), [], []
+            seen = set()
             for s in text_sets(b[text], n):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     sigs.append(np.unique(bands.signatures(s)))
                     owners.append(np.full(len(sigs[-1]), d, np.int64))
-            if not sigs:
-                continue
-            h, own = np.concatenate(sigs), np.concatenate(owners)
-            order = np.argsort(h)
-            h, own = h[order], own[order]
-            cuts = cut_points(h, len(buckets))
-            full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([buckets[k] for k in full], pa.int32()),
-                pa.array([pack_sorted(h[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()),
-                pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()),
-            ], names=["_bucket", "_sigs", "_own"])
+                    held += len(sigs[-1])
+                    if held >= FLUSH:
+                        yield packed(sigs, owners)
+                        sigs, owners, held = [], [], 0
+        if sigs:
+            yield packed(sigs, owners)
+        trim_memory()
 
     return index
 
@@ -200,27 +216,83 @@ def _load(n: int, text: str):
     return load
 
 
-def link_matrix(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
-    """Which pairs of sets reach the threshold, exactly."""
-    size = np.array([len(s) for s in sets])
-    tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(tokens, kind="stable")
-    tokens, who = tokens[order], who[order]
-    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-    col = np.cumsum(new) - 1
-    shared = np.bincount(col)[col] > 1
-    who, col = who[shared], col[shared]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    if len(col):
-        col = np.cumsum(np.concatenate([[0], col[1:] != col[:-1]]))
-        width = max(256, min(4096, (1 << 24) // len(sets)))
-        for lo in range(0, int(col[-1]) + 1, width):
-            a, b = np.searchsorted(col, [lo, lo + width])
-            x = np.zeros((len(sets), width), np.float32)
-            x[who[a:b], col[a:b] - lo] = 1
-            both += x @ x.T
-    i = both.astype(np.int64)
-    return i * threshold.denominator >= threshold.numerator * (size[:, None] + size[None, :] - i)
+class Postings:
+    """Sets over the tokens that at least two of them share, for exact intersection sizes."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, who = tokens[order], who[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        first = np.flatnonzero(new)
+        df = np.diff(np.append(first, len(tokens)))
+        keep = np.repeat(df > 1, df)
+        self.members, self.df = who[keep], df[df > 1]  # sets by token, ascending
+        self.begin = np.cumsum(self.df) - self.df
+        column = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        order = np.argsort(self.members, kind="stable")
+        self.columns = column[order]  # tokens by set
+        self.place = np.searchsorted(self.members[order], np.arange(len(sets) + 1))
+        self.dense = self.df * DENSE >= len(sets)
+
+    def shared(self, rows: np.ndarray) -> np.ndarray:
+        """Intersection sizes of the sets ``rows`` with all sets."""
+        n = len(self.size)
+        out = np.zeros((len(rows), n), np.int32)
+        count = self.place[rows + 1] - self.place[rows]
+        at = np.repeat(np.arange(len(rows)), count)
+        cols = self.columns[np.repeat(self.place[rows] - (np.cumsum(count) - count), count) + np.arange(len(at))]
+        dense = self.dense[cols]
+        which = np.unique(cols[dense])
+        width = max(64, CELLS // max(1, n))
+        for lo in range(0, len(which), width):
+            part = which[lo : lo + width]
+            right = np.zeros((len(part), n), np.float32)
+            for k, c in enumerate(part.tolist()):
+                right[k, self.members[self.begin[c] : self.begin[c] + self.df[c]]] = 1
+            mine = dense & (cols >= part[0]) & (cols <= part[-1])
+            left = np.zeros((len(rows), len(part)), np.float32)
+            left[at[mine], np.searchsorted(part, cols[mine])] = 1
+            out += (left @ right).astype(np.int32)
+        at, cols = at[~dense], cols[~dense]
+        ends = np.cumsum(self.df[cols])
+        flat, lo = out.ravel(), 0
+        while lo < len(cols):  # as many posting lists at once as fit
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")))
+            df = self.df[cols[lo:hi]]
+            total = int(df.sum())
+            inside = np.arange(total) - np.repeat(np.cumsum(df) - df, df)
+            cell = np.repeat(at[lo:hi] * n, df) + self.members[np.repeat(self.begin[cols[lo:hi]], df) + inside]
+            flat += np.bincount(cell, minlength=len(flat)).astype(np.int32)
+            lo = hi
+        return out
+
+
+def tile_roots(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+    """Of each set the first set of its component, over the pairs that reach the threshold exactly."""
+    n = len(sets)
+    root, post = np.arange(n), Postings(sets)
+
+    def join(rows: np.ndarray) -> np.ndarray:
+        both = post.shared(rows).astype(np.int64)
+        u, v = np.nonzero(both * threshold.denominator >= threshold.numerator * (post.size[rows, None] + post.size[None, :] - both))
+        return local_roots(np.concatenate([np.arange(n), rows[u]]), np.concatenate([root, v]), n)
+
+    done = np.zeros(n, bool)
+    for _ in range(PIVOTS):
+        sizes = np.bincount(root[~done], minlength=n)
+        if sizes.max() == n or done.all():
+            break
+        pick = np.flatnonzero((root == sizes.argmax()) & ~done)[:1]
+        done[pick] = True
+        root = join(pick)
+    rest = np.flatnonzero((root != np.bincount(root, minlength=n).argmax()) & ~done)
+    step = max(1, CELLS // n)
+    for lo in range(0, len(rest), step):
+        root = join(rest[lo : lo + step])
+    return root
 
 
 def _verify(threshold: Fraction):
@@ -230,9 +302,7 @@ def _verify(threshold: Fraction):
         sets = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in first]
         if len(sets) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        linked = link_matrix(sets, threshold)
-        u, v = np.nonzero(np.triu(linked, 1))
-        root = local_roots(u, v, len(sets))
+        root = tile_roots(sets, threshold)
         moved = np.flatnonzero(root != np.arange(len(sets)))
         return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
 
@@ -247,9 +317,12 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
     own = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
     kind = dict(own.dtypes)[key]
     desc = materialize(own.mapInArrow(_describe(n, key, text), f"_key {kind}, n_shingles bigint, _set bigint, _heavy array<struct<t:bigint,c:bigint>>"), "sets")
-    classes = desc.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_key").alias("_first"), F.first("n_shingles").alias("_n"))
-    buckets = balanced_labels(spark, parts, parts)
-    sent = own.select(text).mapInArrow(_index(n, text, str(threshold), buckets, frequent_elements(desc)), "_bucket int, _sigs binary, _own binary")
+    classes = desc.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_key").alias("_first"), F.first("n_shingles").alias("_n"), F.count("*").alias("_rows"))
+    total = desc.agg(F.count("*"), F.sum("n_shingles")).first()
+    # about two signatures for each shingle's share of the difference bound, in two groups; neighbourhoods come on top
+    ranges = max(parts, -(-int((total[1] or 0) * 4 * (1 - t) / (1 + t)) // RANGE_ENTRIES))
+    buckets = balanced_labels(spark, ranges, parts)
+    sent = own.select(text).mapInArrow(_index(n, text, str(threshold), buckets, frequent_elements(desc, total[0])), "_bucket int, _sigs binary, _own binary")
     shared = connected_components(sent.groupBy("_bucket").applyInArrow(_share, "a bigint, b bigint"))
     # candidate clusters, each in as many blocks as its tokens and sets need
     cand = materialize(shared.join(classes, F.col("node") == F.col("_set")).select("_set", F.col("root").alias("_cluster"), "_first", "_n"), "cand")
@@ -263,8 +336,18 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
     smallest = comp.join(classes, F.col("node") == F.col("_set")).select("node", "root", "_first")
     by_root = smallest.groupBy("root").agg(F.min("_first").alias("_least")).withColumnRenamed("root", "_root")
     linked = smallest.join(by_root, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "_least")
-    ids = classes.join(linked, F.col("_set") == F.col("_node"), "left").select(F.col("_set").alias("_class"), F.coalesce("_least", "_first").alias("_id"))
-    return desc.join(ids, F.col("_set") == F.col("_class"), "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("_id", "_key").alias("component_id"))
+    ids = materialize(classes.join(linked, F.col("_set") == F.col("_node"), "left").select(F.col("_set").alias("_class"), F.coalesce("_least", "_first").alias("_id"), "_rows"), "ids")
+    return _named(desc, ids, total[0] / (HEAVY * parts)).select(F.col("_key").alias(key), "n_shingles", F.coalesce("_id", "_key").alias("component_id"))
+
+
+def _named(desc: DataFrame, ids: DataFrame, limit: float) -> DataFrame:
+    """``desc`` with ``_id``. Classes of over ``limit`` rows are few and broadcast; their rows, and those without a set, spread by their key."""
+    heavy = F.broadcast(ids.where(F.col("_rows") > limit).select(F.col("_class").alias("_heavy"), F.col("_id").alias("_heavy_id")))
+    light = ids.where(F.col("_rows") <= limit).select("_class", "_id", F.lit(True).alias("_light"))
+    d = desc.select("_key", "n_shingles", "_set").join(heavy, F.col("_set") == F.col("_heavy"), "left")
+    d = d.withColumn("_go", F.expr("_set IS NOT NULL AND _heavy IS NULL")).withColumn("_j", F.expr("CASE WHEN _go THEN _set ELSE xxhash64(_key, n_shingles, monotonically_increasing_id()) END"))
+    d = d.join(light, (F.col("_j") == F.col("_class")) & (F.col("_go") == F.col("_light")), "left")
+    return d.select("_key", "n_shingles", F.coalesce("_heavy_id", "_id").alias("_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,6 +57,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: s
                             ids.append(np.frombuffer(part, np.int32))
                 rows = rows.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[rows[c] for c in carry], pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=[*carry, *[f.name for f in fields]])
+        tok.rest()
 
     read = list(dict.fromkeys([*carry, text]))
     return docs.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, T.StructType([docs.schema[c] for c in carry] + fields))

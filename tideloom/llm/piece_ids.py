@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, asked once for each distinct pre-token.
 
 Texts are cut where no token crosses: for files that drop white space (a Split pre-tokenizer) into runs without white space; for
-byte-level files into runs with at most one space in front, and runs of white space. Those pieces are cut into pre-tokens by the file's
-pattern, and a pre-token's ids come from the library. Pieces and pre-tokens recur, so a bounded table of two generations in each worker
-process holds their ids (little-endian unsigned 32-bit). Pieces with a special token's literal, or with code points that this
-Python doesn't know, go to the library as they are.
+byte-level files into runs with at most one space in front, and runs of white space. The pieces of a batch that aren't known yet are
+cut into pre-tokens together, by the file's pattern over one string, and a pre-token's ids come from the library's model. Pieces
+and pre-tokens recur, so a bounded table of two generations in each worker process holds their ids (little-endian unsigned
+32-bit). Runs of white space, and pieces with a special token's literal or with code points that this Python doesn't know, go
+through the library's whole pipeline as they are.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import sys
 import unicodedata
 from array import array
 from functools import cache
-from itertools import chain
+from itertools import chain, filterfalse
 
-from .bpe import SPACE, char_class
+from .bpe import SPACE, byte_symbols, char_class
 from .shared import trim_memory
 
-LIMIT = 600_000  # entries of a generation, about 200 bytes each
+LIMIT = 250_000  # entries of a generation, about 200 bytes each
 BATCH_DOCS = 400
 
 
@@ -49,9 +50,10 @@ class PieceIds:
         letters, numbers = char_class("L"), char_class("N")
         sp = "" if self.drops else " ?"
         digits = f"[{numbers}]" if self.drops else f" ?[{numbers}]+"
-        # the file's pattern; alternatives that can't start alike may change places
-        self.tokens = re.compile(f"{sp}[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|{digits}|{sp}[^{SPACE}{letters}{numbers}]+|[{SPACE}]+")
+        # the file's pattern behind the mark that separates pieces; alternatives that can't start alike may change places
+        self.tokens = re.compile(f"\n|{sp}[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|{digits}|{sp}[^{SPACE}{letters}{numbers}]+")
         self.unknown = re.compile(f"[{_unassigned()}]")
+        self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
         self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -65,35 +67,58 @@ class PieceIds:
             return self.runs.findall(text)
         return [p for p in self.space.split(text) if p] if self.odd.search(text) else text.split()
 
-    def _split(self, piece: str) -> list[str]:
-        if (piece[1:] if piece[0] == " " else piece).isalpha() and (not self.drops or piece.isascii()):
-            return [piece.lower()] if self.drops else [piece]  # letters alone are one pre-token
-        if "<|" in piece or not (piece.isascii() or piece.isprintable()) and self.unknown.search(piece):
-            return [piece]
+    def _odd(self, pieces: list[str], joined: str) -> list[str]:
+        """The pieces that the library takes as they are."""
+        if "<|" in joined or not joined.isascii() and self.unknown.search(joined):
+            return [p for p in pieces if p.isspace() or "<|" in p or self.unknown.search(p)]
+        return [] if self.drops else [p for p in pieces if p.isspace()]
+
+    def _learn(self, lack: list[str]) -> None:
+        """Put the ids of pieces that the table lacks into it."""
+        table = self.table
+        joined = "\n".join(lack)
+        if odd := self._odd(lack, joined):
+            table.update(zip(odd, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]))
+            lack = [p for p in lack if p not in table]
+            joined = "\n".join(lack)
+        if not lack:
+            return
         if self.drops:
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            piece = piece.lower()
-        return self.tokens.findall(piece)
+            if not joined.isascii():
+                joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
+            joined = joined.lower()
+        tokens = self.tokens.findall(joined + "\n")
+        words = set(tokens)
+        words.discard("\n")
+        words = _take(words, table, self.old)
+        spell = self.tok.model.tokenize
+        for w, s in zip(words, "\n".join(words).encode().decode("latin-1").translate(self.symbols).split(self.symbols[10])):
+            table[w] = array("I", [t.id for t in spell(s)]).tobytes()
+        left, parts = iter(lack), []
+        for t in tokens:
+            if t != "\n":
+                parts.append(table[t])
+            else:
+                table[next(left)] = parts[0] if len(parts) == 1 else b"".join(parts)
+                parts = []
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; null: none."""
         cut = [self.pieces(t or "") for t in texts]
         if len(self.table) > LIMIT:
             self.old, self.table = self.table, {}
-        lack = _take(set(chain.from_iterable(cut)), self.table, self.old)
+        lack = set(filterfalse(self.table.__contains__, chain.from_iterable(cut)))
+        lack = _take(lack, self.table, self.old) if lack else []
         if lack:
-            split = [(p, self._split(p)) for p in lack]
-            made = [(p, parts) for p, parts in split if parts != [p]]
-            ask = {p for p, parts in split if parts == [p]}
-            ask = list(ask | set(_take({w for _, parts in made for w in parts} - ask, self.table, self.old)))
-            if ask:
-                self.table.update(zip(ask, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(ask, add_special_tokens=False)]))
-            get = self.table.__getitem__
-            self.table.update([(p, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for p, parts in made])
+            self._learn(lack)
         get = self.table.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
+    def rest(self) -> None:
+        """A task has ended: its worker process waits, maybe for another operator's task, and keeps one generation only."""
+        self.old = {}
+        trim_memory()
+
 
 @cache
 def piece_ids(path: str) -> PieceIds:

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tideloom-ckpt-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is configured (tests) a local one is made and set."""
+    """The cluster's shared folder, as the session names it. Only a local session, whose tasks share the driver's disk, may name none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tideloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or _own_dir()
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -40,6 +47,7 @@ def small_side(df: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> Data
 def trim_memory() -> None:
     """Give freed memory back to the system: a worker process lives through several stages and keeps what it once took."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

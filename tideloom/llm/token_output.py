@@ -45,6 +45,7 @@ def _encode(path: str, text: str, carry: list[str], end: list[int]):
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
                 yield pa.RecordBatch.from_arrays([*[rows[c] for c in carry], pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), pa.array(n), ids], names=[*carry, *[f.name for f in FILE]])
                 before += int(ends[-1])
+        tok.rest()
 
     return run
 
