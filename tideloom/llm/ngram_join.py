@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .chunks import balanced_labels
 from .graph import connected_components, forest, local_roots
-from .shared import materialize, shuffle_partitions, small_side, trim_memory
+from .shared import join_classes, materialize, shuffle_partitions, small_side, trim_memory
 from .wordhash import cut_points, mix, pack_sorted, powers, slices, unpack_sorted, window_hashes, word_hashes
 
 TILE_TOKENS, TILE_SETS = 1 << 19, 2048
@@ -336,18 +336,9 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
     smallest = comp.join(classes, F.col("node") == F.col("_set")).select("node", "root", "_first")
     by_root = smallest.groupBy("root").agg(F.min("_first").alias("_least")).withColumnRenamed("root", "_root")
     linked = smallest.join(by_root, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "_least")
-    ids = materialize(classes.join(linked, F.col("_set") == F.col("_node"), "left").select(F.col("_set").alias("_class"), F.coalesce("_least", "_first").alias("_id"), "_rows"), "ids")
-    return _named(desc, ids, total[0] / (HEAVY * parts)).select(F.col("_key").alias(key), "n_shingles", F.coalesce("_id", "_key").alias("component_id"))
-
-
-def _named(desc: DataFrame, ids: DataFrame, limit: float) -> DataFrame:
-    """``desc`` with ``_id``. Classes of over ``limit`` rows are few and broadcast; their rows, and those without a set, spread by their key."""
-    heavy = F.broadcast(ids.where(F.col("_rows") > limit).select(F.col("_class").alias("_heavy"), F.col("_id").alias("_heavy_id")))
-    light = ids.where(F.col("_rows") <= limit).select("_class", "_id", F.lit(True).alias("_light"))
-    d = desc.select("_key", "n_shingles", "_set").join(heavy, F.col("_set") == F.col("_heavy"), "left")
-    d = d.withColumn("_go", F.expr("_set IS NOT NULL AND _heavy IS NULL")).withColumn("_j", F.expr("CASE WHEN _go THEN _set ELSE xxhash64(_key, n_shingles, monotonically_increasing_id()) END"))
-    d = d.join(light, (F.col("_j") == F.col("_class")) & (F.col("_go") == F.col("_light")), "left")
-    return d.select("_key", "n_shingles", F.coalesce("_heavy_id", "_id").alias("_id"))
+    ids = materialize(classes.join(linked, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_least", "_first").alias("_id"), "_rows"), "ids")
+    out = join_classes(desc.select("_key", "n_shingles", "_set"), ids, ["_set"], total[0] / (HEAVY * parts))
+    return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("_id", "_key").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,23 @@ def small_side(df: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> Data
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def join_classes(rows: DataFrame, named: DataFrame, on: list[str], limit: float) -> DataFrame:
+    """``rows`` with the values of ``named``, which has one row a class: ``on`` (the first a long), values, and ``_rows``, the class's rows.
+
+    Classes of over ``limit`` rows are at most rows / ``limit`` and are broadcast. Their rows, and those with a null in ``on``, are spread
+    evenly in the shuffle for the other classes, where they meet nothing.
+    """
+    values = [c for c in named.columns if c not in (*on, "_rows")]
+    heavy = named.where(F.col("_rows") > limit).select(*[F.col(c).alias(f"_hv_{c}") for c in on + values])
+    light = named.where(F.col("_rows") <= limit).select(*[F.col(c).alias(f"_lt_{c}") for c in on + values], F.lit(True).alias("_lt"))
+    d = rows.join(F.broadcast(heavy), reduce(and_, [F.col(c) == F.col(f"_hv_{c}") for c in on]), "left")
+    d = d.withColumn("_go", reduce(and_, [F.col(c).isNotNull() for c in on]) & F.col(f"_hv_{on[0]}").isNull())
+    d = d.withColumn("_to", F.when(F.col("_go"), F.col(on[0])).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    meet = [F.col("_to") == F.col(f"_lt_{on[0]}"), F.col("_go") == F.col("_lt"), *[F.col(c) == F.col(f"_lt_{c}") for c in on[1:]]]
+    d = d.join(light, reduce(and_, meet), "left")
+    return d.select(*rows.columns, *[F.coalesce(f"_hv_{c}", f"_lt_{c}").alias(c) for c in values])
+
+
 def trim_memory() -> None:
     """Give freed memory back to the system: a worker process lives through several stages and keeps what it once took."""
     gc.collect()
