@@ -3,26 +3,27 @@
 Texts are cut where no token crosses: for files that drop white space (a Split pre-tokenizer) into runs without white space; for
 byte-level files into runs with at most one space in front, and runs of white space. The pieces of a batch that aren't known yet are
 cut into pre-tokens together, by the file's pattern over one string, and a pre-token's ids come from the library's model. Pieces
-and pre-tokens recur, so a bounded table of two generations in each worker process holds their ids (little-endian unsigned
-32-bit). Runs of white space, and pieces with a special token's literal or with code points that this Python doesn't know, go
+and pre-tokens recur, so bounded tables in each worker process hold their ids (little-endian unsigned 32-bit). Runs of white space, and pieces with a special token's literal or with code points that this Python doesn't know, go
 through the library's whole pipeline as they are.
+
+Over half of a corpus's pieces occur once. So new ones wait in a smaller table, and enter the large one when they are met again.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import sys
 import unicodedata
 from array import array
 from functools import cache
-from itertools import chain, filterfalse
+from itertools import accumulate, chain
 
 from .bpe import SPACE, byte_symbols, char_class
 from .shared import trim_memory
 
-LIMIT = 250_000  # entries of a generation, about 200 bytes each
+LIMIT, FRESH = 350_000, 150_000  # entries of a generation of the large table (there are two), and of the small one; about 200 bytes each
 BATCH_DOCS = 400
+MARK = b"\xff" * 4  # between ids' bytes; an id is below 2**24, so its last byte is 0
 
 
 class PieceIds:
@@ -52,10 +53,11 @@ class PieceIds:
         digits = f"[{numbers}]" if self.drops else f" ?[{numbers}]+"
         # the file's pattern behind the mark that separates pieces; alternatives that can't start alike may change places
         self.tokens = re.compile(f"\n|{sp}[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|{digits}|{sp}[^{SPACE}{letters}{numbers}]+")
-        self.unknown = re.compile(f"[{_unassigned()}]")
         self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
-        self.table: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chars: set[str] = set()  # that this Python knows
+        self.table: dict[str, bytes] = {}  # met again
+        self.old: dict[str, bytes] = {}  # its last generation
+        self.fresh: dict[str, bytes] = {}  # met once
 
     def pieces(self, text: str) -> list[str]:
         if self.marks and "<|" in text and (parts := self.marks.split(text))[1:]:
@@ -69,17 +71,28 @@ class PieceIds:
 
     def _odd(self, pieces: list[str], joined: str) -> list[str]:
         """The pieces that the library takes as they are."""
-        if "<|" in joined or not joined.isascii() and self.unknown.search(joined):
-            return [p for p in pieces if p.isspace() or "<|" in p or self.unknown.search(p)]
+        bad = {c for c in set(joined) - self.chars if unicodedata.category(c) == "Cn"}
+        if bad or "<|" in joined:
+            return [p for p in pieces if p.isspace() or "<|" in p or not bad.isdisjoint(p)]
+        self.chars.update(joined)
         return [] if self.drops else [p for p in pieces if p.isspace()]
 
+    def _again(self, pieces: set[str]) -> list[str]:
+        """Those that no table has. What is met again goes into the large one."""
+        if again := pieces & self.fresh.keys():
+            self.table.update(zip(again, list(map(self.fresh.pop, again))))
+            pieces -= again
+        if back := pieces & self.old.keys():
+            self.table.update(zip(back, map(self.old.__getitem__, back)))
+            pieces -= back
+        return list(pieces)
+
     def _learn(self, lack: list[str]) -> None:
-        """Put the ids of pieces that the table lacks into it."""
-        table = self.table
+        """Put the ids of pieces that no table has into the small one."""
         joined = "\n".join(lack)
         if odd := self._odd(lack, joined):
-            table.update(zip(odd, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]))
-            lack = [p for p in lack if p not in table]
+            self.fresh.update(zip(odd, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]))
+            lack = [p for p in lack if p not in self.fresh]
             joined = "\n".join(lack)
         if not lack:
             return
@@ -90,58 +103,43 @@ class PieceIds:
         tokens = self.tokens.findall(joined + "\n")
         words = set(tokens)
         words.discard("\n")
-        words = _take(words, table, self.old)
+        new = self._again(words - self.table.keys())
         spell = self.tok.model.tokenize
-        for w, s in zip(words, "\n".join(words).encode().decode("latin-1").translate(self.symbols).split(self.symbols[10])):
-            table[w] = array("I", [t.id for t in spell(s)]).tobytes()
-        left, parts = iter(lack), []
-        for t in tokens:
-            if t != "\n":
-                parts.append(table[t])
-            else:
-                table[next(left)] = parts[0] if len(parts) == 1 else b"".join(parts)
-                parts = []
+        symbols = "\n".join(new).encode().decode("latin-1").translate(self.symbols).split(self.symbols[10])
+        made = dict(zip(new, [array("I", [t.id for t in spell(s)]).tobytes() for s in symbols]))
+        known = words - made.keys()
+        ids = made | dict(zip(known, map(self.table.__getitem__, known))) | {"\n": MARK}
+        self.fresh.update(made)
+        self.fresh.update(zip(lack, b"".join(map(ids.__getitem__, tokens)).split(MARK)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; null: none."""
         cut = [self.pieces(t or "") for t in texts]
         if len(self.table) > LIMIT:
             self.old, self.table = self.table, {}
-        lack = set(filterfalse(self.table.__contains__, chain.from_iterable(cut)))
-        lack = _take(lack, self.table, self.old) if lack else []
-        if lack:
-            self._learn(lack)
-        get = self.table.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if len(self.fresh) > FRESH:
+            self.fresh = {}
+        pieces = list(chain.from_iterable(cut))
+        ids = list(map(self.table.get, pieces))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if holes:
+            left = list(map(pieces.__getitem__, holes))
+            if lack := self._again(set(left)):
+                self._learn(lack)
+            table, fresh = self.table, self.fresh
+            for i, p in zip(holes, left):
+                x = fresh.get(p)
+                ids[i] = table[p] if x is None else x
+        ends = list(accumulate(map(len, cut)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def rest(self) -> None:
-        """A task has ended: its worker process waits, maybe for another operator's task, and keeps one generation only."""
-        self.old = {}
+        """A task has ended: its worker process waits, maybe for another operator's task, and keeps a generation and a half at most."""
+        if len(self.table) > LIMIT // 2:
+            self.old = {}
         trim_memory()
 
 
 @cache
 def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
-
-
-def _take(keys: set[str], new: dict, old: dict) -> list[str]:
-    """What neither generation has; what the old one has is taken over."""
-    lack = keys - new.keys()
-    if old:
-        back = lack & old.keys()
-        new.update(zip(back, map(old.__getitem__, back)))
-        lack -= back
-    return list(lack)
-
-
-def _unassigned() -> str:
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        hit = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if hit and start is None:
-            start = c
-        elif not hit and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
