@@ -28,4 +28,23 @@ def test_stage_keeps_documents_where_one_label_is_left(spark, tmp_path):
     docs, labels, _ = tables(spark)
     for i, lab in enumerate(([x for x in labels if x[1] == 0], [])):
         spark.createDataFrame(lab, "doc_id long, quality int").write.parquet(f"{tmp_path}/{i}/labels.parquet")
+        docs.write.parquet(f"{tmp_path}/{i}/documents.parquet")
         assert corpus_pipeline.classifier_stage(spark, docs, f"{tmp_path}/{i}").count() == 60
+
+
+def test_stage_rejects_though_all_that_arrived_are_clean(spark, tmp_path):
+    """The network is fitted on the table's labelled documents, so it knows label 0 where an earlier stage left none of it."""
+    docs, labels, _ = tables(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = docs.where("doc_id % 2 = 1").unionByName(spark.createDataFrame([(2, "## tea ## ## oak ## sun ## ## ## tea ## ##")], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.classifier_stage(spark, clean, str(tmp_path)).collect()}
+    assert 2 not in kept and len(kept) >= 28
+
+
+def test_bounds_hold(spark):
+    docs, labels, _ = tables(spark)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    twice = docs.unionByName(docs)  # of a repeated key one row is trained on
+    assert (quality_cnn.fit(docs, lab).weights == quality_cnn.fit(twice, lab).weights).all()
+    assert quality_cnn.fit(docs, lab, max_bytes=10).flat

@@ -99,3 +99,33 @@ def test_crossover_is_a_partition():
     c = packing.crossover(sizes, a, b, 100, rng)
     assert np.bincount(c, weights=sizes).max() <= 100
     assert packing.fitness(sizes, packing.evolve(sizes, [a, b], 100, 3), 100) <= min(packing.fitness(sizes, x, 100) for x in (a, b))
+
+
+def test_genetic_step_beats_best_fit(monkeypatch):
+    """Triples that fill a bin exactly: best-fit in decreasing order misses the bound, crossovers come nearer to it."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(26, 45, 120), rng.integers(26, 30, 120)
+    sizes = np.concatenate([a, b, 100 - a - b])
+    ran, cross = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *x: ran.append(1) or cross(*x))
+    plain = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 100)
+    found = packing.evolve(sizes, [], 100, 1, population=8, births=150)
+    assert np.bincount(found, weights=sizes).max() <= 100
+    bins = [packing.fitness(sizes, x, 100)[0] for x in (plain, found)]
+    assert ran and 120 <= bins[1] < bins[0], bins
+    ran.clear()
+    packing.evolve(np.array([10, 90, 50, 50]), [], 100, 1)  # as few bins as the tokens need: no birth
+    assert not ran
+
+
+def test_packing_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 3 + [(None, None)], "doc_id long, text string")
+    out = packing.pack_documents(df, WORD, capacity=4).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in out) == [(0, 1), (1, 4), (1, 4), (1, 4)]
+
+
+def test_token_files_order_equal_and_null_keys(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (2, "a a"), (None, "c"), (1, None), (2, "b")], "doc_id long, text string")
+    token_output.write_tokens(df, str(tmp_path / "t"), BYTE)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_output.read_tokens(spark, str(tmp_path / "t")).collect())
+    assert got == [(0, None, 2), (2, 1, 1), (3, 2, 3), (6, 2, 2), (8, 2, 2)]

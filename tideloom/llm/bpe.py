@@ -3,10 +3,14 @@
 The automaton reads tokens. It starts as one state with a loop for every base symbol. The gadget of merge (u, v) -> w, applied in
 rank order, changes it so that u is never followed by v: a u-arc now ends in a copy of its old target without the v-arc,
 and wherever u could be read, w can be read too, ending where v ends. After all merges a word has exactly one accepted spelling,
-its BPE encoding. All u-arcs share one target, so a state is named by the token read last; copies are kept as deltas
-(the removed arc and its rank), and a token made from v inherits v's deltas so far. ``arc`` looks a transition up in this
-table. Encoding follows arcs over a pre-split word, longest label first; no place is tried twice, as each prefix has one
-spelling too. Decoding emits the labels of the arcs.
+its BPE encoding, and so has each prefix of it. All u-arcs share one target, so a state is named by the token read last; copies are
+kept as deltas (the removed arc and its rank), and a token made from v inherits v's deltas so far.
+
+For reading symbols the arcs' labels are compiled into a deterministic matching automaton: arrays of nodes with their token, its
+length, the next shorter token that ends alike, and a failure link. A word is encoded in one pass without backtracking: each symbol is one
+step, after which the one token that ends here and has an arc from the state at its start is the state at this place. Arcs are
+decided from the gadgets' records when first asked for and kept in a bounded table. The labels read backwards from the end are the
+encoding; decoding emits the arcs' labels.
 
 Texts are cut at white space (no token crosses it), pieces are normalised and split as the tokenizer file says, and results are
 kept in bounded tables, since most pieces of a corpus recur.
@@ -20,6 +24,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from functools import cache
 
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECES, WORDS, ARCS = 400_000, 800_000, 500_000  # entries of the bounded tables
+PIECES, WORDS, ARCS, STEPS = 400_000, 600_000, 500_000, 200_000  # entries of the bounded tables
 #: White space of the Unicode property White_Space, as a character class.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -55,34 +60,36 @@ def byte_symbols() -> dict[int, str]:
 
 
 class MergeAutomaton:
-    """``merges``: pairs in rank order; ``suffix``: mark that the last symbol of a word carries."""
+    """``merges``: pairs in rank order; ``suffix``: mark that the last symbol of a word carries. Tokens and symbols are vocabulary ids."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.ids, self.suffix = vocab, suffix
         self.label = {i: s for s, i in vocab.items()}
-        self.parts: dict[str, tuple[str, str, int]] = {}  # token: left, right, rank
-        self.cut: dict[tuple[str, str], int] = {}  # (u, v): rank of the gadget that took the v-arc away after u
-        self.table: dict[tuple[str, str], bool] = {}
+        self.width = max(vocab.values(), default=0) + 1
+        self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank
+        self.cut: dict[int, int] = {}  # u * width + v: rank of the gadget that took the v-arc away after u
+        self.arcs: dict[int, bool] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(u, v, rank)
-        made = {u + v for u, v in merges}
-        self.usable = {t for t in vocab if t in self.parts or t not in made}
-        self.prefixes = {t[:i] for t in self.usable for i in range(1, len(t) + 1)}
-
-    def _gadget(self, u: str, v: str, rank: int) -> None:
-        w = u + v
-        if w in self.parts or w not in self.ids or not self._open(u, v, rank):
-            return  # w is made already, or v can't follow u at this rank, so there is no arc to change
-        self.cut[u, v] = rank
+        self._compile(sorted(vocab))
+
+    def _gadget(self, left: str, right: str, rank: int) -> None:
+        w = self.ids.get(left + right)
+        if w is None or w in self.parts or left not in self.ids or right not in self.ids:
+            return
+        u, v = self.ids[left], self.ids[right]
+        if not self._open(u, v, rank):
+            return  # v can't follow u at this rank, so there is no arc to change
+        self.cut[u * self.width + v] = rank
         self.parts[w] = (u, v, rank)
 
-    def _open(self, last: str, token: str, now: int) -> bool:
+    def _open(self, last: int, token: int, now: int) -> bool:
         """Whether the state after ``last`` has an arc ``token``, counting the gadgets with a rank up to ``now``."""
-        parts, cut = self.parts, self.cut
+        parts, cut, width = self.parts, self.cut, self.width
         while True:
             state, until = last, now
             while True:  # the state's own deltas, then those it inherited from its right part
-                gone = cut.get((state, token))
+                gone = cut.get(state * width + token)
                 if gone is not None and gone <= until:
                     return False
                 made = parts.get(state)
@@ -94,60 +101,95 @@ class MergeAutomaton:
                 return True
             token, now = made[0], min(now, made[2])  # the arc came with the one of its left part
 
-    def arc(self, last: str | None, token: str) -> bool:
-        if last is None:
-            return True
-        key = (last, token)
-        found = self.table.get(key)
+    def arc(self, last: int, token: int) -> bool:
+        key = last * self.width + token
+        found = self.arcs.get(key)
         if found is None:
-            if len(self.table) >= ARCS:
-                self.table.clear()
-            found = self.table[key] = self._open(last, token, len(self.label))
-        return found
-
-    def _ends(self, word: str, at: int) -> list[int]:
-        """Where labels that start at ``at`` end, ascending."""
-        known, prefixes, n, found = self.usable, self.prefixes, len(word), []
-        for end in range(at + 1, n):
-            token = word[at:end]
-            if token not in prefixes:
-                break
-            if token in known:
-                found.append(end)
-        if word[at:] + self.suffix in known:
-            found.append(n)
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
+            found = self.arcs[key] = self._open(last, token, self.width)
         return found
 
-    def spell(self, word: str) -> list[str]:
-        """The labels of the accepted path over ``word`` (byte symbols, without the suffix)."""
-        if not word:
-            return []
-        n, suffix = len(word), self.suffix
-        if word + suffix in self.usable:
-            return [word + suffix]  # a label that a gadget made can be read from the start
-        path: list[str] = []
-        starts, tries, dead = [0], [self._ends(word, 0)], set()
-        while starts:
-            at, ends, last = starts[-1], tries[-1], path[-1] if path else None
-            while ends:
-                end = ends.pop()
-                if end in dead:
-                    continue
-                token = word[at:end] if end < n else word[at:] + suffix
-                if last is None or self.arc(last, token):
-                    path.append(token)
-                    if end == n:
-                        return path
-                    starts.append(end)
-                    tries.append(self._ends(word, end))
+    def symbols(self, word: str) -> list[int]:
+        """Base symbols of a label that ends a word if it ends with the suffix."""
+        end = bool(self.suffix) and word.endswith(self.suffix)
+        plain = word[: -len(self.suffix)] if end else word
+        return [self.ids[c] for c in (plain[:-1] if end else plain)] + ([self.ids[plain[-1] + self.suffix]] if end else [])
+
+    def _compile(self, labels: list[str]) -> None:
+        """Nodes of the prefixes of all labels that are base symbols or that a gadget made; node 0 is the start."""
+        width = self.width
+        self.go: dict[int, int] = {}  # node * width + symbol: the node one symbol longer
+        token, size, born = [-1], [0], []
+        for t in labels:
+            if t == self.suffix:
+                continue
+            try:
+                word = self.symbols(t)
+            except KeyError:  # a label that no text spells (special tokens)
+                continue
+            if len(word) > 1 and self.ids[t] not in self.parts:
+                continue
+            node = 0
+            for s in word:
+                key = node * width + s
+                child = self.go.get(key)
+                if child is None:
+                    child = self.go[key] = len(token)
+                    born.append((size[node] + 1, node, s, child))
+                    token.append(-1)
+                    size.append(size[node] + 1)
+                node = child
+            token[node] = self.ids[t]
+        self.token, self.size = array("i", token), array("i", size)
+        self.fail, self.shorter = array("i", [0]) * len(token), array("i", [0]) * len(token)
+        for _, parent, s, child in sorted(born):
+            if parent:
+                f = self.fail[child] = self._longer(self.fail[parent], s)
+                self.shorter[child] = f if self.token[f] >= 0 else self.shorter[f]
+        self.jump: dict[int, int] = {}
+
+    def _longer(self, node: int, symbol: int) -> int:
+        """The node of the longest suffix that goes on."""
+        go, width = self.go, self.width
+        while (found := go.get(node * width + symbol)) is None and node:
+            node = self.fail[node]
+        return found or 0
+
+    def spell_ids(self, word: list[int]) -> list[int]:
+        """The tokens of the accepted path over the symbols of a word."""
+        width, jump, token, size, shorter = self.width, self.jump, self.token, self.size, self.shorter
+        arcs, node, state, back = self.arcs, 0, [-1], [0]
+        for i, s in enumerate(word, 1):
+            key = node * width + s
+            node = jump.get(key, -1)
+            if node < 0:
+                if len(jump) >= STEPS:
+                    jump.clear()
+                node = jump[key] = self._longer(key // width, s)
+            m = node if token[node] >= 0 else shorter[node]
+            while m:
+                t, n = token[m], size[m]
+                if n == i:
                     break
+                last = state[i - n]
+                ok = arcs.get(last * width + t)
+                if ok or ok is None and self.arc(last, t):
+                    break
+                m = shorter[m]
             else:
-                dead.add(at)
-                starts.pop()
-                tries.pop()
-                if path:
-                    path.pop()
-        raise ValueError(f"no spelling for {word!r}")
+                raise ValueError(f"no spelling for {word!r}")
+            state.append(t)
+            back.append(i - n)
+        out, i = [], len(word)
+        while i:
+            out.append(state[i])
+            i = back[i]
+        return out[::-1]
+
+    def spell(self, word: str) -> list[str]:
+        """The labels of the accepted path over ``word`` (base symbols, without the suffix)."""
+        return [self.label[t] for t in self.spell_ids(self.symbols(word + self.suffix))] if word else []
 
 
 class _Table(dict):
@@ -187,14 +229,15 @@ class Encoder:
         self.space = re.compile(f"[{SPACE}]+")
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         symbols = byte_symbols()
-        self.symbols = {bytes([b]): s for b, s in symbols.items()}
-        self.trans = str.maketrans({chr(b): s for b, s in symbols.items()})
+        suffix = self.auto.suffix
+        self.inner = [self.auto.ids[symbols[b]] for b in range(256)]
+        self.last = [self.auto.ids[symbols[b] + suffix] for b in range(256)]
         self.word = _Table(self._word, WORDS)
         self.piece = _Table(self._piece, PIECES)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.auto.ids
-        return tuple(ids[t] for t in self.auto.spell(word.encode("utf-8").decode("latin-1").translate(self.trans)))
+        raw = word.encode("utf-8")
+        return tuple(self.auto.spell_ids([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]))
 
     def _ids(self, text: str) -> list[int]:
         if not text.isascii():

@@ -16,11 +16,11 @@ q AS (SELECT p.doc_id, count(c.i) AS n_removed, coalesce(string_agg(p.x, ' ' ORD
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN q ON w.doc_id = q.doc_id
 """
 
-_VALUES = {r: e.replace("greatest(", "greatest(").replace(" / ", "::DOUBLE / ") for r, (e, _) in RULES.items()}
-_GRID = ", ".join(f"('{r}', {j}, {float(c)!r}::DOUBLE)" for r, (_, cuts) in RULES.items() for j, c in enumerate(cuts))
+_WITHIN = ", ".join(f"len(list_filter({[float(c) for c in cuts]}, lambda c: {e.replace(' / ', '::DOUBLE / ')} <= c))" for e, cuts in RULES.values())
+_LEVELS = min(len(cuts) for _, cuts in RULES.values())
 
 OP7_SQL = rf"""
-WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(range(3)) AS i FROM k WHERE n > 1) GROUP BY doc_id),
@@ -28,15 +28,14 @@ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matc
 f AS (SELECT w.doc_id, lang, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
       (len(l.l) - len(list_distinct(l.l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l.l)::BIGINT AS n_lines
       FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN r ON w.doc_id = r.doc_id),
-v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, {e} AS x FROM f" for r, e in _VALUES.items())}),
-good AS (SELECT v.* FROM v SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) y ON v.doc_id = y.doc_id),
-s AS (SELECT lang, good.rule, j, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM good JOIN (VALUES {_GRID}) c(rule, j, cutoff) ON good.rule = c.rule GROUP BY ALL),
-z AS (SELECT *, CASE WHEN k > n * {EPS} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN n - i > 0 THEN lgamma(n - i + 1) ELSE 0 END + i * ln({EPS}) + (n - i) * ln(1 - {EPS}))) FROM range(0, k + 1) t(i)) END <= {ALPHA} / (SELECT count(DISTINCT (lang, rule)) FROM good) AS ok FROM s),
-b AS (SELECT lang, rule, coalesce(min(j) FILTER (NOT ok), 1000000) AS bad FROM z GROUP BY ALL),
-c AS (SELECT z.lang, z.rule, arg_max(z.cutoff, z.j) AS cutoff FROM z JOIN b ON z.lang = b.lang AND z.rule = b.rule WHERE z.j < bad GROUP BY ALL),
-x AS (SELECT DISTINCT v.doc_id FROM v JOIN c ON v.lang = c.lang AND v.rule = c.rule WHERE v.x > c.cutoff),
-d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+v AS (SELECT *, least({_WITHIN}) AS within FROM f),
+good AS (SELECT v.lang, within FROM v SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) y ON v.doc_id = y.doc_id),
+s AS (SELECT lang, j, count(*) AS n, count(*) FILTER (within <= j) AS k FROM good, range({_LEVELS}) c(j) GROUP BY ALL),
+z AS (SELECT *, CASE WHEN k > n * {EPS} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN n - i > 0 THEN lgamma(n - i + 1) ELSE 0 END + i * ln({EPS}) + (n - i) * ln(1 - {EPS}))) FROM range(0, k + 1) t(i)) END <= {ALPHA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM good)) AS ok FROM s),
+b AS (SELECT lang, coalesce(min(j) FILTER (NOT ok), {_LEVELS}) - 1 AS level FROM z GROUP BY ALL),
+d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)
+SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within > coalesce(level, -1) AS kept
+FROM d LEFT JOIN b ON d.lang IS NOT DISTINCT FROM b.lang
 """
 
 OP10_SQL = """
@@ -48,3 +47,15 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """
+
+_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP8_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LOW}', '{_LOW.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+s AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 90 * (m + n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, c.c AS component_id FROM g JOIN c ON g.doc_id = c.a
+"""

@@ -6,8 +6,10 @@ A filter is a sum of one learned weight for each (place, byte); for scoring, the
 table over byte pairs, so a response is two table rows; pairs are read from even places and from odd ones.
 
 Training is on the driver, on whole texts of at most ``max_docs`` labelled rows (half of each label as far as there are, chosen by
-a hash of the key, 6 MB of text at most), weighted back to the labels' shares. Labels whose documents aren't in ``docs`` count for nothing. Labels are read only from rows with crc32(key as
-text) mod 5 not 0; neither labels nor other columns are inputs of a score.
+a hash of the key) and of at most ``max_bytes`` together (texts that don't fit any more are left out before any text is
+fetched), weighted back to the labels' shares. Labels whose documents aren't in ``docs`` count for nothing; of a key that
+repeats, one row is trained on. Labels are read only from rows with crc32(key as text) mod 5 not 0; neither labels nor other
+columns are inputs of a score.
 
 Defined results: null text is the empty text, which has a score too. No usable labels, or only one: every score is the share of label 1 (0.5 if
 there is none). Any length is scored whole in bounded memory. Repeated rows all come back; extra columns stay, equal names are replaced.
@@ -155,7 +157,8 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = MAX_DOCS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Network:
+    """A network trained on a bounded sample of the labelled rows of ``docs``."""
     usable = labels.where(~held_out(key)).where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_y"))
     usable = materialize(usable.join(docs.select(key), key, "left_semi"), "labelled")
     counts = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
@@ -169,16 +172,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for v in sorted(counts):  # at most max_docs / 2 keys of each label
         part = usable.where(F.col("_y") == v).orderBy(F.xxhash64(key), key).limit(max_docs // 2)
         picks = part if picks is None else picks.unionByName(part)
-    rows = docs.select(key, text).join(F.broadcast(picks), key).select(key, "_y", F.coalesce(text, F.lit("")).alias("_t")).collect()
-    rows.sort(key=lambda r: (str(r[key]), r["_t"]))
-    rng = np.random.default_rng(1)
-    texts, ys, size = [], [], 0
-    for i in rng.permutation(len(rows)):
-        t = rows[i]["_t"].encode()
-        if size + len(t) <= MAX_BYTES:
-            texts.append(t)
-            ys.append(rows[i]["_y"])
-            size += len(t)
+    texts_of = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    sized = texts_of.join(F.broadcast(picks), key).groupBy(key).agg(F.max(F.octet_length("_t")).alias("_b")).collect()  # a number for each pick
+    sized.sort(key=lambda r: str(r[key]))
+    chosen, size = [], 0
+    for i in np.random.default_rng(1).permutation(len(sized)):
+        if size + sized[i]["_b"] <= max_bytes:
+            chosen.append((sized[i][key],))
+            size += sized[i]["_b"]
+    if not chosen:
+        return flat
+    few = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema[key]])).join(picks, key)
+    rows = texts_of.join(F.broadcast(few), key).groupBy(key).agg(F.max("_y").alias("_y"), F.min("_t").alias("_t")).collect()
+    at = {k: i for i, (k,) in enumerate(chosen)}
+    rows.sort(key=lambda r: at[r[key]])
+    texts, ys = [r["_t"].encode() for r in rows], [r["_y"] for r in rows]
     if len(set(ys)) < 2:
         return flat
     weight = {v: counts[v] / total / max(1, ys.count(v)) * len(ys) for v in counts}

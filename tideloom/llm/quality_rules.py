@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds, native SQL only.
 
-Features are computed in each row (no explode, no shuffle of text). Cutoffs come from labelled holdouts: for every
-stratum and rule the cutoffs of a fixed grid are tested from the most lenient one on, by the exact binomial tail
-P(X <= k | n, eps) of the clean documents that the cutoff would reject; testing stops at the first cutoff that isn't
-shown to reject less than ``eps`` of them (fixed-sequence testing), and the level is divided by the number of
-(stratum, rule) pairs (Bonferroni). So with probability 1 - alpha no stratum's rule rejects more than ``eps`` of its clean
-documents. A stratum with too few labels gets no cutoff and rejects nothing by the learned rules.
+Features are computed in each row (no explode, no shuffle of text). Cutoffs come from labelled holdouts. All rules tighten together
+along one fixed path of levels; at a level a document is rejected if any rule is over its cutoff there, so the union of the rules
+is what is tested. For every stratum the levels are tested from the most lenient one on, by the exact binomial tail
+P(X <= k | n, eps) of the clean documents that the level would reject; testing stops at the first level that isn't
+shown to reject less than ``eps`` of them (fixed-sequence testing), and alpha is divided by the number of strata
+(Bonferroni). So with probability 1 - alpha no stratum loses more than ``eps`` of its clean documents to all rules together. A
+stratum needs ln(alpha / strata) / ln(1 - eps) clean labels, 217 for four strata, before even a level that rejects none of them
+passes; with fewer it has no level and only the base rule rejects.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Windows of three words are compared by a 64-bit hash inside one document.
 
-Defined results: null or empty text counts no words and fails the base rule; null stratum is a stratum of its own; repeated
+Defined results: null or empty text counts no words and fails the base rule; a null stratum is a stratum of its own, apart from ''; repeated
 rows are all returned; unlabelled tables reject by the base rule only; input columns stay, equal names are replaced.
 """
 
@@ -23,14 +25,14 @@ from .shared import materialize, small_side
 WS = r"[\\x20\\x09-\\x0D]+"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: Rule: (expression over the features, cutoffs from lenient to strict). A document is rejected above the cutoff.
+#: Rule: (expression over the features, cutoffs from lenient to strict, one a level). A document is rejected above the cutoff.
 RULES = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [2.0, 1.0, 0.5, 0.3, 0.2, 0.15, 0.1]),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25]),
-    "long_words": ("word_chars / greatest(n_words, 1)", [20.0, 16.0, 14.0, 12.0, 10.0]),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.5, 0.45, 0.4, 0.35, 0.3, 0.275, 0.25]),
+    "long_words": ("word_chars / greatest(n_words, 1)", [20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0]),
 }
-EPS, ALPHA = 0.01, 0.05
+EPS, ALPHA = 0.02, 0.05
 
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -63,35 +65,39 @@ def base_failed():
     return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
 
 
+def within(rules: dict = RULES):
+    """How many levels, from the most lenient one, a document is within: cutoffs fall, so the next ones reject it."""
+    per = [F.expr(f"size(filter(array({','.join(map(str, cuts))}), c -> {e} <= c))") for e, cuts in rules.values()]
+    return F.least(*per) if len(per) > 1 else per[0]
+
+
 def select_cutoffs(features: DataFrame, labels: DataFrame, key: str = "doc_id", good: str = "quality", stratum: str = "lang", rules: dict = RULES, eps: float = EPS, alpha: float = ALPHA) -> DataFrame:
-    """One row (stratum, rule, cutoff, n, k) for each pair that has a cutoff. Its size is strata x rules."""
+    """One row (stratum, level, n, k, cutoffs) for each stratum that has a level; k of its n clean documents are rejected there."""
     lab = features.join(labels.where(F.col(good) == 1).select(key).distinct(), key, "left_semi")
-    parts = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(f"size(filter(array({','.join(map(str, cuts))}), c -> {e} <= c))").alias("passed")) for r, (e, cuts) in rules.items()])
-    # cutoffs fall, so a document that is within ``passed`` of them is rejected by the cutoffs after those
-    hist = lab.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.explode(parts).alias("r")).groupBy("stratum", "r.rule", "r.passed").agg(F.count("*").alias("c"))
-    grid = F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*[F.array(*[F.lit(float(c)) for c in cuts]) for _, cuts in rules.values()]))
-    per = hist.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.collect_list(F.struct("passed", "c")).alias("hs")).withColumn("cuts", grid[F.col("rule")])
-    strata = per.agg(F.countDistinct("stratum", "rule").alias("tests"))
-    t = per.join(strata).select("stratum", "rule", "n", "tests", F.posexplode("cuts").alias("j", "cutoff"), "hs")
-    t = t.withColumn("k", F.expr("aggregate(filter(hs, x -> x.passed <= j), 0L, (a, x) -> a + x.c)")).drop("hs")
+    hist = lab.select(F.col(stratum).cast("string").alias("stratum"), within(rules).alias("within")).groupBy("stratum", "within").agg(F.count("*").alias("c"))
+    per = materialize(hist.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("within", "c")).alias("hs")), "strata")
+    tests = max(1, per.count())
+    levels = min(len(cuts) for _, cuts in rules.values())
+    t = per.select("stratum", "n", "hs", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    t = t.withColumn("k", F.expr("aggregate(filter(hs, x -> x.within <= level), 0L, (a, x) -> a + x.c)")).drop("hs")
     # exact lower tail of the binomial by its recurrence in logs; k above the mean can't pass
     tail = f"""CASE WHEN k > n * {eps} THEN 1D ELSE aggregate(sequence(0L, k), named_struct('l', n * ln(1D - {eps}), 'p', 0D),
         (a, i) -> named_struct('l', a.l + CASE WHEN i < n THEN ln(CAST(n - i AS DOUBLE) / (i + 1)) ELSE 0D END + ln({eps} / (1D - {eps})), 'p', a.p + exp(a.l)), a -> a.p) END"""
-    t = t.withColumn("ok", F.expr(f"{tail} <= {alpha} / tests"))
-    first_bad = F.expr("coalesce(min(CASE WHEN NOT ok THEN j END), 1000000)")
-    best = t.groupBy("stratum", "rule").agg(first_bad.alias("bad"), F.collect_list(F.struct("j", "cutoff", "n", "k")).alias("all"))
-    best = best.withColumn("pick", F.expr("array_max(filter(all, x -> x.j < bad))")).where("pick IS NOT NULL")
-    return best.select("stratum", "rule", "pick.cutoff", "pick.n", "pick.k")
+    t = t.withColumn("ok", F.expr(f"{tail} <= {alpha / tests}D"))
+    best = t.groupBy("stratum").agg(F.expr("coalesce(min(CASE WHEN NOT ok THEN level END), 1000000)").alias("bad"), F.collect_list(F.struct("level", "n", "k")).alias("all"))
+    best = best.withColumn("pick", F.expr("array_max(filter(all, x -> x.level < bad))")).where("pick IS NOT NULL")
+    grid = F.array(*[F.array(*[F.lit(float(cuts[j])) for _, cuts in rules.values()]) for j in range(levels)])
+    return best.select("stratum", "pick.level", "pick.n", "pick.k", F.map_from_arrays(F.array(*map(F.lit, rules)), grid[F.col("pick.level")]).alias("cutoffs"))
 
 
 def apply_rules(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules: dict = RULES) -> DataFrame:
-    """Adds base_failed, rejected_by (names of the rules that reject, sorted) and kept. ``cutoffs``: of select_cutoffs."""
-    wide = cutoffs.groupBy("stratum").pivot("rule", list(rules)).agg(F.first("cutoff")).select(F.col("stratum").alias("_st"), *[F.col(r).alias(f"_c_{r}") for r in rules])
-    d = features.drop("base_failed", "rejected_by", "kept").withColumn("_key", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    d = d.join(F.broadcast(wide), F.col("_key") == F.col("_st"), "left")  # one row for each stratum
-    hits = F.array_compact(F.array(*[F.when(F.expr(f"{e} > _c_{r}"), F.lit(r)) for r, (e, _) in rules.items()]))
+    """Adds base_failed, rejected_by (names of the rules that reject, sorted) and kept. ``cutoffs``: of select_cutoffs, written."""
+    own = cutoffs.select(F.col("stratum").alias("_st"), F.col("cutoffs").alias("_cuts"))
+    d = features.drop("base_failed", "rejected_by", "kept")
+    d = d.join(small_side(own, 256), F.col(stratum).cast("string").eqNullSafe(F.col("_st")), "left")
+    hits = F.array_compact(F.array(*[F.when(F.expr(f"{e} > _cuts['{r}']"), F.lit(r)) for r, (e, _) in rules.items()]))
     d = d.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.array_sort(hits)).withColumn("kept", F.expr("NOT base_failed AND size(rejected_by) = 0"))
-    return d.drop("_key", "_st", *[f"_c_{r}" for r in rules])
+    return d.drop("_st", "_cuts")
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -101,7 +107,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """
     cols = list(dict.fromkeys([key, stratum, *(carry or [])]))
     feats = materialize(with_features(docs.select(*cols, *([text] if text not in cols else [])), text).drop(*([] if text in cols else [text])), "quality")
-    return apply_rules(feats, select_cutoffs(feats, labels, key, stratum=stratum), stratum)
+    return apply_rules(feats, materialize(select_cutoffs(feats, labels, key, stratum=stratum), "cutoffs"), stratum)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:

@@ -18,5 +18,6 @@ ORACLE_SQL = {
     "op2_substring_dedup": oracles.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_quality_rules": oracles.OP7_SQL,
+    "op8_ngram_join": oracles.OP8_SQL,
     "op10_embedding_dedup": oracles.OP10_SQL,
 }
