@@ -1,4 +1,4 @@
-"""Calibration and study: GARCH fits, Kalman smoother, EM rulers. Each group's series is one pandas group; grids run as many groups."""
+"""Calibration and study: GARCH fits, Kalman smoother, EM rulers. Each group's series is one pandas group; a grid is evaluated in one pass."""
 
 from __future__ import annotations
 
@@ -9,31 +9,27 @@ from pyspark.sql import functions as F
 
 from . import stats
 
-BAD = 1e20
-
-
-def garch_nll(alpha: float, beta: float, r: np.ndarray, noise: float, var: float) -> float:
-    """Gaussian negative log-likelihood of a variance-targeted GARCH(1,1) with additive noise; huge outside the constraints."""
-    if alpha <= 0 or beta <= 0 or alpha + beta >= 0.9999:
-        return BAD
-    omega, h, total = var * (1 - alpha - beta), var, 0.0
-    for x in r.tolist():
-        s = h + noise
-        if s <= 0:
-            return BAD
-        x2 = x * x
-        total += np.log(s) + x2 / s
-        h = omega + alpha * max(x2 - noise, 0.0) + beta * h
-    return 0.5 * total
-
-
-def garch_filter(r: np.ndarray, alpha: float, beta: float, noise: float, var: float) -> np.ndarray:
-    out, h = np.empty(len(r)), var
-    omega = var * (1 - alpha - beta)
-    for i, x in enumerate(r.tolist()):
-        out[i] = h
-        h = omega + alpha * max(x * x - noise, 0.0) + beta * h
-    return out
+def variance_lanes(returns: np.ndarray, alpha, beta, noise: float, target: float, paths: bool = False) -> np.ndarray:
+    """Variance-targeted GARCH(1,1) with additive noise for many (alpha, beta) at once: one pass over the returns, one lane a pair.
+
+    Gaussian negative log-likelihoods by lane (infinite outside the constraints), or with ``paths`` the variances before each return.
+    """
+    alpha, beta = np.broadcast_arrays(np.atleast_1d(np.asarray(alpha, float)), np.atleast_1d(np.asarray(beta, float)))
+    squares = returns * returns
+    news = np.maximum(squares - noise, 0.0)
+    anchor, level = target * (1 - alpha - beta), np.full(alpha.shape, float(target))
+    cost, seen = np.zeros(alpha.shape), np.empty((len(returns), *alpha.shape) if paths else (0,))
+    with np.errstate(all="ignore"):  # lanes outside the constraints
+        for i in range(len(returns)):
+            if paths:
+                seen[i] = level
+            else:
+                cost += np.log(level + noise) + squares[i] / (level + noise)
+            level = anchor + alpha * news[i] + beta * level
+    if paths:
+        return seen
+    allowed = (alpha > 0) & (beta > 0) & (alpha + beta < 0.9999) & np.isfinite(cost)
+    return np.where(allowed, cost / 2, np.inf)
 
 
 def nelder_mead(f, start: np.ndarray, size: float = 0.01, steps: int = 200, tol: float = 1e-8) -> np.ndarray:
@@ -66,25 +62,23 @@ def nelder_mead(f, start: np.ndarray, size: float = 0.01, steps: int = 200, tol:
 
 
 def garch_grid(returns: DataFrame, key: str = "grp", r: str = "log_return", order: str = "snap_ts_ns", alphas=None, betas=None, floor: float = 1e-12) -> DataFrame:
-    """Likelihood of every (alpha, beta) of the grid for each group: a task takes one group and one alpha, so the grid is spread out.
+    """Likelihood of every allowed (alpha, beta) of the grid for each group, all in one pass over the group's returns.
 
-    Returns are sent once for each alpha; noise and signal variances come from the lag-1 autocovariance.
+    Noise and signal variances come from the lag-1 autocovariance.
     """
-    spark = returns.sparkSession
-    alphas = list(alphas if alphas is not None else np.round(np.arange(0.01, 0.16, 0.01), 4))
-    betas = [float(b) for b in (betas if betas is not None else np.round(np.arange(0.80, 0.99, 0.01), 4))]
-    grid = spark.createDataFrame([(float(a),) for a in alphas], "alpha double")
+    alphas = np.asarray(alphas if alphas is not None else np.round(np.arange(0.01, 0.16, 0.01), 4), float)
+    betas = np.asarray(betas if betas is not None else np.round(np.arange(0.80, 0.99, 0.01), 4), float)
+    a, b = (x.ravel() for x in np.meshgrid(alphas, betas, indexing="ij"))
+    a, b = a[a + b < 0.9999], b[a + b < 0.9999]
     base = stats.noise_by_autocov(returns, r, [key], [order], floor)
-    d = returns.where(F.col(r).isNotNull()).select(key, order, F.col(r).alias("_r")).join(base.select(key, "noise_var", "signal_var"), key).join(F.broadcast(grid))  # the grid is a parameter
+    d = returns.where(F.col(r).isNotNull()).select(key, order, F.col(r).alias("_r")).join(base.select(key, "noise_var", "signal_var"), key)
 
     def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)["_r"].to_numpy()
-        noise, var = pdf["noise_var"].iloc[0], pdf["signal_var"].iloc[0]
-        rows = [(k[0], k[1], b, garch_nll(k[1], b, x, noise, var)) for b in betas if k[1] + b < 0.9999]
-        return pd.DataFrame(rows, columns=[key, "alpha", "beta", "nll"])
+        return pd.DataFrame({key: k[0], "alpha": a, "beta": b, "nll": variance_lanes(x, a, b, pdf["noise_var"].iloc[0], pdf["signal_var"].iloc[0])})
 
     kind = dict(returns.dtypes)[key]
-    return d.groupBy(key, "alpha").applyInPandas(run, f"`{key}` {kind}, alpha double, beta double, nll double")
+    return d.groupBy(key).applyInPandas(run, f"`{key}` {kind}, alpha double, beta double, nll double")
 
 
 def garch_fit(returns: DataFrame, key: str = "grp", r: str = "log_return", order: str = "snap_ts_ns", refine: bool = True, **grid) -> DataFrame:
@@ -98,9 +92,10 @@ def garch_fit(returns: DataFrame, key: str = "grp", r: str = "log_return", order
         x, one = pdf.sort_values(order)["_r"].to_numpy(), pdf.iloc[0]
         a, b, nll = one.alpha0, one.beta0, one.nll0
         if refine:
-            got = nelder_mead(lambda p: garch_nll(p[0], p[1], x, one.noise_var, one.signal_var), np.array([a, b]))
+            loss = lambda p: float(variance_lanes(x, p[0], p[1], one.noise_var, one.signal_var)[0])
+            got = nelder_mead(loss, np.array([a, b]))
             a, b = float(np.clip(got[0], 0.005, 0.25)), float(np.clip(got[1], 0.70, 0.995))
-            nll = garch_nll(a, b, x, one.noise_var, one.signal_var)
+            nll = loss((a, b))
         return pd.DataFrame([(k[0], a, b, one.signal_var * (1 - a - b), one.noise_var, nll)], columns=[key, "alpha", "beta", "omega", "noise_var", "nll"])
 
     kind = dict(returns.dtypes)[key]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bars as br
 from ..operators import folds, vol
 from ..sources import files
+from . import model_sql as ms
 from .common import BARS_SQL, BASE_MS, HOUR_NS, KEY, SNAPS_SQL, base_bars, drop_symbol, r, rounded, snaps, sql, ticks
 
 QUERIES, SQL = {}, {}
@@ -64,6 +65,6 @@ q("l7_garch_final", lambda s, d: folds.final(base_bars(s, d).withColumn("x", vol
 LG = ["e AS (SELECT venue, open_time_ms, k, CASE WHEN dgk > 0 THEN ln(dgk) END AS s FROM db WHERE k = 1 UNION ALL SELECT p.venue, p.open_time_ms, p.k, CASE WHEN p.dgk > 0 THEN CASE WHEN e.s IS NULL THEN ln(p.dgk) ELSE 0.5 * ln(p.dgk) + 0.5 * e.s END ELSE e.s END FROM e JOIN db p ON p.venue = e.venue AND p.k = e.k + 1)"]
 q("l8_log_gk_ewma", lambda s, d: vol.log_gk_ewma_path(base_bars(s, d), P, 60.0).select(*KEY, "open_time_ms", "ewma_log_gk"), [BARS_SQL, SEAS, *LG], f"SELECT venue, open_time_ms, {r('s AS ewma_log_gk')} FROM e", True)
 q("l9_realized", lambda s, d: vol.realized(base_bars(s, d), 60.0, 360).select(*KEY, "open_time_ms", "realized_vol"), [BARS_SQL, "v AS (SELECT venue, open_time_ms, avg(gk) OVER (PARTITION BY venue ORDER BY open_time_ms ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM gkb)"], f"SELECT venue, open_time_ms, {r('CASE WHEN x > 1e-300 THEN sqrt(x * (525960.0 / 60)) END AS realized_vol')} FROM v")
-q("l10_predict", lambda s, d: vol.predict(base_bars(s, d), P, 60.0))
-q("i4_vol_table", lambda s, d: vol.predict(base_bars(s, d), P, 60.0).join(br.bar_status(base_bars(s, d)).select(*KEY, "last_close"), KEY))
+q("l10_predict", lambda s, d: vol.predict(base_bars(s, d), P, 60.0), [BARS_SQL, ROLL, *ms.PREDICT], f"SELECT venue, {ms.STATUS}, {r(*ms.PREDICTED)} FROM nw", True)
+q("i4_vol_table", lambda s, d: vol.predict(base_bars(s, d), P, 60.0).join(br.bar_status(base_bars(s, d)).select(*KEY, "last_close"), KEY), [BARS_SQL, ROLL, *ms.PREDICT], f"SELECT venue, {ms.STATUS}, {r(*ms.PREDICTED, '(SELECT arg_max(close, open_time_ms) FROM bars WHERE bars.venue = nw.venue) AS last_close')} FROM nw", True)
 q("l12_reseed", lambda s, d: vol.reseed(s.createDataFrame([("a", 0.5), ("b", 0.6)], "grp string, ann_vol double"), s.createDataFrame([("b", 0.9)], "grp string, ann_vol double")).select("grp", "ann_vol", (F.col("h_per_ms") * 1e12).alias("h")), [], f"SELECT grp, ann_vol, {r('ann_vol * ann_vol / (365.25 * 86400000) * 1e12 AS h')} FROM (VALUES ('a', 0.5::DOUBLE), ('b', 0.9::DOUBLE)) v(grp, ann_vol)")

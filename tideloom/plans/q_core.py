@@ -28,7 +28,8 @@ q("b3_last_n", lambda s, d: buffers.last_n(ticks(s, d), 50).select(*KEY, "seq",
 q("b4_retain", lambda s, d: buffers.retain(ticks(s, d), 64).select(*KEY, "seq"), [], "SELECT venue, seq FROM ticks QUALIFY row_number() OVER (PARTITION BY venue ORDER BY seq DESC) <= 64")
 q("b5_since_cursor", lambda s, d: buffers.since(ticks(s, d), 100, 30).select(*KEY, "seq", "pos"), [], "SELECT venue, seq, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY seq) - 1 AS pos FROM ticks) WHERE pos >= 100 AND pos < 130")
 q("b6_write_count", lambda s, d: buffers.write_counts(ticks(s, d)), [], "SELECT venue, count(*) AS write_count FROM ticks GROUP BY venue")
-q("b7_latest_book", lambda s, d: books.depth(adapters.book_updates(s, d), 4).select(*KEY, F.to_json("bids").alias("bids"), F.to_json("asks").alias("asks")))
+DEPTH = "dl AS (SELECT venue, side, price, arg_max(qty, seq) AS qty FROM books b WHERE epoch = (SELECT max(epoch) FROM books c WHERE c.venue = b.venue) GROUP BY ALL), dp AS (SELECT *, row_number() OVER (PARTITION BY venue, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS k FROM dl WHERE qty > 0)"
+q("b7_latest_book", lambda s, d: books.depth(adapters.book_updates(s, d), 4).select(*KEY, F.to_json("bids").alias("bids"), F.to_json("asks").alias("asks")), [BOOKS_SQL, DEPTH], "SELECT venue, " + ", ".join(f"""coalesce('[' || string_agg('{{"price":' || price || ',"qty":' || qty || '}}', ',' ORDER BY k) FILTER (side = '{x}') || ']', '[]') AS {x}s""" for x in ("bid", "ask")) + " FROM dp WHERE k <= 4 GROUP BY venue")
 
 crossed = lambda s, d: ticks(s, d).withColumn("ask", F.when(F.col("seq") % 10 == 0, F.col("bid")).when(F.col("seq") % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("ask")))
 CROSSED = "x AS (SELECT venue, seq, bid, CASE WHEN seq % 10 = 0 THEN bid WHEN seq % 13 = 0 THEN NULL ELSE ask END AS ask FROM ticks)"
@@ -101,7 +102,7 @@ q("h9_pool_math", lambda s, d: s.createDataFrame(POOLS, "pool string, x96 string
   [], "SELECT pool, round(log10(x / pow(2, 96)), 6) AS sqrt_price, (floor(tick / spacing::DOUBLE)::INT * spacing)::INT AS tick_lower, round(tick / 2.0 * log10(1.0001), 6) AS tick_price, round(log10(CASE WHEN inv THEN 1 / (pow(x / pow(2, 96), 2) * pow(10, d0 - d1)) ELSE pow(x / pow(2, 96), 2) * pow(10, d0 - d1) END), 6) AS price FROM (VALUES ('a', 1461446703485210103287273052203988822378723970341::DOUBLE, -7, 10, 18, 6, true), ('b', 79228162514264337593543950336::DOUBLE, 13, 10, 18, 18, false), ('c', 4295128739::DOUBLE, -887272, 60, 6, 18, false)) v(pool, x, tick, spacing, d0, d1, inv)")
 q("h10_tokens", lambda s, d: s.createDataFrame([("WETH",), ("cbBTC",), ("WBTC",), ("sol",)], "t string").select("t", sc.normalise_token("t").alias("base"), F.lit("s").alias("symbol")), [], "SELECT t, CASE upper(t) WHEN 'WETH' THEN 'ETH' WHEN 'WBTC' THEN 'BTC' WHEN 'CBBTC' THEN 'BTC' ELSE upper(t) END AS base FROM (VALUES ('WETH'), ('cbBTC'), ('WBTC'), ('sol')) v(t)")
 q("h11_fills_per_hour", lambda s, d: an.quote_fills(snaps(s, d), "ask", 50.0, 500).select(*KEY, sc.fills_per_hour("n_fills", "elapsed_s").alias("per_hour")), [SNAPS_SQL, F6.replace("ask_low AS reach", "bid_high AS reach").replace("(1 - 50.0", "(1 + 50.0").replace("reach <= q", "reach >= q").replace("(nx - q)", "(q - nx)")], f"SELECT venue, {r('count(mo) * 3600.0 / least((max(snap_ts_ns) - min(snap_ts_ns)) / 1e9, 3600) AS per_hour')} FROM f1 GROUP BY venue")
-q("h12_formatting", lambda s, d: ticks(s, d).select("venue", "symbol", "seq", sc.short_number("bid * 1000").alias("shown")))
+q("h12_formatting", lambda s, d: ticks(s, d).select("venue", "symbol", "seq", sc.short_number("bid * 1000").alias("shown")), [], "SELECT venue, seq, CASE WHEN abs(bid * 1000) >= 1e6 THEN printf('%.1f', bid * 1000 / 1e6) || 'M' WHEN abs(bid * 1000) >= 1e3 THEN printf('%.1f', bid * 1000 / 1e3) || 'K' ELSE printf('%.0f', bid * 1000) END AS shown FROM ticks")
 q("j9_book_levels", lambda s, d: books.levels(adapters.book_updates(s, d)), [BOOKS_SQL], "SELECT venue, side, round(price, 6) AS price, round(qty, 6) AS qty FROM (SELECT *, row_number() OVER (PARTITION BY venue, side, price ORDER BY seq DESC) AS k FROM books b WHERE epoch = (SELECT max(epoch) FROM books c WHERE c.venue = b.venue)) WHERE k = 1 AND qty > 0")
 q("j9_book_top", lambda s, d: books.top(adapters.book_updates(s, d)), [BOOKS_SQL, "lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY venue, side, price ORDER BY seq DESC) AS k FROM books b WHERE epoch = (SELECT max(epoch) FROM books c WHERE c.venue = b.venue)) WHERE k = 1 AND qty > 0)"], "SELECT venue, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask, arg_max(qty, price) FILTER (side = 'bid') AS bid_qty, arg_min(qty, price) FILTER (side = 'ask') AS ask_qty FROM lv GROUP BY venue")
 q("a7_connection_race", lambda s, d: books.race_winners(ticks(s, d).withColumn("conn", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("received_ts_ns", F.col("received_ts_ns") + (F.col("seq") * 31 + F.col("conn") * 17) % 23).withColumn("conn", F.concat(F.lit("c"), "conn"))),

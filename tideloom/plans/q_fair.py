@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import buffers
 from ..operators import fairprice as fp
 from ..operators import stats as st
+from . import model_sql as ms
 from .common import HOUR_NS, KEY, drop_symbol, r, rounded, sql, ticks
 
 QUERIES, SQL = {}, {}
@@ -46,8 +47,16 @@ q("g8_fair_quote", lambda s, d: quotes(s, d).drop("ts_ns", "bid", "ask", "bid_qt
 q("g9_history", lambda s, d: fp.history(gg(s, d), 20).select("grp", "snap_ts_ns", "rn", "fair_price"), [MEMQ, GG], f"SELECT grp, snap_ts_ns, row_number() OVER (PARTITION BY grp ORDER BY snap_ts_ns DESC)::INT AS rn, {r('exp(y + p / 2) AS fair_price')} FROM fr QUALIFY rn <= 20")
 q("i3_fair_table", lambda s, d: fp.fair_table(quotes(s, d), 1_706_745_600_000_000_000, 1e-9).drop("highlight"), [MEMQ, GG, FQ, "lq AS (SELECT * FROM fq QUALIFY row_number() OVER (PARTITION BY venue ORDER BY t DESC, seq DESC) = 1), lt AS (SELECT *, ((bid + ask) / 2 - fv) / fv * 1e4 AS em, (ask - bid) / (ask + bid) * 1e4 AS hb, (1706745600000000000 - t) / 1e6 AS age FROM lq)"], f"SELECT grp, venue, {r('fv AS fair_at_venue', 'em AS edge_mid_bps', 'hb AS half_spread_bps', 'greatest(abs(em) - hb, 0) AS trade_edge_bps', 'age AS age_ms', 'sqrt(p + 1e-9 * 60000 + 1e-9 * age) * 1e4 AS venue_uncertainty_bps', digits=3)} FROM lt", digits=3)
 q("i2_feed_health", lambda s, d: buffers.latest(ticks(s, d)).select(*KEY, ((F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 1e4).alias("spread_bps"), F.when((F.col("received_ts_ns") - F.col("exchange_ts_ns")) / 1e6 < 100_000, (F.col("received_ts_ns") - F.col("exchange_ts_ns")) / 1e6).alias("latency_ms"), (F.lit(1_706_745_600_000_000_000) - F.col("received_ts_ns") > 5_000_000_000).alias("stale")), ["l AS (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY venue ORDER BY exchange_ts_ns DESC, seq DESC) = 1)"], f"SELECT venue, {r('(ask - bid) / ((ask + bid) / 2) * 1e4 AS spread_bps', 'CASE WHEN (received_ts_ns - exchange_ts_ns) / 1e6 < 100000 THEN (received_ts_ns - exchange_ts_ns) / 1e6 END AS latency_ms')}, 1706745600000000000 - received_ts_ns > 5000000000 AS stale FROM l")
-q("g1_kalman", lambda s, d: fp.kalman(obs(s, d), HOUR_NS, 1e-9, 1e-12, 1e-4).drop("biases"))
-q("g6_predict_only", lambda s, d: fp.kalman(obs(s, d), HOUR_NS // 4, 1e-9, 1e-12, 1e-4).where("n_ticks_used = 0").drop("biases"))
-q("a19_innovations", lambda s, d: fp.kalman(obs(s, d), HOUR_NS, 1e-9, 1e-12, 1e-4, rows="ticks"))
-q("g11_gg_bias", lambda s, d: fp.gg_bias(obs(s, d), gg(s, d), 3_600_000.0).select("grp", "venue", "seq", "bias_ewma"))
-q("e26_kalman_members", lambda s, d: st.member_report(fp.kalman(obs(s, d), HOUR_NS, 1e-9, 1e-12, 1e-4, rows="ticks").select("grp", "snap_ts_ns", F.concat_ws("-", "grp", "member_idx").alias("venue"), "log_mid", "s"), fp.kalman(obs(s, d), HOUR_NS, 1e-9, 1e-12, 1e-4).select("grp", "snap_ts_ns", F.col("log_fair_price").alias("y"))))
+KF = (1e-9, 1e-12, 1e-4)  # price and bias variance per millisecond, initial bias variance
+kalman = lambda s, d, step=HOUR_NS, rows="snaps": fp.kalman(obs(s, d), step, *KF, rows=rows)
+SNAP = f"SELECT grp, snap_ts_ns, {r('y AS log_fair_price', 'p', 'p_pre', 'p_pre_fwd', 'tau_fwd_ms', 'exp(y + p / 2) AS fair_price', 'sqrt(p) * 1e4 AS uncertainty_bps', VOL + ' AS vol_ann_pct', digits=5)}, n AS n_ticks_used, last AS last_tick_ts_ns FROM ks"
+q("g1_kalman", lambda s, d: kalman(s, d).drop("biases"), [MEMQ, *ms.kalman(HOUR_NS, *KF)], SNAP, True, digits=5)
+q("g6_predict_only", lambda s, d: kalman(s, d, HOUR_NS // 4).where("n_ticks_used = 0").drop("biases"), [MEMQ, *ms.kalman(HOUR_NS // 4, *KF)], SNAP + " WHERE n = 0", True, digits=5)
+TICK = ["log_mid", "tau_ms", "q", "p_pre", "innovation", "s", "gain", "y_post", "p_post"]
+q("a19_innovations", lambda s, d: kalman(s, d, rows="ticks"), [MEMQ, *ms.kalman(HOUR_NS, *KF)], f"SELECT grp, snap_ts_ns, tick_ts_ns, member_idx, {r(*TICK, digits=5)} FROM kt", True, digits=5)
+q("g11_gg_bias", lambda s, d: fp.gg_bias(obs(s, d), gg(s, d), 3_600_000.0).select("grp", "venue", "seq", "bias_ewma"), [MEMQ, GG, *ms.GG_BIAS], f"SELECT grp, venue, seq, {r('b AS bias_ewma')} FROM ge", True)
+q("e26_kalman_members", lambda s, d: st.member_report(kalman(s, d, rows="ticks").select("grp", "snap_ts_ns", F.concat_ws("-", "grp", "member_idx").alias("venue"), "log_mid", "s"), kalman(s, d).select("grp", "snap_ts_ns", F.col("log_fair_price").alias("y"))),
+  [MEMQ, *ms.kalman(HOUR_NS, *KF), "kn AS (SELECT grp, snap_ts_ns, y, lead(y) OVER (PARTITION BY grp ORDER BY snap_ts_ns) AS nx FROM ks), kj AS (SELECT kt.grp || '-' || member_idx AS venue, s, log_mid - y AS e, nx - y AS d FROM kt JOIN kn ON kt.grp = kn.grp AND kt.snap_ts_ns = kn.snap_ts_ns)"],
+  f"SELECT venue, count(*) AS n, {r('avg(e) AS bias_error', 'var_samp(e) / avg(s) AS noise_ratio', 'regr_slope(d, e) AS edge_beta', 'avg(CASE WHEN e <> 0 AND d <> 0 THEN (sign(e) = sign(d))::INT END) AS hit_rate', digits=4)} FROM kj GROUP BY venue", True, digits=4)
+EWS = ["ew AS (SELECT venue, seq, t, t AS t0, k, adj, hs AS s FROM ok WHERE k = 1 UNION ALL SELECT o.venue, o.seq, o.t, e.t0, o.k, o.adj, (1 - d) * o.hs + d * e.s FROM ew e JOIN (SELECT *, 0 AS z FROM ok) o ON o.venue = e.venue AND o.k = e.k + 1, LATERAL (SELECT pow(2, -((o.t - e.t) / 1e6) / greatest(least((o.t - e.t0) / 1e6, 36000000.0), 1.0)) AS d))"]
+q("g3_noise_ewmaspread", lambda s, d: fp.spread_ewma(obs(s, d), 36_000_000.0).select("grp", "venue", "seq", (fp.noise_var("EwmaSpread", 1e-3, 1.5, True) * 1e4).alias("noise")), [MEMQ, EWM[0], *EWS], f"SELECT mb.grp, ew.venue, seq, {r('greatest(pow(sqrt(greatest(s * s, 1e-6)) * ew.adj, 2), 1e-6) * 2.25 * 1e4 AS noise')} FROM ew JOIN mb ON ew.venue = mb.venue", True)

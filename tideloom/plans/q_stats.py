@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as cal
 from ..operators import joins as jn
 from ..operators import stats as st
+from . import model_sql as ms
 from .common import HOUR_NS, KEY, SNAPS_SQL, drop_symbol, r, rounded, snaps, sql, ticks
 
 QUERIES, SQL = {}, {}
@@ -69,16 +70,22 @@ q("e29_order_stats", lambda s, d: st.order_stats(ticks(s, d).withColumn("lat", (
 QUERIES["a23_latency_probe"], SQL["a23_latency_probe"] = QUERIES["e29_order_stats"], SQL["e29_order_stats"]
 
 rets = lambda s, d: snaps(s, d).withColumn("grp", F.col("venue")).select("grp", "snap_ts_ns", "log_return")
-q("m2_garch_grid", lambda s, d: cal.garch_grid(rets(s, d)))
+NOISE = "a AS (SELECT venue, x, lead(x) OVER (PARTITION BY venue ORDER BY p) AS y FROM rt), b AS (SELECT venue, greatest(-2 * covar_pop(x, y), 0) AS nv, var_pop(x) AS v FROM a GROUP BY venue)"
+q("m2_garch_grid", lambda s, d: cal.garch_grid(rets(s, d)), [SNAPS_SQL, RET, NOISE, *ms.GARCH_GRID], f"SELECT venue AS grp, al AS alpha, be AS beta, {r('nll', digits=5)} FROM gn", True, digits=5)
+q("m1_garch_best", lambda s, d: cal.garch_fit(rets(s, d), refine=False), [SNAPS_SQL, RET, NOISE, *ms.GARCH_GRID], f"SELECT venue AS grp, al AS alpha, be AS beta, {r('sv * (1 - al - be) AS omega', 'nv AS noise_var', 'nll', digits=5)} FROM gn QUALIFY row_number() OVER (PARTITION BY venue ORDER BY nll, al, be) = 1", True, digits=5)
 q("m1_garch_fit", lambda s, d: cal.garch_fit(rets(s, d)))
 q("m4_constant_vol", lambda s, d: cal.constant_vol(rets(s, d)), [SNAPS_SQL], f"SELECT venue AS grp, {r('var_pop(log_return) AS h')} FROM snaps GROUP BY venue")
 q("m4_ewma_vol", lambda s, d: cal.ewma_vol(rets(s, d), 0.1).select("grp", "snap_ts_ns", "h"), [SNAPS_SQL, RET, "e AS (SELECT venue, snap_ts_ns, p, (x * x)::DOUBLE AS h FROM rt WHERE p = 0 UNION ALL SELECT rt.venue, rt.snap_ts_ns, rt.p, 0.1 * rt.x * rt.x + 0.9 * e.h FROM e JOIN rt ON rt.venue = e.venue AND rt.p = e.p + 1)"], f"SELECT venue AS grp, snap_ts_ns, {r('h')} FROM e", True)
-q("m5_har_path", lambda s, d: cal.har_path(rets(s, d), 6 * HOUR_NS, 6, [1, 4], [0.5, 0.3], -0.2))
+RB = "c AS (SELECT venue, snap_ts_ns // 21600000000000 AS b, snap_ts_ns, sum(log_return) OVER (PARTITION BY venue, snap_ts_ns // 21600000000000 ORDER BY snap_ts_ns) AS c FROM snaps WHERE log_return IS NOT NULL), g AS (SELECT venue, b, greatest(max(c), 0) AS h, least(min(c), 0) AS l, arg_max(c, snap_ts_ns) AS c FROM c GROUP BY venue, b HAVING count(*) >= 3)"
+q("m5_har_path", lambda s, d: cal.har_path(rets(s, d), 6 * HOUR_NS, 6, [1, 4], [0.5, 0.3], -0.2), [SNAPS_SQL, RB, *ms.HAR_PATH], f"SELECT s.venue AS grp, snap_ts_ns, {r('log_return', 'har_h')} FROM snaps s LEFT JOIN hf ON hf.venue = s.venue AND hf.b = snap_ts_ns // 21600000000000")
 q("m6_observations", lambda s, d: cal.observations(lm(s, d).select("grp", "venue", "snap_ts_ns", "log_mid")), [SNAPS_SQL, LM, "o AS (SELECT venue, snap_ts_ns, log_mid, dense_rank() OVER (ORDER BY snap_ts_ns) - 1 AS step, lag(log_mid) OVER (PARTITION BY venue ORDER BY snap_ts_ns) AS pl FROM lm), n AS (SELECT *, max(CASE WHEN pl IS NULL OR log_mid <> pl THEN step END) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS UNBOUNDED PRECEDING) AS ls FROM o)"], f"SELECT 'G' AS grp, venue, snap_ts_ns, {r('log_mid')}, step::INT AS step, greatest(step - ls, 0)::INT AS age FROM n")
 obs = lambda s, d: cal.observations(lm(s, d).select("grp", "venue", "snap_ts_ns", "log_mid"))
 rul = lambda s: s.createDataFrame([("G", v, 0.01 * i, 0.1) for i, v in enumerate(("click", "view", "purchase", "signup", "error"))], "grp string, venue string, bias double, noise_var double")
 q("m8_em_rulers", lambda s, d: cal.fit_rulers_em(obs(s, d), 0.01))
-q("m9_replay", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01))
-q("m7_smoother", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01, backward=True))
-q("m10_score", lambda s, d: st.score(snaps(s, d), "log_return", ["venue"], ["snap_ts_ns"]))
-q("m11_model_table", lambda s, d: cal.compare({"filter": cal.replay(obs(s, d), rul(s), 0.01), "smoother": cal.replay(obs(s, d), rul(s), 0.01, backward=True)}))
+STEPS = "o AS (SELECT venue, snap_ts_ns, log_mid, dense_rank() OVER (ORDER BY snap_ts_ns) - 1 AS step, lag(log_mid) OVER (PARTITION BY venue ORDER BY snap_ts_ns) AS pl FROM lm), n AS (SELECT *, max(CASE WHEN pl IS NULL OR log_mid <> pl THEN step END) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS UNBOUNDED PRECEDING) AS ls FROM o)"
+filt = [SNAPS_SQL, LM, STEPS, *ms.SMOOTHER]
+q("m9_replay", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01), filt, f"SELECT 'G' AS grp, step, {r('m AS y', 'p')} FROM sf", True)
+q("m7_smoother", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01, backward=True), filt, f"SELECT 'G' AS grp, step, {r('m AS y', 'p')} FROM sb", True)
+q("m10_score", lambda s, d: st.score(snaps(s, d), "log_return", ["venue"], ["snap_ts_ns"]), [SNAPS_SQL, "sc0 AS (SELECT venue AS key, snap_ts_ns AS o, log_return AS x FROM snaps)", *ms.score("sc0", "sc")], f"SELECT key AS venue, {r(*ms.SCORES, digits=4)} FROM sc", digits=4)
+MODELS = "md AS (SELECT 'filter' AS model, step, m FROM sf UNION ALL SELECT 'smoother', step, m FROM sb), sc0 AS (SELECT {'m': model, 'part': CASE WHEN step <= (SELECT quantile_cont(step, 0.5) FROM sf) THEN 'in' ELSE 'out' END} AS key, step AS o, m - lag(m) OVER (PARTITION BY model ORDER BY step) AS x FROM md)"
+q("m11_model_table", lambda s, d: cal.compare({"filter": cal.replay(obs(s, d), rul(s), 0.01), "smoother": cal.replay(obs(s, d), rul(s), 0.01, backward=True)}), [*filt, MODELS, *ms.score("sc0", "sc")], f"SELECT 'G' AS grp, key.part AS part, key.m AS model, {r(*ms.SCORES, digits=4)} FROM sc", True, digits=4)
