@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols as sym
 from ..sources import adapters, feeds, files
+from . import feed_samples as fs
 from .common import r, rounded, sql, ticks
 
 QUERIES, SQL = {}, {}
@@ -18,27 +19,18 @@ def q(name, fn, ctes=None, select=None, digits=6):
         SQL[name] = sql(ctes or [], select)
 
 
-def raw_quotes(s, d):
-    """Every tick as its venue's message: events' five types become five venues' formats."""
-    t = ticks(s, d).withColumn("ms", F.expr("exchange_ts_ns DIV 1000000")).withColumn("i", F.expr("seq % 5"))
-    msg = F.expr("""CASE i
-        WHEN 0 THEN to_json(named_struct('stream', 's', 'data', named_struct('s', 'BTCUSDT', 'b', CAST(bid AS STRING), 'a', CAST(ask AS STRING), 'B', CAST(bid_qty AS STRING), 'A', CAST(ask_qty AS STRING), 'u', seq, 'E', ms)))
-        WHEN 1 THEN to_json(named_struct('topic', 'orderbook.1.BTCUSDT', 'ts', ms, 'data', named_struct('s', 'BTCUSDT', 'b', array(array(CAST(bid AS STRING), CAST(bid_qty AS STRING))), 'a', array(array(CAST(ask AS STRING), CAST(ask_qty AS STRING))))))
-        WHEN 2 THEN concat('[340,["', bid, '","', ask, '","', CAST(ms DIV 1000 AS STRING), '.', lpad(CAST(ms % 1000 AS STRING), 3, '0'), '","', bid_qty, '","', ask_qty, '"],"spread","XBT/USD"]')
-        WHEN 3 THEN to_json(named_struct('arg', named_struct('channel', 'bbo-tbt', 'instId', 'BTC-USDT-SWAP'), 'data', array(named_struct('asks', array(array(CAST(ask AS STRING), CAST(ask_qty AS STRING))), 'bids', array(array(CAST(bid AS STRING), CAST(bid_qty AS STRING))), 'ts', CAST(ms AS STRING)))))
-        ELSE to_json(named_struct('channel', 'l2Book', 'data', named_struct('coin', 'BTC', 'time', ms, 'levels', array(array(named_struct('px', CAST(bid AS STRING), 'sz', CAST(bid_qty AS STRING))), array(named_struct('px', CAST(ask AS STRING), 'sz', CAST(ask_qty AS STRING))))))) END""")
-    venue = F.element_at(F.array(*map(F.lit, ["binance", "bybit", "kraken", "okx", "hyperliquid"])), F.col("i").cast("int") + 1)
-    itype = F.element_at(F.array(*map(F.lit, ["perp", "spot", "spot", "perp", "perp"])), F.col("i").cast("int") + 1)
-    return t.select(venue.alias("venue"), itype.alias("itype"), msg.alias("raw"), "received_ts_ns", "seq")
-
-
-USED = [("binance", "perp"), ("bybit", "spot"), ("kraken", "spot"), ("okx", "perp"), ("hyperliquid", "perp")]
-V = "['binance', 'bybit', 'kraken', 'okx', 'hyperliquid'][(seq % 5)::INT + 1]"
-q("a3_feed_quotes", lambda s, d: feeds.quotes(raw_quotes(s, d), s.createDataFrame([("okx", "perp", "BTC-USDT-SWAP", 0.01)], "venue string, itype string, symbol string, multiplier double"), USED).select("venue", "symbol", "seq", "bid", "ask", "bid_qty", "ask_qty", "exchange_ts_raw_ns", "received_ts_ns"), [],
-  f"SELECT {V} AS venue, ['BTCUSDT', 'BTCUSDT', 'XBT/USD', 'BTC-USDT-SWAP', 'BTC'][(seq % 5)::INT + 1] AS symbol, seq, {r('bid', 'ask', 'bid_qty * CASE WHEN seq % 5 = 3 THEN 0.01 ELSE 1 END AS bid_qty', 'ask_qty * CASE WHEN seq % 5 = 3 THEN 0.01 ELSE 1 END AS ask_qty')}, exchange_ts_ns // 1000000 * 1000000 AS exchange_ts_raw_ns, received_ts_ns FROM ticks")
-q("a3_feed_trades", lambda s, d: feeds.trades(adapters.trades(s, d).where("side IS NOT NULL").select(F.lit("binance").alias("venue"), F.lit("perp").alias("itype"), F.to_json(F.struct(F.struct(F.lit("BTCUSDT").alias("s"), F.col("price").cast("string").alias("p"), F.col("qty").cast("string").alias("q"), F.expr("exchange_ts_ns DIV 1000000").alias("T"), (F.col("side") == "sell").alias("m")).alias("data"))).alias("raw"), "received_ts_ns", "seq"), [("binance", "perp")]).groupBy("side").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.max("exchange_ts_ns").alias("last_ns")), [],
-  "SELECT CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' END AS side, count(*) AS n, round(sum(l_quantity), 6) AS qty, max(epoch_us(l_shipdate) * 1000) AS last_ns FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 0 GROUP BY 1")
-q("a3_feed_books", lambda s, d: feeds.book_updates(adapters.book_updates(s, d).select(F.lit("apex").alias("venue"), F.lit("perp").alias("itype"), F.concat(F.lit('{"topic":"t","type":"'), F.when(F.col("seq") % 500 == 0, "snapshot").otherwise("delta"), F.lit('","ts":1700000000000000,"data":{"s":"'), "venue", F.lit('","'), F.substring("side", 1, 1), F.lit('":[["'), F.col("price").cast("string"), F.lit('","'), F.col("qty").cast("string"), F.lit('"]]}}')).alias("raw"), F.lit(0).cast("long").alias("received_ts_ns"), "seq"), [("apex", "perp")]).groupBy("symbol", "side").agg(F.count("*").alias("n"), F.sum("price").alias("px"), F.sum("qty").alias("qty")), [adapters.BOOKS_SQL], "SELECT venue AS symbol, side, count(*) AS n, round(sum(price), 6) AS px, round(sum(qty), 6) AS qty FROM books GROUP BY ALL")
+MULT = [("okx", "perp", "BTC-USDT", 0.01)]
+NQ, NT, NB = len(fs.QUOTES), len(fs.TRADES), len(fs.BOOKS)
+at = lambda values, n: f"{fs.listed(values)}[(seq % {n})::INT + 1]"
+okx = [k for k, *_ in fs.QUOTES].index(("okx", "perp"))
+q("a3_feed_quotes", lambda s, d: feeds.quotes(fs.quote_messages(ticks(s, d)), s.createDataFrame(MULT, "venue string, itype string, symbol string, multiplier double")).select("venue", "itype", "symbol", "seq", "bid", "ask", "bid_qty", "ask_qty", "exchange_ts_raw_ns", "received_ts_ns"), [],
+  f"SELECT {at([k[0] for k, *_ in fs.QUOTES], NQ)} AS venue, {at([k[1] for k, *_ in fs.QUOTES], NQ)} AS itype, {at([x[1] for x in fs.QUOTES], NQ)} AS symbol, seq, {r('bid', 'ask', *[f'{c} * CASE WHEN seq % {NQ} = {okx} THEN 0.01 ELSE 1 END AS {c}' for c in ('bid_qty', 'ask_qty')])}, exchange_ts_ns // 1000000 * 1000000 AS exchange_ts_raw_ns, received_ts_ns FROM ticks")
+TR = "tr AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_extendedprice / l_quantity AS price, l_quantity AS qty, CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' END AS side, epoch_us(l_shipdate) * 1000 AS t FROM lineitem WHERE l_quantity > 0)"
+q("a3_feed_trades", lambda s, d: feeds.trades(fs.trade_messages(adapters.trades(s, d))).select("venue", "itype", "symbol", "seq", "price", "qty", "side", "exchange_ts_raw_ns"), [TR],
+  f"SELECT {at([x[0][0] for x in fs.TRADES], NT)} AS venue, {at([x[0][1] for x in fs.TRADES], NT)} AS itype, {at([x[1] for x in fs.TRADES], NT)} AS symbol, seq, {r('price', 'qty', digits=9)}, side, t // 1000000 * 1000000 AS exchange_ts_raw_ns FROM tr", digits=9)
+BM = f"bm AS (SELECT {at([x[0][0] for x in fs.BOOKS], NB)} AS v, {at([x[0][1] for x in fs.BOOKS], NB)} AS i, venue AS symbol, seq, side, price, qty, CASE WHEN seq % 50 = 0 AND {at([int(x[1] is not None) for x in fs.BOOKS], NB)} = '1' THEN 1 ELSE 0 END AS snap FROM books)"
+q("a3_feed_books", lambda s, d: feeds.book_updates(fs.book_messages(adapters.book_updates(s, d))).select("venue", "itype", "symbol", "seq", "side", "price", "qty", "epoch"), [adapters.BOOKS_SQL, BM],
+  f"SELECT v AS venue, i AS itype, symbol, seq, side, {r('price', 'qty')}, (sum(snap) OVER (PARTITION BY v, symbol ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS epoch FROM bm")
 q("a12_volumes", lambda s, d: feeds.volumes(s.createDataFrame([("binance", "spot", '{"symbol":"BTCUSDT","volume":"12.5"}'), ("okx", "perp", '{"instId":"BTC-USDT-SWAP","vol24h":"900","volCcy24h":"9"}'), ("okx", "spot", '{"instId":"BTC-USDT","vol24h":"7"}'), ("hyperliquid", "perp", '{"coin":"BTC","dayNtlVlm":"1000","markPx":"50"}'), ("bybit", "perp", "{}")], "venue string, itype string, raw string")), [], "SELECT * FROM (VALUES ('binance', 'spot', 'BTCUSDT', 12.5::DOUBLE), ('okx', 'perp', 'BTC-USDT-SWAP', 9.0), ('okx', 'spot', 'BTC-USDT', 7.0), ('hyperliquid', 'perp', 'BTC', 20.0)) v(venue, itype, symbol, vol_24h)")
 q("a16_capture_quotes", lambda s, d: files.capture_quotes(ticks(s, d)), [], f"SELECT received_ts_ns AS tick_ts_ns, venue AS exchange, symbol, {r('bid', 'ask', 'bid_qty', 'ask_qty')}, exchange_ts_ns, received_ts_ns FROM ticks")
 q("a17_capture_trades", lambda s, d: files.capture_trades(adapters.trades(s, d)), [], "SELECT epoch_us(l_shipdate) * 1000 AS tick_ts_ns, l_linestatus AS exchange, 'SYM' AS symbol, round(l_extendedprice / l_quantity, 9) AS price, round(l_quantity, 9) AS qty, CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE '' END AS side, epoch_us(l_shipdate) * 1000 AS exchange_ts_ns, epoch_us(l_shipdate) * 1000 AS received_ts_ns FROM lineitem WHERE l_quantity > 0", digits=9)

@@ -1,11 +1,14 @@
 """Venue payloads (JSON text, one message a row) to quotes, trades and book updates, as SQL projections.
 
-Raw rows have venue, itype, raw, received_ts_ns and seq. Unknown messages give no rows. Times go to nanoseconds; numbers that don't
-parse are NULL. Every decoder is one projection, so a venue's messages are read once and nothing is shuffled.
+Raw rows have venue and itype (in lower case, as the tables below name them), raw, received_ts_ns and seq. Unknown messages give no rows.
+Times go to nanoseconds; numbers that don't parse are NULL. All venues are decoded in one scan: a CASE picks the format, each level
+of a message is parsed once (objects to maps, arrays to arrays of texts) and bound to a name, and one generator emits the rows,
+so nothing is inlined into the fields and nothing is shuffled. The venues asked for are a filter that reaches the scan.
 """
 
 from __future__ import annotations
 
+import re
 import struct as _struct
 
 import pandas as pd
@@ -74,33 +77,65 @@ def _ns(x: str, unit: str) -> str:
     return f"try_cast({x} AS BIGINT) * {dict(ms=1000000, us=1000, ns=1)[unit]}"
 
 
-def _of(raw: DataFrame, key: tuple[str, str]) -> DataFrame:
-    return raw.where((F.lower("venue") == key[0]) & (F.lower("itype") == key[1]))
+def _decode(source: str, paths: dict[str, str | None], body, var: str = "m") -> str:
+    """``body`` over the texts at ``paths`` of the JSON text ``source``; every inner level is parsed once."""
+    levels, tree = [], {}
+    found = {n: "CAST(NULL AS STRING)" for n, p in paths.items() if p is None}
+    for name, path in paths.items():
+        node = tree
+        for step in re.findall(r"[^.\[\]]+", path or ""):
+            node = node.setdefault(step, {})
+        if path is not None:
+            node.setdefault("", []).append(name)
+
+    def walk(node: dict, text: str) -> None:
+        for name in node.get("", []):
+            found[name] = text
+        inner = [k for k in node if k]
+        if inner:
+            v, is_array = f"{var}{len(levels)}", inner[0].isdigit()
+            levels.append((v, f"from_json({text}, '{'array<string>' if is_array else 'map<string,string>'}')"))
+            for k in inner:
+                walk(node[k], f"get({v}, {k})" if is_array else f"try_element_at({v}, '{k}')")
+
+    walk(tree, source)
+    out = body(found)
+    for v, e in reversed(levels):
+        out = f"transform(array({e}), {v} -> {out})[0]"
+    return out
 
 
-def _union(parts: list[DataFrame], schema: str, raw: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _emit(raw: DataFrame, branches: dict[tuple[str, str], str], carry: str = "venue, itype, received_ts_ns, seq") -> DataFrame:
+    """Rows of the branch (an array of structs) of each message's venue."""
+    case = "CASE " + " ".join(f"WHEN venue = '{v}' AND itype = '{i}' THEN {e}" for (v, i), e in branches.items()) + " END"
+    known = raw.where(F.col("venue").isin(sorted({v for v, _ in branches})) & F.col("itype").isin(sorted({i for _, i in branches})))
+    return known.selectExpr(*carry.split(", "), f"inline({case})")
+
+
+def _struct_of(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+
+
+def _number(key: tuple[str, str], text: str) -> str:
+    return f"try_cast({text} AS DOUBLE)" + (" / 1e18D" if key in FIXED18 else "")
 
 
 def quotes(raw: DataFrame, multipliers: DataFrame | None = None, keys=None) -> DataFrame:
     """Best bid and ask of the stateless feeds. ``multipliers``: (venue, itype, symbol, multiplier) for contract sizes (1 where unknown)."""
-    raw = raw.withColumn("raw", F.when(F.lower("venue") == "bingx", F.expr("CASE WHEN get_json_object(raw, '$.data') LIKE '{%' THEN concat('{\"data\":', get_json_object(raw, '$.data'), '}') ELSE raw END")).otherwise(F.col("raw")))
-    parts = []
+    branches = {}
     for key in keys or QUOTES:
         sym, b, a, bq, aq, ts, unit, crossed, need = QUOTES[key]
-        num = lambda p: f"try_cast({_get(p)} AS DOUBLE)" + (" / 1e18D" if key in FIXED18 else "")  # noqa: B023, E731
-        d = _of(raw, key).where(f"{_get(need)} IS NOT NULL").selectExpr("venue", "itype", f"{_get(sym)} AS symbol", f"{num(b)} AS bid", f"{num(a)} AS ask", f"{num(bq)} AS bid_qty", f"{num(aq)} AS ask_qty", f"{_ns(_get(ts), unit)} AS exchange_ts_raw_ns", "received_ts_ns", f"try_cast({_get('data.u') if key[0] == 'binance' else 'NULL'} AS BIGINT) AS update_id", "seq")
-        if key == ("kucoin", "spot"):
-            d = d.withColumn("symbol", F.regexp_extract("symbol", "([^:]+)$", 1))
-        if key == ("nado", "perp"):
-            d = d.where("bid > 0 AND ask > 0")
-        if crossed:
-            d = d.where("bid IS NULL OR ask IS NULL OR bid < ask")
-        parts.append(d)
-    out = _union(parts, "", raw)
+
+        def body(x: dict[str, str]) -> str:
+            n = lambda c: _number(key, x[c])  # noqa: B023, E731
+            symbol = f"regexp_extract({x['symbol']}, '([^:]+)$', 1)" if key == ("kucoin", "spot") else x["symbol"]  # noqa: B023
+            row = _struct_of(symbol=symbol, bid=n("bid"), ask=n("ask"), bid_qty=n("bid_qty"), ask_qty=n("ask_qty"), exchange_ts_raw_ns=_ns(x["ts"], unit), update_id=f"try_cast({x['uid']} AS BIGINT)", _keep=f"{x['need']} IS NOT NULL")  # noqa: B023
+            return f"array({row})"
+
+        one = _decode("raw", {"symbol": sym, "bid": b, "ask": a, "bid_qty": bq, "ask_qty": aq, "ts": ts, "need": need, "uid": "data.u" if key[0] == "binance" else None}, body)
+        rule = "x._keep" + (" AND x.bid > 0 AND x.ask > 0" if key == ("nado", "perp") else "") + (" AND (x.bid IS NULL OR x.ask IS NULL OR x.bid < x.ask)" if crossed else "")
+        branches[key] = f"filter({one}, x -> {rule})"
+    out = _emit(raw, branches).drop("_keep")
     if multipliers is not None:
         out = out.join(multipliers, ["venue", "itype", "symbol"], "left").withColumn("_k", F.coalesce("multiplier", F.lit(1.0)))
         out = out.withColumn("bid_qty", F.col("bid_qty") * F.col("_k")).withColumn("ask_qty", F.col("ask_qty") * F.col("_k")).drop("_k", "multiplier")
@@ -109,36 +144,46 @@ def quotes(raw: DataFrame, multipliers: DataFrame | None = None, keys=None) -> D
 
 def trades(raw: DataFrame, keys=None) -> DataFrame:
     """Trades of all trade feeds; rows without a price or quantity are skipped."""
-    parts = []
+    branches = {}
     for key in keys or TRADES:
         sym, p, q, ts, unit, side, sell, many = TRADES[key]
-        d = _of(raw, key)
-        if many:
-            d = d.withColumn("_all", F.expr(f"from_json({_get(many)}, 'array<string>')")).withColumn("_t", F.explode("_all"))
-        src = "_t" if many else "raw"
-        symbol = _get(sym, src) if key != ("zeroone", "perp") else _get("trades.market_symbol")
-        num = lambda x: f"try_cast({_get(x, src)} AS DOUBLE)" + (" / 1e18D" if key in FIXED18 else "")  # noqa: B023, E731
-        s = f"lower({_get(side, src)})"
-        parts.append(d.selectExpr("venue", "itype", f"{symbol} AS symbol", f"{num(p)} AS price", f"abs({num(q)}) AS qty", f"CASE WHEN {s} IS NULL THEN NULL WHEN {s} = '{sell.lower()}' THEN 'sell' ELSE 'buy' END AS side", f"{_ns(_get(ts, src), unit)} AS exchange_ts_raw_ns", "received_ts_ns", "seq").where("price IS NOT NULL AND qty IS NOT NULL"))
-    return _union(parts, "", raw).withColumn("exchange_ts_ns", F.col("exchange_ts_raw_ns"))
+        outer = "trades.market_symbol" if key == ("zeroone", "perp") else None
+
+        def row(x: dict[str, str]) -> str:
+            taker = f"CASE WHEN {x['side']} IS NULL THEN NULL WHEN lower({x['side']}) = '{sell.lower()}' THEN 'sell' ELSE 'buy' END"  # noqa: B023
+            return _struct_of(symbol=x["symbol"], price=_number(key, x["price"]), qty=f"abs({_number(key, x['qty'])})", side=taker, exchange_ts_raw_ns=_ns(x["ts"], unit))  # noqa: B023
+
+        paths = {"symbol": None if outer else sym, "price": p, "qty": q, "ts": ts, "side": side}
+        if many is None:
+            rows = _decode("raw", paths, lambda x: f"array({row(x)})")  # noqa: B023
+        else:
+            each = lambda x: "transform(from_json(" + x["all"] + ", 'array<string>'), t -> " + _decode("t", paths, lambda y: row({**y, "symbol": x["outer"]} if outer else y), "n") + ")"  # noqa: B023, E731
+            rows = _decode("raw", {"all": many, "outer": outer}, each)
+        branches[key] = f"filter({rows}, x -> x.price IS NOT NULL AND x.qty IS NOT NULL)"
+    return _emit(raw, branches).withColumn("exchange_ts_ns", F.col("exchange_ts_raw_ns"))
 
 
 def book_updates(raw: DataFrame, keys=None) -> DataFrame:
     """Level updates of the incremental feeds for ``operators.books``: side, price, qty, seq and the snapshot epoch."""
-    parts = []
+    branches = {}
     for key in keys or BOOKS:
         sym, b, a, ts, unit, names, mark, value = BOOKS[key]
         kind = "array<array<string>>" if names is None else f"array<struct<{names[0]}:string,{names[1]}:string>>"
-        pick = ("x[0]", "x[1]") if names is None else (f"x.{names[0]}", f"x.{names[1]}")
-        side = lambda path, s: f"transform(coalesce(from_json({_get(path)}, '{kind}'), array()), x -> named_struct('side', '{s}', 'price', try_cast({pick[0]} AS DOUBLE), 'qty', coalesce(try_cast({pick[1]} AS DOUBLE), 0D)))"  # noqa: B023, E731
-        snap = f"coalesce({_get(mark)} = '{value}', false)" if mark else "false"
-        d = _of(raw, key).selectExpr("venue", "itype", f"{_get(sym)} AS symbol", f"{_ns(_get(ts), unit) if ts else 'CAST(NULL AS BIGINT)'} AS exchange_ts_ns", "received_ts_ns", "seq", f"{snap} AS is_snapshot", f"concat({side(b, 'bid')}, {side(a, 'ask')}) AS _l").where("symbol IS NOT NULL")
-        parts.append(d)
+        pick = ("get(x, 0)", "get(x, 1)") if names is None else (f"x.{names[0]}", f"x.{names[1]}")
+
+        def body(x: dict[str, str]) -> str:
+            side = lambda c: f"transform(coalesce(from_json({x[c]}, '{kind}'), array()), x -> named_struct('side', '{c}', 'price', try_cast({pick[0]} AS DOUBLE), 'qty', coalesce(try_cast({pick[1]} AS DOUBLE), 0D)))"  # noqa: B023, E731
+            snap = f"coalesce({x['mark']} = '{value}', false)" if mark else "false"  # noqa: B023
+            time = _ns(x["ts"], unit) if ts else "CAST(NULL AS BIGINT)"  # noqa: B023
+            return "array(" + _struct_of(symbol=x["symbol"], exchange_ts_ns=time, is_snapshot=snap, _l=f"concat({side('bid')}, {side('ask')})") + ")"
+
+        branches[key] = f"filter({_decode('raw', {'symbol': sym, 'bid': b, 'ask': a, 'ts': ts, 'mark': mark}, body)}, x -> x.symbol IS NOT NULL)"
     from pyspark.sql import Window
 
-    out = _union(parts, "", raw)
     w = Window.partitionBy("venue", "symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("epoch", F.sum(F.col("is_snapshot").cast("long")).over(w)).select("venue", "itype", "symbol", "exchange_ts_ns", "received_ts_ns", "seq", "epoch", F.explode("_l").alias("_x")).select("venue", "itype", "symbol", "exchange_ts_ns", "received_ts_ns", "seq", "epoch", "_x.side", "_x.price", "_x.qty")
+    out = _emit(raw, branches).withColumn("epoch", F.sum(F.col("is_snapshot").cast("long")).over(w))
+    cols = ["venue", "itype", "symbol", "exchange_ts_ns", "received_ts_ns", "seq", "epoch"]
+    return out.select(*cols, F.explode("_l").alias("_x")).select(*cols, "_x.side", "_x.price", "_x.qty")
 
 
 def _fields(data: bytes) -> dict[int, bytes]:
