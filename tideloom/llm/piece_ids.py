@@ -21,7 +21,7 @@ from itertools import accumulate, chain
 from .bpe import SPACE, byte_symbols, char_class
 from .shared import trim_memory
 
-LIMIT, FRESH = 350_000, 150_000  # entries of a generation of the large table (there are two), and of the small one; about 200 bytes each
+LIMIT, FRESH = 250_000, 100_000  # entries of a generation of the large table (there are two), and of the small one; about 200 bytes each
 BATCH_DOCS = 400
 MARK = b"\xff" * 4  # between ids' bytes; an id is below 2**24, so its last byte is 0
 
@@ -134,9 +134,8 @@ class PieceIds:
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def rest(self) -> None:
-        """A task has ended: its worker process waits, maybe for another operator's task, and keeps a generation and a half at most."""
-        if len(self.table) > LIMIT // 2:
-            self.old = {}
+        """A task has ended: its worker process waits, maybe for another operator's task, and keeps one generation only."""
+        self.old = {}
         trim_memory()
 
 

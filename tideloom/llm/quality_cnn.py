@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import materialize, trim_memory
 
 FILTERS, HALF, MAX_DOCS, MAX_BYTES, EPOCHS, CUT = 16, 128, 2000, 6 << 20, 8, 0.3
 BLOCK = 1 << 19  # bytes scored at once
@@ -206,6 +206,7 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text", carry: li
                 part = b.slice(lo, 200)
                 s = net.score([t or b"" for t in part[text].cast(pa.binary()).to_pylist()], tables)
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in carry], pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*carry, "score", "predicted"])
+        trim_memory()
 
     return docs.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, T.StructType([docs.schema[c] for c in carry] + new))
 
