@@ -21,7 +21,7 @@ from itertools import accumulate, chain
 from .bpe import SPACE, byte_symbols, char_class
 from .shared import trim_memory
 
-LIMIT, FRESH = 250_000, 100_000  # entries of a generation of the large table (there are two), and of the small one; about 200 bytes each
+LIMIT, FRESH = 400_000, 150_000  # entries of a generation of the large table (there are two), and of the small one; about 200 bytes each
 BATCH_DOCS = 400
 MARK = b"\xff" * 4  # between ids' bytes; an id is below 2**24, so its last byte is 0
 
