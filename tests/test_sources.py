@@ -97,3 +97,23 @@ def test_api(spark):
     assert {r["status"] for r in v.predict().collect()} <= {"Ok", "InsufficientBars"}
     reg = api.SymbolRegistry(spark, ["BTC"])
     assert reg.lookup("BTC_USDT", "perp") == 1 and reg.get_symbol(0) == "SPOT-BTC-USDT"
+
+
+def test_kline_pages(spark):
+    from tideloom.sources import files
+
+    pages = [("A", '[[1,"2","3","1","2.5","7",0],[2,"2","3","1"],[3,"x","3","1","2","5"],[4,"2","3","1","2","0"]]'), ("B", "oops"), ("C", None), ("D", "[]"), ("A", '[[1,"2","3","1","2.5","7",0]]')]
+    df = spark.createDataFrame(pages, "symbol string, payload string")
+    got = [tuple(r) for r in files.decode_klines(df).collect()]
+    assert got == [("A", 1, 2.0, 3.0, 1.0, 2.5, 7.0)] * 2
+    assert sorted(r["open_time_ms"] for r in files.decode_klines(df, traded=False).collect()) == [1, 1, 4]
+    assert files.decode_klines(df.limit(0)).count() == 0
+
+
+def test_merge_order(spark):
+    from tideloom.operators import cleaning
+
+    rows = [("a", 1, 50, 1, None), ("a", 2, None, 40, 1), ("a", 3, None, None, 45), ("a", 4, None, None, None), ("a", 5, 50, None, None), (None, 6, 9, None, None), (None, 7, 8, None, None)]
+    df = spark.createDataFrame(rows, "venue string, seq long, exchange_ts_ns long, received_ts_ns long, snap_ts_ns long")
+    got = {r["seq"]: (r["merge_ns"], r["merge_pos"]) for r in cleaning.merge_order(df, bucket_ns=10, key=("venue",)).collect()}
+    assert got == {4: (None, 1), 2: (40, 2), 3: (45, 3), 1: (50, 4), 5: (50, 5), 7: (8, 1), 6: (9, 2)}

@@ -113,3 +113,22 @@ def known_symbols(df: DataFrame, symbols: DataFrame, on: str = "symbol") -> Data
 def unknown_symbols(df: DataFrame, symbols: DataFrame, on: str = "symbol") -> DataFrame:
     """One row for each unknown symbol with the rows it drops."""
     return df.join(symbols.select(on).distinct(), on, "left_anti").groupBy(on).agg(F.count("*").alias("n_dropped"))
+
+
+def merge_order(df: DataFrame, times=("exchange_ts_ns", "received_ts_ns", "snap_ts_ns"), bucket_ns: int = 3_600_000_000_000, key=KEY) -> DataFrame:
+    """Adds merge_ns, the first known of ``times``, and merge_pos, a row's place (from 1) in its key's order by merge_ns and seq.
+
+    Rows without any time come first. Places are counted by time bucket: only a bucket is sorted in one task, and what runs over a
+    key's whole history is one count a bucket.
+    """
+    names = [f"_mo_{k}" for k in key]
+    d = df.drop("merge_ns", "merge_pos").withColumn("merge_ns", F.coalesce(*times)).withColumn("_mo_b", F.expr(f"merge_ns DIV {bucket_ns}"))
+    per = d.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("_mo_b").alias("_mo_at")).agg(F.count("*").alias("_mo_n"))
+    before = Window.partitionBy(*names).orderBy("_mo_at").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_mo_before", F.coalesce(F.sum("_mo_n").over(before), F.lit(0)))
+    same = F.col("_mo_b").eqNullSafe(F.col("_mo_at"))
+    for k, n in zip(key, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    place = F.row_number().over(Window.partitionBy(*key, "_mo_b").orderBy("merge_ns", "seq"))
+    out = d.withColumn("_mo_place", place).join(per, same).withColumn("merge_pos", F.col("_mo_before") + F.col("_mo_place"))
+    return out.select(*d.drop("_mo_b").columns, "merge_pos")

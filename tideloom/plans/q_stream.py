@@ -12,8 +12,8 @@ from ..operators import calibrate as cal
 from ..operators import cleaning, folds, pools, vol
 from ..sources import adapters, files
 from ..sources.adapters import BOOKS_SQL
-from ..streaming import state
-from .common import BARS_SQL, BASE_MS, HOUR_NS, KEY, SNAPS_SQL, drop_symbol, r, rounded, snaps, sql, ticks
+from ..streaming import state, windows
+from .common import BARS_SQL, BASE_MS, HOUR_NS, KEY, SNAPS_SQL, base_bars, drop_symbol, r, rounded, snaps, sql, ticks
 from .q_bars import ROLL
 from .q_core import SQL as CORE_SQL
 
@@ -62,3 +62,51 @@ q("m3_garch_filter", lambda s, d: folds.path(snaps(s, d).where("log_return IS NO
 POOLS = [("a", "79228162514264337593543950336", "1000000000000", 3, 10, 6, 6, 3000, False), ("b", "158456325028528675187087900672", "5000000000000", 13863, 60, 6, 6, 500, True)]
 q("h9_pool_quotes", lambda s, d: pools.pool_quotes(s.createDataFrame(POOLS, "pool string, sqrt_price_x96 string, liquidity string, active_tick int, tick_spacing int, decimals0 int, decimals1 int, fee int, invert boolean")).select("pool", "bid", "ask", "bid_qty", "ask_qty"),
   "WITH v AS (SELECT * FROM (VALUES ('a', 1.0::DOUBLE, 1e12::DOUBLE, 0, 10, 3000, false), ('b', 2.0, 5e12, 13860, 60, 500, true)) v(pool, p, l, t, s, fee, inv)), x AS (SELECT *, pow(1.0001, t / 2.0) AS lo, pow(1.0001, (t + s) / 2.0) AS hi, CASE WHEN inv THEN 1 / (p * p) ELSE p * p END AS price FROM v) " + f"SELECT pool, {r('price * (1 - fee / 1e6) AS bid', 'price * (1 + fee / 1e6) AS ask', 'l * CASE WHEN inv THEN hi - p ELSE 1 / lo - 1 / p END / 1e6 AS bid_qty', 'l * CASE WHEN inv THEN p - lo ELSE 1 / p - 1 / hi END / 1e6 AS ask_qty')} FROM x")
+
+# Windows of streams: those that end by the watermark (ten seconds before the newest tick, in whole milliseconds) are emitted.
+MARK_SQL = "mark AS (SELECT (max(exchange_ts_ns) // 1000000 - 10000) * 1000 AS w FROM ticks)"
+US_SQL = "us AS (SELECT *, exchange_ts_ns // 1000 AS u, (bid + ask) / 2 AS mid FROM ticks)"
+EDGES = "first(mid ORDER BY exchange_ts_ns, seq) AS open, max(mid) AS high, min(mid) AS low, last(mid ORDER BY exchange_ts_ns, seq) AS close, count(*) AS n_src"
+q("j3_sliding_bars", lambda s, d: drained(s, windows.sliding_bars(adapters.ticks(_Reader(s), d), "6 hours", "2 hours")),
+  sql([MARK_SQL, US_SQL, f"sw AS (SELECT venue, u // 7200000000 * 7200000000 - k * 7200000000 AS st, {EDGES} FROM us, range(3) x(k) GROUP BY ALL)"],
+      f"SELECT venue, st // 1000 AS open_time_ms, {r('open', 'high', 'low', 'close')}, n_src FROM sw, mark WHERE st + 21600000000 <= w"))
+q("j3_interval_quotes", lambda s, d: drained(s, windows.interval_quotes(adapters.ticks(_Reader(s), d), "1 hour")),
+  sql([MARK_SQL, US_SQL, "iq AS (SELECT venue, u // 3600000000 * 3600000000 + 3600000000 AS e, last({'bid': bid, 'ask': ask, 'bid_qty': bid_qty, 'ask_qty': ask_qty} ORDER BY exchange_ts_ns, seq) AS q, "
+       "max(mid) AS mid_high, min(mid) AS mid_low, max(bid) AS bid_high, min(ask) AS ask_low FROM us GROUP BY ALL)"],
+      f"SELECT venue, e * 1000 AS snap_ts_ns, {r('q.bid AS bid', 'q.ask AS ask', 'q.bid_qty AS bid_qty', 'q.ask_qty AS ask_qty', 'mid_high', 'mid_low', 'bid_high', 'ask_low')} FROM iq, mark WHERE e <= w"))
+q("j4_sessions", lambda s, d: drained(s, windows.sessions(adapters.ticks(_Reader(s), d), "1 hour")),
+  sql([MARK_SQL, US_SQL, "cut AS (SELECT venue, u, CASE WHEN u - lag(u) OVER o <= 3600000000 THEN 0 ELSE 1 END AS c FROM us WINDOW o AS (PARTITION BY venue ORDER BY u))",
+       "run AS (SELECT venue, u, sum(c) OVER (PARTITION BY venue ORDER BY u ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT venue, u, max(c) AS c FROM cut GROUP BY ALL))",
+       "many AS (SELECT venue, u, count(*) AS n FROM us GROUP BY ALL)",
+       "ses AS (SELECT venue, g, min(u) AS start_us, max(u) + 3600000000 AS end_us, sum(n)::BIGINT AS n_ticks FROM run JOIN many USING (venue, u) GROUP BY ALL)"],
+      "SELECT venue, start_us, end_us, n_ticks FROM ses, mark WHERE end_us <= w"))
+
+
+def _partly_timed(s: SparkSession, d: str) -> DataFrame:
+    """Ticks of which some lack the first time, some the first two."""
+    return ticks(s, d).selectExpr(
+        "venue", "symbol", "seq", "exchange_ts_ns + 60000000000 AS snap_ts_ns",
+        "CASE WHEN seq % 3 > 0 THEN exchange_ts_ns END AS exchange_ts_ns", "CASE WHEN seq % 6 > 0 THEN received_ts_ns END AS received_ts_ns",
+    )
+
+
+q("j7_merge_order", lambda s, d: cleaning.merge_order(_partly_timed(s, d)).select(*KEY, "seq", "merge_ns", "merge_pos"),
+  sql(["pt AS (SELECT venue, seq, CASE WHEN seq % 3 > 0 THEN exchange_ts_ns WHEN seq % 6 > 0 THEN received_ts_ns ELSE exchange_ts_ns + 60000000000 END AS merge_ns FROM ticks)"],
+      "SELECT venue, seq, merge_ns, row_number() OVER (PARTITION BY venue ORDER BY merge_ns, seq) AS merge_pos FROM pt"))
+
+
+def _kline_pages(s: SparkSession, d: str) -> DataFrame:
+    """A page of bars a day and venue; quiet bars have volume 0."""
+    row = """concat('[', open_time_ms, ',"', open, '","', high, '","', low, '","', close, '","', n_src - 1, '",0]')"""
+    page = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.expr(row))), ","), F.lit(",[1,\"2\"]]"))
+    return base_bars(s, d).groupBy("venue", F.expr("open_time_ms DIV 86400000")).agg(page.alias("payload"))
+
+
+def _klines(s: SparkSession, d: str) -> DataFrame:
+    kinds = [files.decode_klines(_kline_pages(s, d), symbol="venue", traded=t).withColumn("kind", F.lit(k)) for k, t in (("1m", True), ("1d", False))]
+    return kinds[0].unionByName(kinds[1]).withColumnRenamed("symbol", "venue")
+
+
+q("a10_klines", _klines,
+  sql([BARS_SQL, "k AS (SELECT '1m' AS kind, * FROM bars WHERE n_src > 1 UNION ALL SELECT '1d', * FROM bars)"],
+      f"SELECT kind, venue, open_time_ms, {r('open', 'high', 'low', 'close', '(n_src - 1)::DOUBLE AS volume')} FROM k WHERE open > 0"))

@@ -23,6 +23,20 @@ def read_klines(spark: SparkSession, folder: str, symbol: str | None = None, fir
     return d.where("open > 0 AND volume > 0").select(F.regexp_extract("_f", r"/([^/]+)USDT/[^/]+$", 1).alias("symbol"), "open_time_ms", "open", "high", "low", "close", "volume")
 
 
+def decode_klines(pages: DataFrame, payload: str = "payload", symbol: str = "symbol", traded: bool = True) -> DataFrame:
+    """Bars of REST pages: ``payload`` is an array of arrays that begin with open time (ms), open, high, low, close, volume.
+
+    Shorter entries are skipped, an unreadable number is 0, and only opens above 0 stay; with ``traded`` (pages of minutes) only volumes
+    above 0 too, pages of hours and days keep quiet bars. Unreadable pages give nothing. Pages may overlap: ``merge_first`` drops repeats.
+    """
+    names = ["open", "high", "low", "close", "volume"]
+    row = F.explode(F.from_json(F.col(payload), "array<array<string>>")).alias("row")
+    d = pages.select(F.col(symbol).alias("symbol"), row).where("size(row) >= 6")
+    numbers = [F.expr(f"coalesce(try_cast(row[{i}] AS DOUBLE), 0D)").alias(n) for i, n in enumerate(names, 1)]
+    d = d.select("symbol", F.expr("coalesce(try_cast(row[0] AS BIGINT), 0L)").alias("open_time_ms"), *numbers)
+    return d.where("open > 0 AND volume > 0" if traded else "open > 0")
+
+
 def with_backfill(disk: DataFrame, backfill: DataFrame) -> DataFrame:
     """Disk bars and backfilled ones; disk wins for equal times."""
     return merge_first(disk, backfill)

@@ -42,7 +42,10 @@ def interval_quotes(stream: DataFrame, length: str = "100 milliseconds", late: s
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Capture sink; stopping the query and starting it again goes on from the checkpoint."""
+    """Capture sink; stopping the query and starting it again goes on from the checkpoint.
+
+    ``trigger={"processingTime": "1 second"}`` is the timer form: ticks missed while a batch runs are skipped, and the next batch takes all rows.
+    """
     return stream.writeStream.format("parquet").option("path", path).option("compression", "zstd").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
