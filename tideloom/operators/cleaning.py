@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scan
+
 KEY = ("venue", "symbol")
 
 
@@ -16,29 +18,30 @@ def drop_crossed(df: DataFrame) -> DataFrame:
     return df.where("bid IS NULL OR ask IS NULL OR bid < ask")
 
 
-def _running_max(col: str, key, order="seq"):
-    return F.max(col).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+def _max_before(df: DataFrame, col: str, key, bucket_rows: int) -> DataFrame:
+    return scan.running(df, key, ["seq"], bucket_rows, F.col(col), "max", "_m", inclusive=False)
 
 
-def drop_stale(df: DataFrame, ts: str = "exchange_ts_ns", key=KEY) -> DataFrame:
+def drop_stale(df: DataFrame, ts: str = "exchange_ts_ns", key=KEY, bucket_rows: int = scan.ROWS) -> DataFrame:
     """Drops rows strictly older than the last accepted one; equal and null times pass. A dropped row never raises the running maximum."""
-    return df.withColumn("_m", _running_max(ts, key)).where(f"`{ts}` IS NULL OR _m IS NULL OR `{ts}` >= _m").drop("_m")
+    return _max_before(df, ts, key, bucket_rows).where(f"`{ts}` IS NULL OR _m IS NULL OR `{ts}` >= _m").drop("_m")
 
 
-def dedup_update_id(df: DataFrame, uid: str = "update_id", key=KEY) -> DataFrame:
+def dedup_update_id(df: DataFrame, uid: str = "update_id", key=KEY, bucket_rows: int = scan.ROWS) -> DataFrame:
     """Keeps rows whose update id exceeds all before it."""
-    return df.withColumn("_m", _running_max(uid, key)).where(f"_m IS NULL OR `{uid}` > _m").drop("_m")
+    return _max_before(df, uid, key, bucket_rows).where(f"_m IS NULL OR `{uid}` > _m").drop("_m")
 
 
 def clock_delta(min_latency_ms: float = 1.0):
     return F.col("received_ts_ns") - F.col("exchange_ts_raw_ns") - F.lit(int(min_latency_ms * 1e6))
 
 
-def clock_correct_max(df: DataFrame, min_latency_ms: float = 1.0, key=KEY) -> DataFrame:
-    """exchange_ts_ns = raw + the most negative latency excess so far (a running minimum, all in windows)."""
+def clock_correct_max(df: DataFrame, min_latency_ms: float = 1.0, key=KEY, bucket_rows: int = scan.ROWS) -> DataFrame:
+    """exchange_ts_ns = raw + the most negative latency excess so far (a running minimum by buckets of seq)."""
     d = F.least(clock_delta(min_latency_ms), F.lit(0))
-    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("clock_offset_ns", F.coalesce(F.min(d).over(w), F.lit(0))).withColumn("exchange_ts_ns", F.col("exchange_ts_raw_ns") + F.col("clock_offset_ns"))
+    out = scan.running(df, key, ["seq"], bucket_rows, d, "min", "_off")
+    out = out.withColumn("clock_offset_ns", F.coalesce("_off", F.lit(0).cast("long"))).drop("_off")
+    return out.withColumn("exchange_ts_ns", F.col("exchange_ts_raw_ns") + F.col("clock_offset_ns"))
 
 
 def clock_correct_ewma(df: DataFrame, min_latency_ms: float = 1.0, decay: float = 0.999, key=KEY) -> DataFrame:

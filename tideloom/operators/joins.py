@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, right_seq: str | None = None, prefix: str = "r_") -> DataFrame:
+
+def asof_join(
+    left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, right_seq: str | None = None, prefix: str = "r_", bucket: int = scan.HOUR_NS
+) -> DataFrame:
     """Each left row with the newest right row of its key at or before its time (NULLs where there is none).
 
-    Union, one shuffle by key and a running last value: linear in the rows, no range join. The right columns get ``prefix``.
+    Union and a running last value by time buckets of width ``bucket``: linear in the rows, no range join, and a key's buckets run in
+    parallel. The right columns get ``prefix``.
     """
     rcols = [c for c in right.columns if c not in on]
     lcols = [c for c in left.columns if c not in on]
-    lit = lambda fields, df: [F.lit(None).cast(df.schema[c].dataType).alias(f"{a}{c}") for a, c in fields]
-    l = left.select(*on, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_seq"), *[F.col(c).alias(f"_l_{c}") for c in lcols])
-    r = right.select(*on, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), (F.col(right_seq) if right_seq else F.lit(0)).cast("long").alias("_seq"), F.struct(*rcols).alias("_r"), *lit([("_l_", c) for c in lcols], left))
-    l = l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType))
-    w = Window.partitionBy(*on).orderBy("_ts", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    u = l.unionByName(r).withColumn("_r", F.last("_r", True).over(w)).where("_side = 1")
-    return u.select(*on, *[F.col(f"_l_{c}").alias(c) for c in lcols], *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in rcols])
+    seq = (F.col(right_seq) if right_seq else F.lit(0)).cast("long")
+    l = left.select(*on, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_seq"), F.struct(*lcols).alias("_l"))
+    r = right.select(*on, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), seq.alias("_seq"), F.struct(*rcols).alias("_r"))
+    u = l.unionByName(r, allowMissingColumns=True)
+    u = scan.running(u, on, ["_ts", "_side", "_seq"], bucket, F.col("_r"), "last", "_found").where("_side = 1")
+    return u.select(*on, *[F.col(f"_l.{c}").alias(c) for c in lcols], *[F.col(f"_found.{c}").alias(f"{prefix}{c}") for c in rcols])
 
 
 def join_on_snapshot(ticks: DataFrame, groups: DataFrame, on: str = "snap_ts_ns") -> DataFrame:
