@@ -108,9 +108,10 @@ def constant_vol(returns: DataFrame, key: str = "grp", r: str = "log_return") ->
 
 def ewma_vol(returns: DataFrame, alpha: float, key: str = "grp", r: str = "log_return", order: str = "snap_ts_ns") -> DataFrame:
     from . import folds
+    from .scan import DAY_NS
 
     d = returns.where(F.col(r).isNotNull()).withColumn("_r2", F.col(r) * F.col(r))
-    return folds.path(d, [key], [order], ["_r2"], lambda x: folds.ewma(x, alpha), {"h": "double"}).drop("_r2")
+    return folds.scan(d, [key], [order], ["_r2"], folds.Ewma(alpha), {"h": "double"}, 8 * DAY_NS).drop("_r2")
 
 
 def har_path(samples: DataFrame, bar_ns: int, expected: int, windows: list[int], betas: list[float], intercept: float, key: str = "grp") -> DataFrame:

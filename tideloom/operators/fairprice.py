@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import folds
 from .joins import asof_join
+from .scan import DAY_NS
 
 LN2 = float(np.log(2.0))
 
@@ -23,8 +27,12 @@ def observations(ticks: DataFrame, members: DataFrame) -> DataFrame:
     return m.join(members, ["venue", "symbol"])
 
 
-def spread_ewma(obs: DataFrame, halflife_ms: float) -> DataFrame:
-    return folds.path(obs, ["grp", "venue", "symbol"], ["ts_ns", "seq"], ["half_spread", "ts_ns"], lambda x, t: folds.spread_ewma(x, t, halflife_ms), {"ewma_half_spread": "double"})
+def spread_ewma(obs: DataFrame, halflife_ms: float, bucket_ns: int = DAY_NS) -> DataFrame:
+    key, order = ["grp", "venue", "symbol"], ["ts_ns", "seq"]
+    began = obs.groupBy(*[F.col(k).alias(f"_b_{k}") for k in key]).agg(F.min("ts_ns").alias("_began"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in key])
+    d = obs.join(began, same).drop(*[f"_b_{k}" for k in key])
+    return folds.scan(d, key, order, ["half_spread", "ts_ns", "_began"], folds.SpreadEwma(halflife_ms), {"ewma_half_spread": "double"}, bucket_ns).drop("_began")
 
 
 def noise_var(mode: str, floor: float = 0.0, scale: float = 1.0, liquidity: bool = False, half: str = "half_spread", ewma: str = "ewma_half_spread", static: str = "noise_var", adj: str = "vol_adj") -> Column:

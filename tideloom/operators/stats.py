@@ -165,7 +165,7 @@ def message_rate(df: DataFrame, key: list[str], ts: str, step_ns: int, alpha: fl
     from . import folds
 
     c = df.groupBy(*key, F.expr(f"`{ts}` DIV {step_ns}").alias("bucket")).agg((F.count("*") / (step_ns / 1e9)).alias("rate"))
-    return folds.path(c, key, ["bucket"], ["rate"], lambda x: folds.ewma(x, alpha), {"ewma_rate": "double"})
+    return folds.scan(c, key, ["bucket"], ["rate"], folds.Ewma(alpha), {"ewma_rate": "double"}, 1 << 16)
 
 
 def order_stats(df: DataFrame, x: str, key: list[str], qs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:

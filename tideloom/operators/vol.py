@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_YEAR, hour_utc, weekday_monday0
 from . import folds
+from .scan import DAY_MS, DAY_NS
 
 KEY = ("venue", "symbol")
 MINUTES_PER_YEAR = 525_960.0
@@ -90,23 +91,27 @@ def realized(bars: DataFrame, bar_min: float, lookback_min: int = RV_LOOKBACK_MI
     return b.withColumn("realized_vol", F.when(s > 0, F.sqrt(s * (MINUTES_PER_YEAR / bar_min))))
 
 
-def garch_path(bars: DataFrame, p: VolParams, key=KEY) -> DataFrame:
+def garch_path(bars: DataFrame, p: VolParams, key=KEY, bucket_ms: int = 64 * DAY_MS) -> DataFrame:
     """garch_h after each bar, and garch_log_var: calibrated log variance cal_a + cal_b ln(h / scale^2)."""
     g = p.garch
     b = bars.withColumn("_r", deseasoned_log_return(p) * g["scale_factor"])
-    b = folds.path(b, key, ["open_time_ms"], ["_r"], lambda r: folds.garch(r, g["omega"], g["alpha"], g["beta"], g["last_h"]), {"garch_h": "double"})
+    rec = folds.Garch(g["omega"], g["alpha"], g["beta"], g["last_h"])
+    b = folds.scan(b, key, ["open_time_ms"], ["_r"], rec, {"garch_h": "double"}, bucket_ms)
     h = F.col("garch_h") / (g["scale_factor"] ** 2)
     return b.drop("_r").withColumn("garch_log_var", F.when(h > 0, g["cal_a"] + g["cal_b"] * F.ln(h)))
 
 
-def log_gk_ewma_path(bars: DataFrame, p: VolParams, bar_min: float, key=KEY) -> DataFrame:
+def log_gk_ewma_path(bars: DataFrame, p: VolParams, bar_min: float, key=KEY, bucket_ms: int = 64 * DAY_MS) -> DataFrame:
     b = bars.withColumn("_g", deseasoned_gk(p))
-    hl = EWMA_HALFLIFE_MIN / bar_min
-    return folds.path(b, key, ["open_time_ms"], ["_g"], lambda x: folds.log_gk_ewma(x, hl), {"ewma_log_gk": "double"}).drop("_g").withColumn("ewma_log_gk", F.nanvl("ewma_log_gk", F.lit(None).cast("double")))
+    rec = folds.LogGkEwma(EWMA_HALFLIFE_MIN / bar_min)
+    out = folds.scan(b, key, ["open_time_ms"], ["_g"], rec, {"ewma_log_gk": "double"}, bucket_ms).drop("_g")
+    return out.withColumn("ewma_log_gk", F.nanvl("ewma_log_gk", F.lit(None).cast("double")))
 
 
-def ewma_vol_path(prices: DataFrame, halflife_ms: float, start: float, floor: float, key=KEY, price: str = "midquote", ts: str = "snap_ts_ns") -> DataFrame:
-    return folds.path(prices, key, [ts], [price, ts], lambda p, t: folds.ewma_var_per_ms(p, t, halflife_ms, start, floor), {"h_per_ms": "double"})
+def ewma_vol_path(
+    prices: DataFrame, halflife_ms: float, start: float, floor: float, key=KEY, price: str = "midquote", ts: str = "snap_ts_ns", bucket_ns: int = 8 * DAY_NS
+) -> DataFrame:
+    return folds.scan(prices, key, [ts], [price, ts], folds.EwmaVar(halflife_ms, start, floor), {"h_per_ms": "double"}, bucket_ns)
 
 
 def gk_ewma_path(bars: DataFrame, bar_ms: float, halflife_ms: float, start: float, floor_log: float, floor_h: float = 0.0, key=KEY) -> DataFrame:
@@ -158,7 +163,9 @@ def predict(bars: DataFrame, p: VolParams, base_min: float = 1.0, known: DataFra
         s = s.withColumn(c, e)
     s = s.withColumn("_r", deseasoned_log_return(p) * (p.garch["scale_factor"] if p.garch else 1.0))
     g = p.garch or {"omega": 0.0, "alpha": 0.0, "beta": 0.0, "last_h": 0.0}
-    s = folds.path(s, key, ["_o"], ["_r", "_g"], lambda r, x: (folds.garch(r, g["omega"], g["alpha"], g["beta"], g["last_h"]), folds.log_gk_ewma(x, EWMA_HALFLIFE_MIN / bar_min)), {"_gh": "double", "_eg": "double"})
+    # one sequence a key: a key has a row a target bar, not a tick, and the windows above sort it anyway
+    both = lambda r, x: (folds.garch(r, g["omega"], g["alpha"], g["beta"], g["last_h"]), folds.log_gk_ewma(x, EWMA_HALFLIFE_MIN / bar_min))
+    s = folds.path(s, key, ["_o"], ["_r", "_g"], both, {"_gh": "double", "_eg": "double"})
     now = s.where(F.col("_o") == 1 << 60).join(last, list(key), "left").join(head.select(*key, "as_of_ms"), list(key)).withColumn("n_completed", F.coalesce("n_completed", F.lit(0)))
     sn = seasonal(p, "as_of_ms")
     ann = lambda lv: annualise(lv, sn, bar_min)

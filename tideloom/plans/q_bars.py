@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as br
 from ..operators import folds, vol
+from ..operators.scan import DAY_MS
 from ..sources import files
 from . import model_sql as ms
 from .common import BARS_SQL, BASE_MS, HOUR_NS, KEY, SNAPS_SQL, base_bars, drop_symbol, r, rounded, snaps, sql, ticks
@@ -61,7 +62,7 @@ HAR = {"intercept": -0.5, "betas": [0.4, 0.3], "windows": [6, 24]}
 q("l6_har_predict", lambda s, d: vol.har_predict(vol.har_features(base_bars(s, d), [6, 24], P), HAR).where("log_pred IS NOT NULL").select(*KEY, "open_time_ms", "log_pred", vol.annualise(F.col("log_pred"), vol.seasonal(P), 60.0).alias("ann_vol")), [BARS_SQL, SEAS, f"h AS (SELECT venue, open_time_ms, sf, -0.5 + 0.4 * ({WIN(6).format(g='dgk')}) + 0.3 * ({WIN(24).format(g='dgk')}) AS lp FROM db)"], f"SELECT venue, open_time_ms, {r('lp AS log_pred', 'sqrt(exp(lp) * sf * (525960.0 / 60)) AS ann_vol')} FROM h WHERE lp IS NOT NULL")
 GA = ["g AS (SELECT venue, open_time_ms, k, (0.05 + 0.1 * pow(dr * 1.5, 2) + 0.85)::DOUBLE AS h FROM db WHERE k = 1 UNION ALL SELECT p.venue, p.open_time_ms, p.k, 0.05 + 0.1 * pow(p.dr * 1.5, 2) + 0.85 * g.h FROM g JOIN db p ON p.venue = g.venue AND p.k = g.k + 1)"]
 q("l7_garch", lambda s, d: vol.garch_path(base_bars(s, d), P).select(*KEY, "open_time_ms", "garch_h", "garch_log_var"), [BARS_SQL, SEAS, *GA], f"SELECT venue, open_time_ms, {r('h AS garch_h', '0.1 + 0.9 * ln(h / 2.25) AS garch_log_var')} FROM g", True)
-q("l7_garch_final", lambda s, d: folds.final(base_bars(s, d).withColumn("x", vol.deseasoned_log_return(P) * 1.5), KEY, ["open_time_ms"], ["x"], "1D", "0.05D + 0.1D * x.x * x.x + 0.85D * a", "a", "garch_h"), [BARS_SQL, SEAS, *GA], f"SELECT venue, {r('arg_max(h, k) AS garch_h')} FROM g GROUP BY venue", True)
+q("l7_garch_final", lambda s, d: folds.last_state(base_bars(s, d).withColumn("x", vol.deseasoned_log_return(P) * 1.5), KEY, ["open_time_ms"], ["x"], folds.Garch(0.05, 0.1, 0.85, 1.0), 64 * DAY_MS).select(*KEY, F.col("_st_h").alias("garch_h")), [BARS_SQL, SEAS, *GA], f"SELECT venue, {r('arg_max(h, k) AS garch_h')} FROM g GROUP BY venue", True)
 LG = ["e AS (SELECT venue, open_time_ms, k, CASE WHEN dgk > 0 THEN ln(dgk) END AS s FROM db WHERE k = 1 UNION ALL SELECT p.venue, p.open_time_ms, p.k, CASE WHEN p.dgk > 0 THEN CASE WHEN e.s IS NULL THEN ln(p.dgk) ELSE 0.5 * ln(p.dgk) + 0.5 * e.s END ELSE e.s END FROM e JOIN db p ON p.venue = e.venue AND p.k = e.k + 1)"]
 q("l8_log_gk_ewma", lambda s, d: vol.log_gk_ewma_path(base_bars(s, d), P, 60.0).select(*KEY, "open_time_ms", "ewma_log_gk"), [BARS_SQL, SEAS, *LG], f"SELECT venue, open_time_ms, {r('s AS ewma_log_gk')} FROM e", True)
 q("l9_realized", lambda s, d: vol.realized(base_bars(s, d), 60.0, 360).select(*KEY, "open_time_ms", "realized_vol"), [BARS_SQL, "v AS (SELECT venue, open_time_ms, avg(gk) OVER (PARTITION BY venue ORDER BY open_time_ms ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM gkb)"], f"SELECT venue, open_time_ms, {r('CASE WHEN x > 1e-300 THEN sqrt(x * (525960.0 / 60)) END AS realized_vol')} FROM v")
