@@ -59,3 +59,43 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, c.c AS component_id FROM g JOIN c ON g.doc_id = c.a
 """
+
+
+def _crc_table() -> list[int]:
+    """The reflected CRC-32 table, from its polynomial."""
+    out = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        out.append(b)
+    return out
+
+
+_BYTES = "list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[1 + (xor(a, b) & 255)])))"
+_SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Best edits from the last row to the first: for each row and grammar state the least (cost, audit), insertions before the row included.
+OP13_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS r, rtrim(text, {_SPACE}) AS e, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM o),
+g AS (SELECT *, CASE WHEN e = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM f),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+      count(*) FILTER (after IS NOT NULL AND r || after NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM g GROUP BY conv_id),
+ins(q, cost, a, t, q2) AS (SELECT q, 0, '', '', q FROM range(4) x(q) UNION ALL VALUES (0, 5, 'I', E'user:\n', 2), (1, 5, 'I', E'user:\n', 2), (2, 5, 'I', E'assistant:\n', 3), (3, 5, 'I', E'user:\n', 2),
+      (0, 10, 'II', E'user:\nassistant:\n', 3), (1, 10, 'II', E'user:\nassistant:\n', 3)),
+keep(q, r, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+e AS (SELECT conv_id, i, q2 AS q, 0 AS cost, 'K' AS a, role || ':' || text || chr(10) AS t, keep.q AS q0, fault FROM g JOIN keep ON g.r = keep.r WHERE fault NOT IN ('b', 'd')
+      UNION ALL SELECT conv_id, i, q2, 1, 'R', CASE keep.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10), keep.q, fault FROM g JOIN keep ON keep.r <> 's' WHERE fault NOT IN ('b', 'd')
+      UNION ALL SELECT conv_id, i, q, 2, 'D', '', q, '' FROM g, range(4) x(q)),
+arc AS MATERIALIZED (SELECT conv_id, i, ins.q AS q0, e.q AS q1, ins.cost + e.cost + CASE WHEN fault = 't' THEN 5 ELSE 0 END AS cost, ins.a || e.a AS a, ins.t || e.t AS t FROM e JOIN ins ON ins.q2 = e.q0),
+w AS (SELECT conv_id, n + 1 AS i, q, min({{'c': cost, 'a': a, 't': t}}) AS best FROM n JOIN ins ON ins.q2 IN (0, 3) GROUP BY ALL
+      UNION ALL SELECT w.conv_id, w.i - 1 AS i, arc.q0 AS q, min({{'c': arc.cost + best.c, 'a': arc.a || best.a, 't': arc.t || best.t}}) AS best FROM w JOIN arc ON arc.conv_id IS NOT DISTINCT FROM w.conv_id AND arc.i = w.i - 1 AND arc.q1 = w.q GROUP BY ALL),
+z AS (SELECT conv_id, best FROM w WHERE i = 1 AND q = 0)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(CASE WHEN best.t = '' THEN '' ELSE left(best.t, length(best.t) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
