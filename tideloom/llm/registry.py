@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, conversation_repair, embedding_dedup, html_extract, mixing, ngram_join, oracles, packing, quality_cnn, quality_rules, substring_dedup, token_output, url_filter
+from . import bpe, conversation_repair, embedding_dedup, hard_negatives, html_extract, mixing, ngram_join, oracles, packing, quality_cnn, quality_rules, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op3_html_extract": html_extract.op3_html_extract,
@@ -13,6 +13,7 @@ QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_mix_sources": mixing.op12_mix_sources,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
@@ -22,6 +23,7 @@ ORACLE_SQL = {
     "op7_quality_rules": oracles.OP7_SQL,
     "op8_ngram_join": oracles.OP8_SQL,
     "op10_embedding_dedup": oracles.OP10_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op12_mix_sources": mixing.OP12_SQL,
     "op13_conversation_repair": oracles.OP13_SQL,
 }
