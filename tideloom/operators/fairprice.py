@@ -187,16 +187,16 @@ def kalman(obs: DataFrame, step_ns: int, h_per_ms: float, h_bias_per_ms: float =
     return output(out, h_per_ms) if rows == "snaps" else out
 
 
-def fair_quotes(ticks: DataFrame, members: DataFrame, fair: DataFrame, h_per_ms: float = 0.0, horizon_ms: float = 0.0) -> DataFrame:
+def fair_quotes(ticks: DataFrame, members: DataFrame, fair: DataFrame, h_per_ms: float = 0.0, horizon_ms: float = 0.0, join=asof_join) -> DataFrame:
     """Edges of each member tick against the fair price at or before it, in basis points; missing prices give NULLs.
 
-    Inverted members are quoted inverted: sides and quantities change places.
+    Inverted members are quoted inverted: sides and quantities change places. ``join``: ``streaming.processors.asof`` where both are streams.
     """
     m = ticks.join(members, ["venue", "symbol"]).withColumn("ts_ns", F.coalesce("exchange_ts_ns", "received_ts_ns"))
     inv = F.coalesce("invert_reprice", F.lit(False)) if "invert_reprice" in m.columns else F.lit(False)
     m = m.withColumn("_inv", inv)
     m = m.withColumns({"_bid": F.when(F.col("_inv"), 1 / F.col("ask")).otherwise(F.col("bid")), "_ask": F.when(F.col("_inv"), 1 / F.col("bid")).otherwise(F.col("ask")), "_bq": F.when(F.col("_inv"), F.col("ask_qty")).otherwise(F.col("bid_qty")), "_aq": F.when(F.col("_inv"), F.col("bid_qty")).otherwise(F.col("ask_qty"))})
-    j = asof_join(m.select("grp", "venue", "symbol", "seq", "ts_ns", "bias", "_bid", "_ask", "_bq", "_aq"), fair.select("grp", "snap_ts_ns", "log_fair_price", "p"), ["grp"], "ts_ns", "snap_ts_ns", prefix="f_")
+    j = join(m.select("grp", "venue", "symbol", "seq", "ts_ns", "bias", "_bid", "_ask", "_bq", "_aq"), fair.select("grp", "snap_ts_ns", "log_fair_price", "p"), ["grp"], "ts_ns", "snap_ts_ns", prefix="f_")
     f = F.exp(F.col("f_log_fair_price") + F.col("bias") + F.col("f_p") / 2)
     j = j.withColumn("fair_at_venue", f).withColumn("_mid", (F.col("_bid") + F.col("_ask")) / 2)
     e = lambda x: x / F.col("fair_at_venue") * 1e4

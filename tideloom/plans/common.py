@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,19 @@ def base_bars(s: SparkSession, d: str) -> DataFrame:
     return bars.tick_bars(ticks(s, d), BASE_MS)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that the driver and all executors share: under the checkpoint folder, else under the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tideloom/{label}-{uuid.uuid4().hex}"
+
+
+def run_to_end(stream: DataFrame, path: str):
+    """Runs a stream over what there is now into ``path``/out, going on from ``path``/log; returns the ended query."""
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded after all arithmetic, so that engines that sum in another order agree."""
     return df.select(*[(F.round(c, digits).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])

@@ -9,8 +9,10 @@ def _sym(name: str, i: int, j: int) -> str:
     return f"{name}{min(i, j)}{max(i, j)}"
 
 
-def kalman(step_ns: int, h: float, h_bias: float, init: float) -> list[str]:
-    """Rows of ``kf``: the state after each tick (kind 0) and at each interval's end (kind 1), from ``ob`` (t, lm, hs, bias, noise_var)."""
+def kalman(step_ns: int, h: float, h_bias: float, init: float, upto: str = "max(b)") -> list[str]:
+    """Rows of ``kf``: the state after each tick (kind 0) and at each interval's end (kind 1), from ``ob`` (t, lm, hs, bias, noise_var).
+
+    ``upto``: the last interval of a group, its last tick's by default."""
     pairs = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
     case = lambda f: "CASE ek " + " ".join(f"WHEN {k} THEN {f(k)}" for k in range(1, DIMS)) + " ELSE 0 END"
     grown = ", ".join(f"p{i}{j} + {(h_bias if i else h)!r} * tau AS q{i}{j}" if i == j else f"p{i}{j} AS q{i}{j}" for i, j in pairs)
@@ -24,7 +26,7 @@ def kalman(step_ns: int, h: float, h_bias: float, init: float) -> list[str]:
         "mb1 AS (SELECT grp, " + ", ".join(f"coalesce(max(bias) FILTER (k = {k}), 0)::DOUBLE AS b{k}" for k in range(1, DIMS)) + " FROM mk GROUP BY grp)",
         f"tk AS (SELECT ob.grp, (t - 1) // {step_ns} AS b, t, mk.k, lm, hs * hs AS nv, seq FROM ob JOIN mk ON ob.grp = mk.grp AND ob.venue = mk.venue)",
         f"""ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY b, kind, t, k, seq) AS i FROM (SELECT grp, b, 0 AS kind, t, k, lm, nv, seq FROM tk
-    UNION ALL SELECT grp, b, 1, (b + 1) * {step_ns}, 0, NULL, NULL, 0 FROM (SELECT grp, unnest(range(min(b), max(b) + 1)) AS b FROM tk GROUP BY grp)))""",
+    UNION ALL SELECT grp, b, 1, (b + 1) * {step_ns}, 0, NULL, NULL, 0 FROM (SELECT grp, unnest(range(min(b), {upto} + 1)) AS b FROM tk GROUP BY grp)))""",
         f"""kf AS (SELECT ev.grp, 0::BIGINT AS i, -1 AS kind, ev.b, ev.t, ev.t AS past, ev.k, lm, (lm - bias)::DOUBLE AS x0, b1 AS x1, b2 AS x2, b3 AS x3, {start}, 0.0::DOUBLE AS ps, 0::BIGINT AS used, 0::BIGINT AS last, 0::BIGINT AS seen,
     0.0::DOUBLE AS tau, 0.0::DOUBLE AS pre, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS inn, 0.0::DOUBLE AS s, 0.0::DOUBLE AS gain FROM ev JOIN mk ON ev.grp = mk.grp AND ev.k = mk.k JOIN mb1 ON ev.grp = mb1.grp WHERE i = 1
   UNION ALL SELECT grp, i + 1, ekind, eb, et, et, ek, elm, {state}, {cover}, CASE WHEN ekind = 1 THEN q00 ELSE ps END, CASE WHEN ekind = 1 THEN 0 ELSE used + 1 END, past, used,

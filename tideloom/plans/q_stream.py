@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from ..operators import cleaning, folds, pools, vol
 from ..sources import adapters, files
 from ..sources.adapters import BOOKS_SQL
 from ..streaming import state, windows
-from .common import BARS_SQL, BASE_MS, HOUR_NS, KEY, SNAPS_SQL, base_bars, drop_symbol, r, rounded, snaps, sql, ticks
+from .common import BARS_SQL, BASE_MS, HOUR_NS, KEY, SNAPS_SQL, base_bars, drop_symbol, r, rounded, run_to_end, scratch, snaps, sql, ticks
 from .q_bars import ROLL
 from .q_core import SQL as CORE_SQL
 
@@ -40,13 +37,8 @@ class _Reader:
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The whole output of a stream over what there is now, through a Parquet sink in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tideloom-")
-    path = f"{base.rstrip('/')}/tideloom/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    path = scratch(spark, "stream")
+    run_to_end(stream, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
