@@ -192,8 +192,11 @@ def parse(page: str) -> list[Node]:
             if tag == "input" and not hidden:
                 nodes.append(Node(tag, (), stack[-1][1], block))
             continue
-        if not hidden and tag not in HIDDEN:
-            nodes.append(Node(tag, names_of(m[3]), stack[-1][1], block))
+        names = names_of(m[3])
+        if tag == "div" and not names:  # says nothing about what is in it: no node, so a page may be wrapped in any number of them
+            stack.append((tag, stack[-1][1], True, hidden, space))
+        elif not hidden and tag not in HIDDEN:
+            nodes.append(Node(tag, names, stack[-1][1], block))
             stack.append((tag, len(nodes) - 1, True, hidden, space))
         else:
             stack.append((tag, stack[-1][1], True, hidden, space))
@@ -216,7 +219,8 @@ def evidence(nodes: list[Node]) -> list[list[str]]:
         long = min(6, int(math.log2(1 + len(s) / 12)))
         share = n.linked / max(1, len(s))
         marks = sum(s.count(x) for x in ".,;:!?") * 30 > len(s)
-        out.append([f"long={long}", f"link={0 if share < 0.1 else 1 if share < 0.6 else 2}", f"marks={marks and long > 1}", f"in={nodes[n.parent].tag}", *(["copy"] if "©" in s or "&copy;" in s else [])])
+        link = 0 if share < 0.1 else 1 if share < 0.6 else 2
+        out.append([f"long={long}", f"link={link}", f"marks={marks and long > 1}", f"in={nodes[n.parent].tag},{link}", *(["copy"] if "©" in s or "&copy;" in s else [])])
     return out
 
 
@@ -275,7 +279,7 @@ class Model:
         nodes = parse(page)
         blocks: dict[int, list[str]] = {}
         for node, p in zip(nodes, self.marginals(nodes)):
-            if node.text is not None and p[C] > p[B]:
+            if node.text is not None and p[C] >= p[B]:
                 blocks.setdefault(node.block, []).extend(node.text)
         texts = ("".join(x) for x in blocks.values())
         return " ".join(t for t in (" ".join((html_lib.unescape(x) if "&" in x else x).split()) for x in texts) if t)
@@ -286,7 +290,7 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
 
     The elements' states follow from the runs below them; elements without text take their parent's.
     """
-    edge, facts, totals = [[smooth] * 3 for _ in range(3)], {}, [0.0] * 3
+    edge, facts, totals, start = [[smooth] * 3 for _ in range(3)], {}, [0.0] * 3, [smooth] * 3
     edge[C][B] = edge[C][M] = edge[B][C] = edge[B][M] = 0.02
     for page, marker in pages:
         nodes = parse(page)
@@ -304,6 +308,8 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
         for i, seen in enumerate(evidence(nodes)):
             if i:
                 edge[state[nodes[i].parent]][state[i]] += 1
+            else:
+                start[state[0]] += 1
             totals[state[i]] += 1
             for f in seen:
                 facts.setdefault(f, Counter())[state[i]] += 1
@@ -313,7 +319,7 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
     logs = {f: tuple(math.log((c[k] + eps(f)) / (totals[k] + eps(f) * spread / 100)) for k in range(3)) for f, c in facts.items()}
     # only differences between states matter; a fact's mean is taken out to keep numbers small
     logs = {f: tuple(v - sum(w) / 3 for v in w) for f, w in logs.items()}
-    return Model(edge, logs, [0.2, 0.1, 0.7])
+    return Model(edge, logs, [v / sum(start) for v in start])
 
 
 #: Fixed word lists: names that pages give to their parts.
@@ -332,7 +338,7 @@ NAMES = {
 MARK = "⁣"
 
 
-def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, str]]:
     """Pages put together from parts of known kinds; runs of boilerplate begin with ``MARK``."""
     rng = random.Random(seed)
     letters = ["ba", "re", "ti", "on", "le", "sch", "en", "qu", "os", "mi", "th", "er", "ing", "ado", "ve", "st", "un", "k", "zo", "ly"]
@@ -383,8 +389,21 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, str]]:
             return box(kind, f"<h3>{MARK}{text(1, 3, False)}</h3>" + "".join(one() for _ in range(rng.randint(1, 5))), ["div", "section", "ol", "div"])
         return box("share", links(3, "share"), ["div", "ul", "p"])
 
+    def short():
+        """Parts of an article that are short, listed, code or links."""
+        t = text(1, 5, False)
+        linked = f'<p><a href="/{word()}">{t}</a></p>'
+        return rng.choice([
+            linked, linked,
+            f"<li>{t}</li>", f"<p><code>{word()}</code></p>", f"<pre><code>{text(1, 12)}</code></pre>", f"<span>{t}</span>", f"<code>{t}</code>", linked,
+            f"<p>{t}</p>", f"<h3>{t}</h3>", f"<div>{text(1, 12)}</div>", f"<dl><dt>{word()}</dt><dd>{t}</dd></dl>", f"<ol><li>{t}</li><li>{text(1, 3, False)}</li></ol>",
+            f'<ul><li><a href="/{word()}">{t}</a> {text(2, 8)}</li></ul>', t,
+        ])
+
     def para():
         r = rng.random()
+        if rng.random() < 0.2:
+            return short()
         inner = text(2, 120)
         if rng.random() < 0.2:
             inner += f' <a href="/{word()}">{text(1, 4, False)}</a> {text(3, 30)}'
@@ -406,7 +425,7 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, str]]:
 
     def article():
         parts = [f"<h1>{text(2, 10, False)}</h1>"] if rng.random() < 0.85 else []
-        parts += [para() for _ in range(rng.randint(1, 9))]
+        parts += [para() for _ in range(rng.randint(1, 9))] if rng.random() < 0.9 else [short() for _ in range(rng.randint(1, 3))]
         if rng.random() < 0.3:
             parts.insert(rng.randint(0, len(parts)), boiler(rng.choice(["advert", "share", "notice", "form", "sidebar"])))
         if rng.random() < 0.15:
@@ -423,6 +442,8 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, str]]:
         before = [boiler(k) for k in ("header", "menu", "notice", "advert") if rng.random() < 0.6]
         after = [boiler(k) for k in ("sidebar", "advert", "comments", "form", "share", "menu", "footer") if rng.random() < 0.5]
         rng.shuffle(before)
+        if i % 5 == 1:  # nothing but the article
+            before, after = [], []
         body = "".join(before) + article() + "".join(after)
         if rng.random() < 0.4:
             body = f"<div{rng.choice(['', ' class=wrapper', ' id=page', ' class=container'])}>{body}</div>"
