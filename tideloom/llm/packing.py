@@ -139,7 +139,7 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int
     least = -(-int(sizes.sum()) // capacity)
     pool = [(fitness(sizes, e, capacity), e) for e in elites]
     while len(pool) < population and not (pool and min(p[0][0] for p in pool) <= least):
-        noise = 1 + (0.05 * len(pool) + 0.02 * (seed % 7 > 0)) * rng.random(len(sizes))
+        noise = 1 + 0.05 * len(pool) * rng.random(len(sizes))  # the first grouping of every island is best-fit-decreasing itself
         e = best_fit(sizes, np.argsort(-sizes * noise, kind="stable"), capacity)
         pool.append((fitness(sizes, e, capacity), e))
     pool.sort(key=lambda p: p[0])
