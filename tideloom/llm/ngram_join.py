@@ -32,7 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import balanced_labels
@@ -147,9 +147,9 @@ def _describe(n: int, key: str, text: str):
                 often = counts >= max(8, 2 * FREQUENT * len(sets))
                 heavy = [list(zip(tokens[often].view(np.int64).tolist(), counts[often].tolist()))] + [None] * (len(sets) - 1)
                 yield pa.RecordBatch.from_arrays([
-                    b[key], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
+                    b[key], b["_mark"], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([h and [{"t": t, "c": c} for t, c in h] for h in heavy], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))),
-                ], names=["_key", "n_shingles", "_set", "_heavy"])
+                ], names=["_key", "_mark", "n_shingles", "_set", "_heavy"])
         trim_memory()
 
     return describe
@@ -309,15 +309,20 @@ def _verify(threshold: Fraction):
     return verify
 
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: its key, n_shingles and component_id, the smallest key reachable over links."""
+def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key: str = "doc_id", text: str = "text", marks: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: its key, n_shingles and component_id, the smallest key reachable over links.
+
+    ``marks`` adds _mark, the text's hash, and _least, the mark of the component's first row by (key, mark).
+    """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     t = Fraction(str(threshold))
     own = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
     kind = dict(own.dtypes)[key]
-    desc = materialize(own.mapInArrow(_describe(n, key, text), f"_key {kind}, n_shingles bigint, _set bigint, _heavy array<struct<t:bigint,c:bigint>>"), "sets")
-    classes = desc.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_key").alias("_first"), F.first("n_shingles").alias("_n"), F.count("*").alias("_rows"))
+    marked = own.withColumn("_mark", mark_of(text))
+    desc = materialize(marked.mapInArrow(_describe(n, key, text), f"_key {kind}, _mark bigint, n_shingles bigint, _set bigint, _heavy array<struct<t:bigint,c:bigint>>"), "sets")
+    classes = desc.where("_set IS NOT NULL").groupBy("_set").agg(F.min(F.when(F.col("_key").isNotNull(), F.struct("_key", "_mark"))).alias("_f"), F.first("n_shingles").alias("_n"), F.count("*").alias("_rows"))
+    classes = classes.select("_set", "_f", F.col("_f._key").alias("_first"), "_n", "_rows")
     total = desc.agg(F.count("*"), F.sum("n_shingles")).first()
     # about two signatures for each shingle's share of the difference bound, in two groups; neighbourhoods come on top
     ranges = max(parts, -(-int((total[1] or 0) * 4 * (1 - t) / (1 + t)) // RANGE_ENTRIES))
@@ -333,19 +338,37 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key:
     tiles = loaded.select("_set", "_cluster", "_tokens", F.explode(F.expr("transform(sequence(0, _blocks - 1), j -> struct(least(j, _block) AS _i, greatest(j, _block) AS _j))")).alias("t")).select("_set", "_cluster", "t._i", "t._j", "_tokens")
     links = tiles.groupBy("_cluster", "_i", "_j").applyInArrow(_verify(t), "a bigint, b bigint")
     comp = connected_components(links)
-    smallest = comp.join(classes, F.col("node") == F.col("_set")).select("node", "root", "_first")
-    by_root = smallest.groupBy("root").agg(F.min("_first").alias("_least")).withColumnRenamed("root", "_root")
+    smallest = comp.join(classes, F.col("node") == F.col("_set")).select("node", "root", "_f")
+    by_root = smallest.groupBy("root").agg(F.min("_f").alias("_least")).withColumnRenamed("root", "_root")
     linked = smallest.join(by_root, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "_least")
-    ids = materialize(classes.join(linked, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_least", "_first").alias("_id"), "_rows"), "ids")
-    out = join_classes(desc.select("_key", "n_shingles", "_set"), ids, ["_set"], total[0] / (HEAVY * parts))
-    return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("_id", "_key").alias("component_id"))
+    ids = materialize(classes.join(linked, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_least", "_f").alias("_id"), "_rows"), "ids")
+    out = join_classes(desc.select("_key", "n_shingles", "_set", "_mark"), ids, ["_set"], total[0] / (HEAVY * parts))
+    more = [F.col("_mark"), F.col("_id._mark").alias("_least")] if marks else []
+    return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("_id._key", "_key").alias("component_id"), *more)
+
+
+def mark_of(text: str):
+    """A text's hash; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float | str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that a smaller key's component holds. Columns as they are; keys are unique."""
-    j = ngram_join(docs, n, threshold, key, text)
-    gone = materialize(j.where(F.col("component_id") < F.col(key)).select(key), "gone")
-    return docs.join(small_side(gone, 16), key, "left_anti")
+    """``docs`` with one row, the first by (key, text hash), of each component; columns as they are.
+
+    Rows go by key and text, so rows that share a key but not a text are judged apart; of rows alike in both one stays. Rows without words or
+    without a key are linked with nothing here, and all of them stay.
+    """
+    j = ngram_join(docs, n, threshold, key, text, marks=True).where(F.col(key).isNotNull() & F.col("_least").isNotNull())
+    first = (F.col(key) == F.col("component_id")) & (F.col("_mark") == F.col("_least"))
+    found = materialize(j.groupBy(F.col(key).alias("_k"), F.col("_mark").alias("_m"), first.alias("_first")).agg(F.count("*").alias("_c")).where("NOT _first OR _c > 1"), "gone")
+    same = (F.col(f"`{key}`") == F.col("_k")) & (mark_of(text) == F.col("_m"))
+    kept = docs.join(small_side(found.select("_k", "_m"), 24), same, "left_anti")
+    if found.where("_first").isEmpty():
+        return kept
+    # rows that are their component's first, several times over: one of them
+    again = docs.join(small_side(found.where("_first").select("_k", "_m"), 24), same)
+    again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_k", "_m").orderBy("_m"))).where("_nth = 1")
+    return kept.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
