@@ -16,7 +16,7 @@ def table(spark, n=400):
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])
-@pytest.mark.parametrize("how", ["max", "min", "last"])
+@pytest.mark.parametrize("how", ["max", "min", "last", "sum"])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running_equals_one_pass(spark, width, how, inclusive):
     rows, df = table(spark)
@@ -24,7 +24,7 @@ def test_running_equals_one_pass(spark, width, how, inclusive):
     want, state = {}, {}
     for k, s, v in rows:
         old = state.get(k)
-        new = old if v is None else v if old is None or how == "last" else (max if how == "max" else min)(old, v)
+        new = old if v is None else v if old is None or how == "last" else old + v if how == "sum" else (max if how == "max" else min)(old, v)
         state[k] = new
         want[s] = new if inclusive else old
     got = scan.running(df.where("seq IS NOT NULL"), ["k"], ["seq"], width, F.col("v"), how, "m", inclusive)

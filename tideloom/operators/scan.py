@@ -1,6 +1,6 @@
 """Running values of a key by buckets of its order, so that no task sorts a key's whole history.
 
-Maxima, minima and last known values are associative: each bucket gives one partial value, a window over a key's buckets gives what
+Maxima, minima, sums and last known values are associative: each bucket gives one partial value, a window over a key's buckets gives what
 stood before each of them, and that enters its bucket as a first row. Only buckets are sorted; one key's buckets run in parallel.
 """
 
@@ -24,7 +24,7 @@ def bucket_of(df: DataFrame, col: str, width: int) -> Column:
 
 
 def running(df: DataFrame, key, order: list[str], width: int, value: Column, how: str, out: str, inclusive: bool = True) -> DataFrame:
-    """Adds ``out``: the max, min or last known ``value`` of a key's rows up to this one in ``order`` (before it unless ``inclusive``).
+    """Adds ``out``: the max, min, sum or last known ``value`` of a key's rows up to this one in ``order`` (before it unless ``inclusive``).
 
     Nulls are ignored; NULL where nothing is known. Rows that tie in ``order`` come in any order.
     """
@@ -32,7 +32,7 @@ def running(df: DataFrame, key, order: list[str], width: int, value: Column, how
         part = F.max_by("_sc_v", F.when(F.col("_sc_v").isNotNull(), F.struct(*order)))
         over = lambda c, w: F.last(c, True).over(w)
     else:
-        fn = {"max": F.max, "min": F.min}[how]
+        fn = {"max": F.max, "min": F.min, "sum": F.sum}[how]
         part = fn("_sc_v")
         over = lambda c, w: fn(c).over(w)
     d = df.withColumn("_sc_b", bucket_of(df, order[0], width)).withColumn("_sc_v", value)

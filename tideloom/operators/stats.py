@@ -142,17 +142,48 @@ def decile_ratio(df: DataFrame, forecast: str, actual: str, key: list[str], bins
     return d.groupBy(*key, "bin").agg(F.count("*").alias("n"), F.try_divide(F.avg(actual), F.avg(forecast)).alias("ratio"))
 
 
-def member_report(ticks: DataFrame, groups: DataFrame, on: str = "snap_ts_ns", member: str = "venue", horizon: int = 1) -> DataFrame:
-    """Bias error, noise ratio, edge slope and hit rate of each member: ticks (log_mid, s) against group rows (y)."""
-    g = groups.select(on, "y", F.lead("y", horizon).over(Window.orderBy(on)).alias("_n")) if "grp" not in groups.columns else groups.select(on, "grp", "y", F.lead("y", horizon).over(Window.partitionBy("grp").orderBy(on)).alias("_n"))
-    keys = [on, "grp"] if "grp" in groups.columns and "grp" in ticks.columns else [on]
-    j = ticks.join(g, keys).withColumn("_e", F.col("log_mid") - F.col("y")).withColumn("_d", F.col("_n") - F.col("y"))
-    return j.groupBy(member).agg(
+def _with_next(groups: DataFrame, on: str, keys: list[str], horizon: int, step: int | None) -> DataFrame:
+    """``groups`` (keys, on, y) with _n, the y ``horizon`` steps later: by an equi-join where the grid's ``step`` is given, else the row ``horizon`` rows on."""
+    if step:
+        later = groups.select(*keys, (F.col(on) - horizon * step).alias(on), F.col("y").alias("_n"))
+        return groups.select(*keys, on, "y").join(later, [*keys, on], "left")
+    return groups.select(*keys, on, "y", F.lead("y", horizon).over(Window.partitionBy(*keys).orderBy(on)).alias("_n"))
+
+
+def _residuals(ticks: DataFrame, groups: DataFrame, on: str, horizon: int, step: int | None) -> DataFrame:
+    """Ticks with _e, what they are off the group's y, and _d, the group's next return."""
+    keys = ["grp"] if "grp" in groups.columns else []
+    by = [*keys, on] if "grp" in ticks.columns else [on]
+    j = ticks.join(_with_next(groups, on, keys, horizon, step), by)
+    return j.withColumn("_e", F.col("log_mid") - F.col("y")).withColumn("_d", F.col("_n") - F.col("y"))
+
+
+def member_report(ticks: DataFrame, groups: DataFrame, on: str = "snap_ts_ns", member: str = "venue", horizon: int = 1, step: int | None = None) -> DataFrame:
+    """Bias error, noise ratio, edge slope and hit rate of each member: ticks (log_mid, s) against group rows (y).
+
+    Give the grid's ``step``, or groups with a key grp: without either the next row is found by one sort of all groups' rows.
+    """
+    return _residuals(ticks, groups, on, horizon, step).groupBy(member).agg(
         F.count("*").alias("n"), F.avg("_e").alias("bias_error"), F.try_divide(F.var_samp("_e"), F.avg("s")).alias("noise_ratio"), F.regr_slope("_d", "_e").alias("edge_beta"),
         F.avg(F.when((F.col("_e") != 0) & (F.col("_d") != 0), (F.signum("_e") == F.signum("_d")).cast("double"))).alias("hit_rate"),
     )
 
 
+def residual_r2(ticks: DataFrame, groups: DataFrame, on: str = "snap_ts_ns", member: str = "venue", horizon: int = 1, step: int | None = None, least: int = 100) -> DataFrame:
+    """How much of the fair price's next return each member's residual explains: n and r2 (0 is best: nothing is left in the residual).
+
+    NULL under ``least`` pairs; 0 where the return or the residual doesn't vary.
+    """
+    j = _residuals(ticks, groups, on, horizon, step).where("_e IS NOT NULL AND NOT isnan(_e) AND _d IS NOT NULL AND NOT isnan(_d)")
+    g = j.groupBy(member).agg(F.count("*").alias("n"), F.regr_r2("_d", "_e").alias("_r2"), F.regr_syy("_d", "_e").alias("_syy"), F.regr_sxx("_d", "_e").alias("_sxx"))
+    return g.select(member, "n", F.when(F.col("n") < least, None).when(F.expr("_syy < 1e-30 OR _sxx <= 0"), 0.0).otherwise(F.col("_r2")).alias("r2"))
+
+
+def residual_summary(r2: DataFrame) -> DataFrame:
+    """Mean and greatest r2 over the members of ``residual_r2``."""
+    return r2.agg(F.count("r2").alias("n_members"), F.avg("r2").alias("r2_mean"), F.max("r2").alias("r2_max"))
+
+
 def block_error(df: DataFrame, h: str, r2: str, block: int, key: list[str], order: list[str]) -> DataFrame:
     """Mean relative error of block means of h against r2 over whole blocks (a last exact one is left out)."""
     d = df.withColumn("_p", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*key))).withColumn("_b", F.expr(f"_p DIV {block}"))

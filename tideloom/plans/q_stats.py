@@ -63,7 +63,18 @@ SQL["e22_ols"] = SQL["e22_ols"].replace(", 6) AS slope", ", 4) AS slope").replac
 q("e23_moments", lambda s, d: st.moments(snaps(s, d), "log_return", ["venue"]), [SNAPS_SQL, RET, "m1 AS (SELECT venue, count(*) AS n, avg(x) AS m, var_samp(x) AS v, stddev_samp(x) AS sd FROM rt GROUP BY venue), m2 AS (SELECT m1.venue, any_value(n) AS n, any_value(m) AS m, any_value(v) AS v, any_value(sd) AS sd, avg(pow(x - m, 2)) AS c2, avg(pow(x - m, 3)) AS c3, avg(pow(x - m, 4)) AS c4 FROM rt JOIN m1 ON rt.venue = m1.venue GROUP BY m1.venue), m3 AS (SELECT *, c3 / pow(c2, 1.5) AS sk, c4 / (c2 * c2) AS ku FROM m2)"], f"SELECT venue, n, {r('m AS mean', 'v AS variance', 'ku AS kurtosis', 'sk AS skewness', 'm / (sd / sqrt(n)) AS t_stat', 'n / 6.0 * (sk * sk + pow(ku - 3, 2) / 4) AS jarque_bera', digits=4)} FROM m3", digits=4)
 q("e24_coverage", lambda s, d: st.coverage(lm(s, d).withColumn("p", F.lit(0.5)), "log_mid", "p", [1, 5, 10], ["venue"], ["snap_ts_ns"], 0.1), [SNAPS_SQL, LM, "z AS (SELECT venue, 1 AS k, (lead(log_mid, 1) OVER w - log_mid) / sqrt(0.6) AS z FROM lm WINDOW w AS (PARTITION BY venue ORDER BY snap_ts_ns) UNION ALL SELECT venue, 5, (lead(log_mid, 5) OVER w - log_mid) / sqrt(1.0) FROM lm WINDOW w AS (PARTITION BY venue ORDER BY snap_ts_ns) UNION ALL SELECT venue, 10, (lead(log_mid, 10) OVER w - log_mid) / sqrt(1.5) FROM lm WINDOW w AS (PARTITION BY venue ORDER BY snap_ts_ns))"], f"SELECT venue, k, count(*) AS n, {r('avg((abs(z) < 1)::INT) AS within_1', 'avg((abs(z) < 2)::INT) AS within_2')} FROM z WHERE z IS NOT NULL GROUP BY venue, k HAVING count(*) >= 100")
 q("e25_deciles", lambda s, d: st.decile_ratio(snaps(s, d).where("spread > 0"), "spread", "midquote", ["venue"]), [SNAPS_SQL, "e AS (SELECT venue, quantile_cont(spread, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM snaps WHERE spread > 0 GROUP BY venue), b AS (SELECT s.venue, spread, midquote, (least(greatest(len(list_filter(e.e, lambda x: x < s.spread)), 1), 10) - 1)::INT AS bin FROM snaps s JOIN e ON s.venue = e.venue WHERE spread > 0)"], f"SELECT venue, bin, count(*) AS n, {r('avg(midquote) / avg(spread) AS ratio', digits=4)} FROM b GROUP BY ALL", digits=4)
-q("e26_member_report", lambda s, d: st.member_report(lm(s, d).select("venue", "snap_ts_ns", "log_mid").withColumn("s", F.lit(0.25)), st.cross_section(lm(s, d)).select("snap_ts_ns", F.col("median").alias("y"))), [SNAPS_SQL, LM, CS, "g AS (SELECT snap_ts_ns, median AS y, lead(median) OVER (ORDER BY snap_ts_ns) AS n FROM cs), j AS (SELECT venue, log_mid - y AS e, n - y AS d FROM lm JOIN g ON lm.snap_ts_ns = g.snap_ts_ns)"], f"SELECT venue, count(*) AS n, {r('avg(e) AS bias_error', 'var_samp(e) / 0.25 AS noise_ratio', 'regr_slope(d, e) AS edge_beta', 'avg(CASE WHEN abs(e) > 0 AND abs(d) > 0 THEN (sign(e) = sign(d))::INT END) AS hit_rate', digits=4)} FROM j GROUP BY venue", digits=4)
+q("e26_member_report", lambda s, d: st.member_report(lm(s, d).select("venue", "snap_ts_ns", "log_mid").withColumn("s", F.lit(0.25)), st.cross_section(lm(s, d)).select("snap_ts_ns", F.col("median").alias("y")), step=HOUR_NS), [SNAPS_SQL, LM, CS, "g AS (SELECT snap_ts_ns, median AS y, lead(median) OVER (ORDER BY snap_ts_ns) AS n FROM cs), j AS (SELECT venue, log_mid - y AS e, n - y AS d FROM lm JOIN g ON lm.snap_ts_ns = g.snap_ts_ns)"], f"SELECT venue, count(*) AS n, {r('avg(e) AS bias_error', 'var_samp(e) / 0.25 AS noise_ratio', 'regr_slope(d, e) AS edge_beta', 'avg(CASE WHEN abs(e) > 0 AND abs(d) > 0 THEN (sign(e) = sign(d))::INT END) AS hit_rate', digits=4)} FROM j GROUP BY venue", digits=4)
+RES = "g AS (SELECT snap_ts_ns, median AS y, lead(median) OVER (ORDER BY snap_ts_ns) AS n FROM cs), j AS (SELECT venue, log_mid - y AS e, n - y AS d FROM lm JOIN g ON lm.snap_ts_ns = g.snap_ts_ns WHERE n IS NOT NULL)"
+R2 = "rr AS (SELECT venue, count(*) AS n, CASE WHEN count(*) < 100 THEN NULL WHEN regr_syy(d, e) < 1e-30 OR regr_sxx(d, e) <= 0 THEN 0 ELSE regr_r2(d, e) END AS r2 FROM j GROUP BY venue)"
+
+
+def residual_r2(s, d):
+    cross = st.cross_section(lm(s, d)).select("snap_ts_ns", F.col("median").alias("y"))
+    return st.residual_r2(lm(s, d).select("venue", "snap_ts_ns", "log_mid"), cross, step=HOUR_NS)
+
+
+q("m10_residual_r2", residual_r2, [SNAPS_SQL, LM, CS, RES, R2], f"SELECT venue, n, {r('r2')} FROM rr")
+q("m10_residual_summary", lambda s, d: st.residual_summary(residual_r2(s, d)), [SNAPS_SQL, LM, CS, RES, R2], f"SELECT count(r2) AS n_members, {r('avg(r2) AS r2_mean', 'max(r2) AS r2_max')} FROM rr")
 q("e27_block_error", lambda s, d: st.block_error(snaps(s, d).where("log_return IS NOT NULL").withColumn("r2", F.col("log_return") ** 2).withColumn("h", F.lit(0.5)), "h", "r2", 50, ["venue"], ["snap_ts_ns"]), [SNAPS_SQL, RET, "b AS (SELECT venue, p // 50 AS c, avg(x * x) AS v, count(*) AS m FROM rt GROUP BY ALL), n AS (SELECT venue, count(*) AS n FROM rt GROUP BY venue)"], f"SELECT b.venue, count(*) AS n_blocks, {r('avg(abs(0.5 - v) / v) AS tracking_error')} FROM b JOIN n ON b.venue = n.venue WHERE (c + 1) * 50 < n AND v > 0 GROUP BY b.venue")
 q("e28_message_rate", lambda s, d: st.message_rate(ticks(s, d), KEY, "exchange_ts_ns", 24 * HOUR_NS), ["c AS (SELECT venue, exchange_ts_ns // 86400000000000 AS bucket, count(*) / 86400.0 AS rate FROM ticks GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY bucket) AS k FROM c)", "e AS (SELECT venue, bucket, rate, k, rate::DOUBLE AS w FROM k WHERE k = 1 UNION ALL SELECT k.venue, k.bucket, k.rate, k.k, 0.15 * k.rate + 0.85 * e.w FROM e JOIN k ON k.venue = e.venue AND k.k = e.k + 1)"], f"SELECT venue, bucket, {r('rate::DOUBLE AS rate', 'w AS ewma_rate')} FROM e", True)
 q("e29_order_stats", lambda s, d: st.order_stats(ticks(s, d).withColumn("lat", (F.col("received_ts_ns") - F.col("exchange_ts_ns")) / 1e6), "lat", ["venue"]), ["l AS (SELECT venue, (received_ts_ns - exchange_ts_ns) / 1e6 AS x FROM ticks), o AS (SELECT venue, list_sort(list(x)) AS v, count(*) AS n FROM l GROUP BY venue)"], f"SELECT venue, n, {r('v[1] AS least', 'v[1] / 2 AS floor', 'v[least(floor(n * 0.5), n - 1)::INT + 1] AS p5', 'v[least(floor(n * 0.9), n - 1)::INT + 1] AS p9', 'v[least(floor(n * 0.99), n - 1)::INT + 1] AS p99', 'v[n] AS most')} FROM o")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import scan
+
 # Places of a quote's fields in each venue's message, unit of its time, whether crossed quotes are dropped, and the condition
 # that tells quote messages from others.
 QUOTES = {
@@ -178,10 +180,8 @@ def book_updates(raw: DataFrame, keys=None) -> DataFrame:
             return "array(" + _struct_of(symbol=x["symbol"], exchange_ts_ns=time, is_snapshot=snap, _l=f"concat({side('bid')}, {side('ask')})") + ")"
 
         branches[key] = f"filter({_decode('raw', {'symbol': sym, 'bid': b, 'ask': a, 'ts': ts, 'mark': mark}, body)}, x -> x.symbol IS NOT NULL)"
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("venue", "symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = _emit(raw, branches).withColumn("epoch", F.sum(F.col("is_snapshot").cast("long")).over(w))
+    # snapshots so far, by buckets of seq: no task sorts a whole book's history
+    out = scan.running(_emit(raw, branches), ["venue", "symbol"], ["seq"], scan.ROWS, F.col("is_snapshot").cast("long"), "sum", "epoch")
     cols = ["venue", "itype", "symbol", "exchange_ts_ns", "received_ts_ns", "seq", "epoch"]
     return out.select(*cols, F.explode("_l").alias("_x")).select(*cols, "_x.side", "_x.price", "_x.qty")
 
