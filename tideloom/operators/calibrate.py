@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import gaussian, stats
 
 def variance_lanes(returns: np.ndarray, alpha, beta, noise: float, target: float, paths: bool = False) -> np.ndarray:
     """Variance-targeted GARCH(1,1) with additive noise for many (alpha, beta) at once: one pass over the returns, one lane a pair.
@@ -192,17 +192,12 @@ def fit_rulers_em(obs: DataFrame, h: float, iterations: int = 30, key: str = "gr
     return obs.select(key, "venue", "step", "log_mid", "age").groupBy(key).applyInPandas(run, f"`{key}` {kind}, venue string, bias double, noise_var double, n long")
 
 
-def replay(obs: DataFrame, rulers: DataFrame, h: float, key: str = "grp", backward: bool = False) -> DataFrame:
-    """(step, y, p) of each group with fitted rulers; ``backward`` adds the smoother's pass."""
+def replay(obs: DataFrame, rulers: DataFrame, h: float, key: str = "grp", backward: bool = False, width: int = 4096) -> DataFrame:
+    """(step, y, p) of each group with fitted rulers; ``backward`` adds the smoother's pass. Buckets of ``width`` steps run in parallel."""
     d = obs.select(key, "venue", "step", "log_mid", "age").join(rulers.select(key, "venue", "bias", "noise_var"), [key, "venue"])
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["step", "venue"], kind="stable")
-        m, p = smooth(pdf["step"].to_numpy(), (pdf["log_mid"] - pdf["bias"]).to_numpy(), (pdf["noise_var"] + h * pdf["age"]).to_numpy(), h, backward)
-        return pd.DataFrame({key: k[0], "step": np.arange(len(m)), "y": m, "p": p})
-
-    kind = dict(obs.dtypes)[key]
-    return d.groupBy(key).applyInPandas(run, f"`{key}` {kind}, step long, y double, p double")
+    d = d.withColumn("z", F.col("log_mid") - F.col("bias")).withColumn("r", F.col("noise_var") + h * F.col("age"))
+    f = gaussian.filter_level(d, key, h, width)
+    return (gaussian.smooth_level(f, key, h) if backward else f).drop("_bk")
 
 
 def compare(models: dict[str, DataFrame], key: str = "grp", y: str = "y", order: str = "step") -> DataFrame:

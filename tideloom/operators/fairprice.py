@@ -1,4 +1,4 @@
-"""Cross-venue fair price: Gonzalo-Granger average (native), augmented Kalman filter (one fold a group), quotes, reports."""
+"""Cross-venue fair price: Gonzalo-Granger average (native), augmented Kalman filter (by buckets of time), quotes, reports."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import folds
+from . import folds, gaussian
 from .joins import asof_join
 from .scan import DAY_NS
 
@@ -115,75 +114,13 @@ def gg_bias(obs: DataFrame, fair: DataFrame, halflife_ms: float) -> DataFrame:
     return folds.path(j, ["grp", "venue", "symbol"], ["ts_ns", "seq"], ["_res", "ts_ns", "bias"], step, {"bias_ewma": "double"}).drop("_res")
 
 
-def kalman_step(x: np.ndarray, p: np.ndarray, k: int, z: float, r: float) -> tuple[float, float, np.ndarray]:
-    """One observation z = x[0] + x[k] + noise, in place. Returns innovation, S and the gain."""
-    innovation = z - x[0] - x[k]
-    s = p[0, 0] + p[0, k] + p[k, 0] + p[k, k] + r
-    gain = (p[:, 0] + p[:, k]) / s
-    x += gain * innovation
-    p -= np.outer(gain, p[0] + p[k])
-    p += p.T.copy()
-    p *= 0.5
-    return innovation, s, gain
-
-
-def kalman_group(obs: pd.DataFrame, members: list, step_ns: int, h: float, h_bias: float, bias_init_p: float) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(rows by tick, rows by snapshot) of one group: obs has ts_ns, member, log_mid, noise; members are (bias, ...) in order."""
-    n = len(members) + 1
-    x, p = np.zeros(n), np.zeros((n, n))
-    ticks, snaps, at, begun, i = [], [], 0, False, 0
-    obs = obs.sort_values(["ts_ns", "member", "seq"], kind="stable")
-    ts, mem, lm, nv = (obs[c].to_numpy() for c in ("ts_ns", "member", "log_mid", "noise"))
-    idx = np.arange(n)
-    for b in range((int(ts[0]) - 1) // step_ns, (int(ts[-1]) - 1) // step_ns + 1) if len(ts) else ():
-        end, p0, used = (b + 1) * step_ns, p[0, 0], 0
-        while i < len(ts) and ts[i] <= end:
-            k = int(mem[i]) + 1
-            if not begun:
-                x[1:] = [m[0] for m in members]
-                x[0] = lm[i] - x[k]
-                p[0, 0] = members[k - 1][1]
-                p[idx[1:], idx[1:]] = bias_init_p
-                at, begun = int(ts[i]), True
-            tau = max((int(ts[i]) - at) / 1e6, 0.0)
-            p[0, 0] += h * tau
-            p[idx[1:], idx[1:]] += h_bias * tau
-            pre = p[0, 0]
-            inn, s, gain = kalman_step(x, p, k, lm[i], nv[i])
-            ticks.append((end, int(ts[i]), k - 1, lm[i], tau, h * tau, pre, inn, s, gain[0], x[0], p[0, 0]))
-            at, used, i = int(ts[i]), used + 1, i + 1
-        pre, tau, last = p[0, 0], max((end - at) / 1e6, 0.0), at
-        p[0, 0] += h * tau
-        p[idx[1:], idx[1:]] += h_bias * tau
-        snaps.append((end, x[0], p[0, 0], p0, pre, tau, used, last, [float(v) for v in x[1:]]))
-        at = end
-    return (
-        pd.DataFrame(ticks, columns=["snap_ts_ns", "tick_ts_ns", "member_idx", "log_mid", "tau_ms", "q", "p_pre", "innovation", "s", "gain", "y_post", "p_post"]),
-        pd.DataFrame(snaps, columns=["snap_ts_ns", "log_fair_price", "p", "p_pre", "p_pre_fwd", "tau_fwd_ms", "n_ticks_used", "last_tick_ts_ns", "biases"]),
-    )
-
-
-TICK_ROWS = "grp string, snap_ts_ns long, tick_ts_ns long, member_idx long, log_mid double, tau_ms double, q double, p_pre double, innovation double, s double, gain double, y_post double, p_post double"
-SNAP_ROWS = "grp string, snap_ts_ns long, log_fair_price double, p double, p_pre double, p_pre_fwd double, tau_fwd_ms double, n_ticks_used long, last_tick_ts_ns long, biases array<double>"
-
-
-def kalman(obs: DataFrame, step_ns: int, h_per_ms: float, h_bias_per_ms: float = 0.0, bias_init_p: float = 1e-6, noise: Column | None = None, rows: str = "snaps") -> DataFrame:
+def kalman(obs: DataFrame, step_ns: int, h_per_ms: float, h_bias_per_ms: float = 0.0, bias_init_p: float = 1e-6, noise: Column | None = None, rows: str = "snaps", bucket_ns: int = DAY_NS) -> DataFrame:
     """Augmented Kalman filter of each group: state (price, bias of each member). ``rows``: snaps or ticks (innovations).
 
-    A group is one sequence, so groups are what runs in parallel. Members are numbered by (venue, symbol).
+    A group's history is filtered by buckets of about ``bucket_ns`` in parallel. Members are numbered by (venue, symbol).
     """
     noise = noise_var("InstantSpread") if noise is None else noise
-    o = obs.withColumn("noise", noise)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[["venue", "symbol", "bias", "noise_var"]].drop_duplicates(["venue", "symbol"]).sort_values(["venue", "symbol"], ignore_index=True)
-        at = {k: i for i, k in enumerate(zip(m["venue"], m["symbol"]))}
-        pdf = pdf.assign(member=[at[k] for k in zip(pdf["venue"], pdf["symbol"])])
-        got = kalman_group(pdf, list(zip(m["bias"], m["noise_var"])), step_ns, h_per_ms, h_bias_per_ms, bias_init_p)[rows == "snaps"]
-        got.insert(0, "grp", key[0])
-        return got
-
-    out = o.select("grp", "venue", "symbol", "bias", "noise_var", "ts_ns", "seq", "log_mid", "noise").groupBy("grp").applyInPandas(run, SNAP_ROWS if rows == "snaps" else TICK_ROWS)
+    out = gaussian.filter_groups(obs, step_ns, h_per_ms, h_bias_per_ms, bias_init_p, noise, rows, bucket_ns)
     return output(out, h_per_ms) if rows == "snaps" else out
 
 

@@ -95,8 +95,8 @@ rul = lambda s: s.createDataFrame([("G", v, 0.01 * i, 0.1) for i, v in enumerate
 q("m8_em_rulers", lambda s, d: cal.fit_rulers_em(obs(s, d), 0.01))
 STEPS = "o AS (SELECT venue, snap_ts_ns, log_mid, dense_rank() OVER (ORDER BY snap_ts_ns) - 1 AS step, lag(log_mid) OVER (PARTITION BY venue ORDER BY snap_ts_ns) AS pl FROM lm), n AS (SELECT *, max(CASE WHEN pl IS NULL OR log_mid <> pl THEN step END) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS UNBOUNDED PRECEDING) AS ls FROM o)"
 filt = [SNAPS_SQL, LM, STEPS, *ms.SMOOTHER]
-q("m9_replay", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01), filt, f"SELECT 'G' AS grp, step, {r('m AS y', 'p')} FROM sf", True)
-q("m7_smoother", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01, backward=True), filt, f"SELECT 'G' AS grp, step, {r('m AS y', 'p')} FROM sb", True)
+q("m9_replay", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01, width=128), filt, f"SELECT 'G' AS grp, step, {r('m AS y', 'p')} FROM sf", True)
+q("m7_smoother", lambda s, d: cal.replay(obs(s, d), rul(s), 0.01, width=128, backward=True), filt, f"SELECT 'G' AS grp, step, {r('m AS y', 'p')} FROM sb", True)
 q("m10_score", lambda s, d: st.score(snaps(s, d), "log_return", ["venue"], ["snap_ts_ns"]), [SNAPS_SQL, "sc0 AS (SELECT venue AS key, snap_ts_ns AS o, log_return AS x FROM snaps)", *ms.score("sc0", "sc")], f"SELECT key AS venue, {r(*ms.SCORES, digits=4)} FROM sc", digits=4)
 MODELS = "md AS (SELECT 'filter' AS model, step, m FROM sf UNION ALL SELECT 'smoother', step, m FROM sb), sc0 AS (SELECT {'m': model, 'part': CASE WHEN step <= (SELECT quantile_cont(step, 0.5) FROM sf) THEN 'in' ELSE 'out' END} AS key, step AS o, m - lag(m) OVER (PARTITION BY model ORDER BY step) AS x FROM md)"
-q("m11_model_table", lambda s, d: cal.compare({"filter": cal.replay(obs(s, d), rul(s), 0.01), "smoother": cal.replay(obs(s, d), rul(s), 0.01, backward=True)}), [*filt, MODELS, *ms.score("sc0", "sc")], f"SELECT 'G' AS grp, key.part AS part, key.m AS model, {r(*ms.SCORES, digits=4)} FROM sc", True, digits=4)
+q("m11_model_table", lambda s, d: cal.compare({"filter": cal.replay(obs(s, d), rul(s), 0.01, width=128), "smoother": cal.replay(obs(s, d), rul(s), 0.01, width=128, backward=True)}), [*filt, MODELS, *ms.score("sc0", "sc")], f"SELECT 'G' AS grp, key.part AS part, key.m AS model, {r(*ms.SCORES, digits=4)} FROM sc", True, digits=4)

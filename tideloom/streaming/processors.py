@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.fairprice import kalman_step, noise_var, output
+from ..operators.fairprice import noise_var, output
+from ..operators.gaussian import observe
 from .windows import event_time
 
 KEY = ("venue", "symbol")
@@ -92,7 +93,7 @@ class FairPrice(StatefulProcessor):
             while i < len(ticks) and ticks[i][0] <= end:
                 ts, member, _, log_mid, noise = ticks[i][:5]
                 p += grow * max((ts - at) / 1e6, 0.0)
-                kalman_step(x, p, member + 1, log_mid, noise)
+                observe(x, p, member + 1, log_mid, noise)
                 at, used, i = ts, used + 1, i + 1
             tau, pre, last = max((end - at) / 1e6, 0.0), p[0, 0], at
             p += grow * tau
