@@ -102,6 +102,42 @@ def short_number(x: str) -> Column:
 # concentrated liquidity -------------------------------------------------------------------------------------------------
 
 
+def word(data: str, i: int) -> Column:
+    """The i-th 256-bit word (64 hex digits) of a call's result, with or without 0x; NULL where the result ends before it or isn't hex."""
+    found = F.regexp_extract(F.lower(data), f"^(?:0x)?[0-9a-f]{{{64 * i}}}([0-9a-f]{{64}})(?:[0-9a-f]{{2}})*$", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def word_int(w: Column, bits: int) -> Column:
+    """The low ``bits`` (at most 60, a multiple of 4) of a word as a two's complement number."""
+    v = F.conv(F.right(w, F.lit(bits // 4)), 16, 10).cast("bigint")
+    return F.when(v >= 1 << (bits - 1), v - (1 << bits)).otherwise(v)
+
+
+def word_decimal(w: Column, bits: int) -> Column:
+    """The low ``bits`` (a multiple of 32) of a word as an unsigned number in decimal digits, exact at any width.
+
+    Horner's rule over 32-bit digits on an array of limbs below 10**9: a limb times 2**32 and its carry stay inside 64 bits.
+    """
+    parts = bits // 32
+    limbs = -(-bits * 30103 // 100000 // 9) + 1
+    digits = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.conv(F.substring(w, i * 8 + (65 - 8 * parts), F.lit(8)), 16, 10).cast("bigint"))
+    empty = F.array().cast("array<bigint>")
+
+    def times(acc: Column, digit: Column) -> Column:
+        def limb(s: Column, d: Column) -> Column:
+            v = d * F.lit(1 << 32) + s["carry"]
+            carry = F.call_function("div", v, F.lit(1_000_000_000).cast("bigint"))
+            return F.struct(carry.alias("carry"), F.concat(s["out"], F.array(v % 1_000_000_000)).alias("out"))
+
+        return F.aggregate(acc, F.struct(digit.alias("carry"), empty.alias("out")), limb, lambda s: s["out"])
+
+    zero = F.array_repeat(F.lit(0).cast("bigint"), limbs)
+    got = F.aggregate(digits, zero, times)
+    text = F.array_join(F.transform(F.reverse(got), lambda v: F.lpad(v.cast("string"), 9, "0")), "")
+    return F.when(w.isNotNull(), F.regexp_replace(text, "^0+(?=.)", ""))
+
+
 def sqrt_price(x96: str) -> Column:
     """A decimal string of up to 160 bits, divided by 2**96 in double precision."""
     return F.expr(f"try_cast({x96} AS DOUBLE) / {float(2**96)!r}D")

@@ -204,9 +204,9 @@ def compare(models: dict[str, DataFrame], key: str = "grp", y: str = "y", order:
     """Scores of several fair-price series, in sample and out of it (halves by order)."""
     out = None
     for name, df in models.items():
-        mid = df.groupBy(key).agg(F.percentile(order, 0.5).alias("_half"))
         w = Window.partitionBy(key).orderBy(order)
-        d = df.withColumn("r", F.col(y) - F.lag(y).over(w)).join(mid, key).withColumn("part", F.when(F.col(order) <= F.col("_half"), "in").otherwise("out")).drop("_half")
+        half = F.percentile(order, 0.5).over(Window.partitionBy(key))
+        d = df.withColumn("r", F.col(y) - F.lag(y).over(w)).withColumn("part", F.when(F.col(order) <= half, "in").otherwise("out"))
         s = stats.score(d, "r", [key, "part"], [order]).withColumn("model", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return out

@@ -1,4 +1,4 @@
-"""Concentrated-liquidity pools as synthetic quotes."""
+"""Concentrated-liquidity pools: raw call results to pool states, states to synthetic quotes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 
 
+CALLS_PER_POOL = 2  # price and tick, liquidity
+
+
+def pool_states(polls: DataFrame, pools: DataFrame, price_words: int = 6) -> DataFrame:
+    """State of each pool at each poll: sqrt_price_x96 and liquidity (decimal strings) and active_tick beside the columns of ``pools``.
+
+    ``polls``: block_number, block_ts_ns, received_ts_ns and results, an array of hex strings with two calls a pool in the order of
+    ``pools.pool_index``: (price, tick, ... of ``price_words`` words) and (liquidity). A pool whose calls failed or are cut short gives
+    no row at that block; other pools of the block do. Words are read by native expressions, so a poll is one row-wise projection.
+    """
+    n = CALLS_PER_POOL
+    at = F.explode(F.expr(f"CASE WHEN size(results) >= {n} THEN sequence(0, size(results) DIV {n} - 1) END")).alias("pool_index")
+    d = polls.select("block_number", "block_ts_ns", "received_ts_ns", "results", at)
+    d = d.withColumn("_price", F.get("results", F.col("pool_index") * n)).withColumn("_liq", F.get("results", F.col("pool_index") * n + 1)).drop("results")
+    d = d.withColumns({"_w0": sc.word("_price", 0), "_w1": sc.word("_price", 1), "_we": sc.word("_price", price_words - 1), "_wl": sc.word("_liq", 0)})
+    d = d.where("_w0 IS NOT NULL AND _w1 IS NOT NULL AND _we IS NOT NULL AND _wl IS NOT NULL")
+    d = d.select(
+        "block_number", "block_ts_ns", "received_ts_ns", "pool_index",
+        sc.word_decimal(F.col("_w0"), 160).alias("sqrt_price_x96"), sc.word_int(F.col("_w1"), 24).cast("int").alias("active_tick"),
+        sc.word_decimal(F.col("_wl"), 128).alias("liquidity"),
+    )
+    return d.join(pools, "pool_index")
+
+
 def pool_quotes(states: DataFrame) -> DataFrame:
     """Bid, ask and in-range depth of pool states.
 

@@ -93,11 +93,15 @@ def chi2_sf_even(q: Column, df: int) -> Column:
     return F.exp(-h) * total
 
 
+def _ljung_q(lags: int) -> Column:
+    q = sum(((F.col(f"s{k}") / F.col("s0")) * (F.col(f"s{k}") / F.col("s0")) / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
+    return F.col("n") * (F.col("n") + 2) * q
+
+
 def ljung_box(df: DataFrame, x: str, lags: int, key: list[str], order: list[str]) -> DataFrame:
     """Q = n (n + 2) sum acf_k^2 / (n - k), with its p value for an even number of lags."""
     s = _lag_sums(df, x, list(range(1, lags + 1)), key, order).where(f"n > {lags} AND s0 > 0")
-    q = sum(((F.col(f"s{k}") / F.col("s0")) * (F.col(f"s{k}") / F.col("s0")) / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
-    out = s.select(*key, "n", (F.col("n") * (F.col("n") + 2) * q).alias("q"))
+    out = s.select(*key, "n", _ljung_q(lags).alias("q"))
     return out.withColumn("p_value", chi2_sf_even(F.col("q"), lags)) if lags % 2 == 0 else out
 
 
@@ -208,8 +212,10 @@ def order_stats(df: DataFrame, x: str, key: list[str], qs: tuple[float, ...] = (
 
 def score(df: DataFrame, r: str, key: list[str], order: list[str], lags: int = 10, horizons: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
     """ACF(1), Ljung-Box and variance ratios of a fair-price return series, one row a key."""
-    a = acf(df, r, 1, key, order).select(*key, F.col("acf").alias("acf_1"))
-    q = ljung_box(df, r, lags, key, order).select(*key, F.col("q").alias("lb_q"), *(["p_value"] if lags % 2 == 0 else []))
+    s = _lag_sums(df, r, list(range(1, lags + 1)), key, order)  # both statistics read these sums
+    q = F.when((F.col("n") > lags) & (F.col("s0") > 0), _ljung_q(lags))
+    a = s.select(*key, F.try_divide("s1", "s0").alias("acf_1"), q.alias("lb_q"))
+    a = a.withColumn("p_value", chi2_sf_even(F.col("lb_q"), lags)) if lags % 2 == 0 else a
     v = variance_ratio(df, r, list(horizons), key, order).groupBy(*key).pivot("q", list(horizons)).agg(F.first("vr"))
     v = v.select(*key, *[F.col(str(h)).alias(f"vr_{h}") for h in horizons])
-    return a.join(q, key, "left").join(v, key, "left")
+    return a.join(v, key, "left")

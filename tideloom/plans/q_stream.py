@@ -55,6 +55,35 @@ POOLS = [("a", "79228162514264337593543950336", "1000000000000", 3, 10, 6, 6, 30
 q("h9_pool_quotes", lambda s, d: pools.pool_quotes(s.createDataFrame(POOLS, "pool string, sqrt_price_x96 string, liquidity string, active_tick int, tick_spacing int, decimals0 int, decimals1 int, fee int, invert boolean")).select("pool", "bid", "ask", "bid_qty", "ask_qty"),
   "WITH v AS (SELECT * FROM (VALUES ('a', 1.0::DOUBLE, 1e12::DOUBLE, 0, 10, 3000, false), ('b', 2.0, 5e12, 13860, 60, 500, true)) v(pool, p, l, t, s, fee, inv)), x AS (SELECT *, pow(1.0001, t / 2.0) AS lo, pow(1.0001, (t + s) / 2.0) AS hi, CASE WHEN inv THEN 1 / (p * p) ELSE p * p END AS price FROM v) " + f"SELECT pool, {r('price * (1 - fee / 1e6) AS bid', 'price * (1 + fee / 1e6) AS ask', 'l * CASE WHEN inv THEN hi - p ELSE 1 / lo - 1 / p END / 1e6 AS bid_qty', 'l * CASE WHEN inv THEN p - lo ELSE 1 / p - 1 / hi END / 1e6 AS ask_qty')} FROM x")
 
+# Blocks of raw call results made of the ticks: four pools a block, words of 256 bits; every 97th price call is cut short.
+POOL_DIM = [(0, "p0", 10, 6, 6, 3000, False), (1, "p1", 60, 6, 6, 500, True), (2, "p2", 1, 6, 6, 100, False), (3, "p3", 200, 6, 6, 10000, True)]
+
+
+def raw_polls(s, d):
+    k = "524288 + (seq * 7919) % 1572864"
+    t = ticks(s, d).selectExpr("seq", "seq DIV 4 AS block_number", "seq % 4 AS i", f"hex({k}) AS k", "hex(1000000000 + seq) AS l",
+                               f"CAST(floor(2 * ln(({k}) / 1048576D) / ln(1.0001D)) AS BIGINT) AS tick")
+    t = t.selectExpr(
+        "block_number", "i", "seq", "'0x' || lpad(l || repeat('0', 16), 64, '0') AS liq",
+        "'0x' || lpad(k || repeat('0', 19), 64, '0') || lpad(lower(hex(tick)), 64, IF(tick < 0, 'f', '0')) || repeat('0', 256) AS price")
+    calls = [F.max(F.when(F.col("i") == i, c)) for i in range(4) for c in (F.expr("IF(seq % 97 = 0, left(price, 300), price)"), F.col("liq"))]
+    return t.groupBy("block_number").agg(F.array(*calls).alias("results")).selectExpr("block_number", "block_number AS block_ts_ns", "block_number AS received_ts_ns", "results")
+
+
+def pool_polls(s, d):
+    dim = s.createDataFrame(POOL_DIM, "pool_index int, pool string, tick_spacing int, decimals0 int, decimals1 int, fee int, invert boolean")
+    q = pools.pool_quotes(pools.pool_states(raw_polls(s, d), dim))
+    return q.selectExpr("block_number", "pool", "sqrt_price_x96", "liquidity", "active_tick", "bid", "ask", f"bid_qty / {2.0**64!r}D AS bid_qty", f"ask_qty / {2.0**64!r}D AS ask_qty")
+
+
+q("a8_pool_polls", pool_polls, sql([
+    "dm AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {sp}, {fee}, {str(inv).lower()})" for i, n, sp, _, _, fee, inv in POOL_DIM) + ") v(i, pool, sp, fee, inv))",
+    "kk AS (SELECT seq, seq // 4 AS block_number, seq % 4 AS i, 524288 + (seq * 7919) % 1572864 AS k, 1000000000 + seq AS l FROM ticks WHERE seq % 97 <> 0)",
+    "st AS (SELECT block_number, pool, k, l, sp, fee, inv, k / 1048576.0::DOUBLE AS p, floor(2 * ln(k / 1048576.0::DOUBLE) / ln(1.0001::DOUBLE))::INT AS tick FROM kk JOIN dm ON kk.i = dm.i)",
+    "pq AS (SELECT *, pow(1.0001, (floor(tick / sp::DOUBLE) * sp) / 2.0) AS lo, pow(1.0001, (floor(tick / sp::DOUBLE) * sp + sp) / 2.0) AS hi, CASE WHEN inv THEN 1 / (p * p) ELSE p * p END AS price FROM st)"],
+    "SELECT block_number, pool, (k::HUGEINT * 75557863725914323419136::HUGEINT)::VARCHAR AS sqrt_price_x96, (l::HUGEINT * 18446744073709551616::HUGEINT)::VARCHAR AS liquidity, tick AS active_tick, "
+    + r("price * (1 - fee / 1e6) AS bid", "price * (1 + fee / 1e6) AS ask", "l * CASE WHEN inv THEN hi - p ELSE 1 / lo - 1 / p END / 1e6 AS bid_qty", "l * CASE WHEN inv THEN p - lo ELSE 1 / p - 1 / hi END / 1e6 AS ask_qty") + " FROM pq"))
+
 # Windows of streams: those that end by the watermark (ten seconds before the newest tick, in whole milliseconds) are emitted.
 MARK_SQL = "mark AS (SELECT (max(exchange_ts_ns) // 1000000 - 10000) * 1000 AS w FROM ticks)"
 US_SQL = "us AS (SELECT *, exchange_ts_ns // 1000 AS u, (bid + ask) / 2 AS mid FROM ticks)"
