@@ -10,7 +10,8 @@ from tideloom.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = ["b1_latest", "c2_stale_drop", "c5_snapshot_grid", "snap_stats", "d2_bars_target", "d3_rolled_bars", "e14_display_bundle", "f6_fills_bid", "f7_asof_lookup", "g2_gonzalo_granger", "g8_fair_quote", "j9_book_top", "l6_har_predict", "n1_registry", "a3_feed_quotes",
-          "j3_sliding_bars", "j3_interval_quotes", "j4_sessions", "j7_merge_order", "a10_klines"]
+          "j3_sliding_bars", "j3_interval_quotes", "j4_sessions", "j7_merge_order", "a10_klines", "a8_pool_polls", "a19_innovations", "m7_smoother",
+          "h8_parsing", "h9_pool_math", "h9_pool_quotes", "f10_fees", "f11_groups", "f12_liquidity_factor", "a12_volumes", "n1_aliases", "n2_resolve", "n3_normalize", "n3_denormalize"]
 
 
 def rows(df):

@@ -46,7 +46,6 @@ P = vol.VolParams(
 SEAS = "sb AS (SELECT *, (1 + 0.02 * hour(make_timestamp(open_time_ms * 1000))) * (1 + 0.1 * (isodow(make_timestamp(open_time_ms * 1000)) - 1)) AS sf FROM gkb), db AS (SELECT *, gk / sf AS dgk, ln(close / open) / sqrt(sf) AS dr, row_number() OVER (PARTITION BY venue ORDER BY open_time_ms) AS k FROM sb)"
 q("l1_gk", lambda s, d: base_bars(s, d).select(*KEY, "open_time_ms", vol.gk().alias("gk")), [BARS_SQL], f"SELECT venue, open_time_ms, {r('gk')} FROM gkb")
 q("l2_gk_deseasoned", lambda s, d: base_bars(s, d).select(*KEY, "open_time_ms", vol.deseasoned_gk(P).alias("gk"), vol.deseasoned_log_return(P).alias("ret")), [BARS_SQL, SEAS], f"SELECT venue, open_time_ms, {r('dgk AS gk', 'dr AS ret')} FROM db")
-q("l3_static_vol", lambda s, d: s.range(1).select(F.lit(0.5).alias("ann_vol"), F.lit(vol.static_h_per_ms(0.5) * 1e12).alias("h_scaled"), vol.h_to_ann_vol(F.lit(vol.static_h_per_ms(0.5))).alias("back")), [], f"SELECT 0.5::DOUBLE AS ann_vol, {r('0.25::DOUBLE / (365.25 * 86400000) * 1e12 AS h_scaled')}, 0.5::DOUBLE AS back")
 EW = ["p AS (SELECT venue, snap_ts_ns, ln(midquote) AS lp, row_number() OVER (PARTITION BY venue ORDER BY snap_ts_ns) AS k FROM snaps)",
       "e AS (SELECT venue, snap_ts_ns, lp, k, 1e-12::DOUBLE AS h FROM p WHERE k = 1 UNION ALL SELECT p.venue, p.snap_ts_ns, p.lp, p.k, greatest(pow(2, -3600000.0 / 86400000.0) * e.h + (1 - pow(2, -3600000.0 / 86400000.0)) * pow(p.lp - e.lp, 2) / 3600000.0, 1e-14) FROM e JOIN p ON p.venue = e.venue AND p.k = e.k + 1)"]
 q("l4_ewma_vol", lambda s, d: vol.ewma_vol_path(snaps(s, d), 86_400_000.0, 1e-12, 1e-14).select(*KEY, "snap_ts_ns", (F.col("h_per_ms") * 1e9).alias("h")), [SNAPS_SQL, *EW], f"SELECT venue, snap_ts_ns, {r('h * 1e9 AS h')} FROM e", True)
@@ -68,4 +67,3 @@ q("l8_log_gk_ewma", lambda s, d: vol.log_gk_ewma_path(base_bars(s, d), P, 60.0).
 q("l9_realized", lambda s, d: vol.realized(base_bars(s, d), 60.0, 360).select(*KEY, "open_time_ms", "realized_vol"), [BARS_SQL, "v AS (SELECT venue, open_time_ms, avg(gk) OVER (PARTITION BY venue ORDER BY open_time_ms ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM gkb)"], f"SELECT venue, open_time_ms, {r('CASE WHEN x > 1e-300 THEN sqrt(x * (525960.0 / 60)) END AS realized_vol')} FROM v")
 q("l10_predict", lambda s, d: vol.predict(base_bars(s, d), P, 60.0), [BARS_SQL, ROLL, *ms.PREDICT], f"SELECT venue, {ms.STATUS}, {r(*ms.PREDICTED)} FROM nw", True)
 q("i4_vol_table", lambda s, d: vol.predict(base_bars(s, d), P, 60.0).join(br.bar_status(base_bars(s, d)).select(*KEY, "last_close"), KEY), [BARS_SQL, ROLL, *ms.PREDICT], f"SELECT venue, {ms.STATUS}, {r(*ms.PREDICTED, '(SELECT arg_max(close, open_time_ms) FROM bars WHERE bars.venue = nw.venue) AS last_close')} FROM nw", True)
-q("l12_reseed", lambda s, d: vol.reseed(s.createDataFrame([("a", 0.5), ("b", 0.6)], "grp string, ann_vol double"), s.createDataFrame([("b", 0.9)], "grp string, ann_vol double")).select("grp", "ann_vol", (F.col("h_per_ms") * 1e12).alias("h")), [], f"SELECT grp, ann_vol, {r('ann_vol * ann_vol / (365.25 * 86400000) * 1e12 AS h')} FROM (VALUES ('a', 0.5::DOUBLE), ('b', 0.9::DOUBLE)) v(grp, ann_vol)")

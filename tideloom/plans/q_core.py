@@ -95,12 +95,6 @@ def _scalars(s, d):
 
 SCAL = ["(bid + ask) / 2 AS mid", "(bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty) AS microprice", "ask - bid AS spread", "(ask - bid) / ((bid + ask) / 2) * 1e4 AS spread_bps", "(ask - bid) / ((bid + ask) / 2) AS rel_spread", "(ask - bid) / ((bid + ask) / 2) * 5e3 AS half_spread_bps", "(ln(ask) - ln(bid)) / 2 AS log_half_spread", "ln((bid + ask) / 2) AS log_mid", "(received_ts_ns - exchange_ts_ns) / 1e6 AS latency_ms", "pow(2, -ask_qty / 3) AS decay"]
 q("h1_h7_scalars", _scalars, [], f"SELECT venue, seq, {r(*SCAL, digits=9)}, exchange_ts_ns // 60000000000 AS minute, hour(make_timestamp(exchange_ts_ns // 1000))::INT AS hour, (isodow(make_timestamp(exchange_ts_ns // 1000)) - 1)::INT AS weekday FROM ticks", digits=9)
-q("h8_parsing", lambda s, d: s.createDataFrame([("1.5", "1500000000000000000", "1700000000000", "1700000000.25", "2023-11-14T22:13:20.5Z"), ("x", "y", "z", "", "bad"), (None, None, None, None, None)], "n string, x18 string, ms string, sec string, rfc string").select(sc.to_double("n").alias("n"), sc.fixed18("x18").alias("x18"), sc.epoch_ns("ms", "ms").alias("ms"), sc.epoch_ns("sec", "s").alias("sec"), sc.epoch_ns("rfc", "rfc3339").alias("rfc"), F.lit("s").alias("symbol")).fillna(-1),
-  [], "SELECT * FROM (VALUES (1.5::DOUBLE, 1.5::DOUBLE, 1700000000000000000::BIGINT, 1700000000250000000::BIGINT, 1700000000500000000::BIGINT), (-1, -1, -1, -1, -1), (-1, -1, -1, -1, -1)) v(n, x18, ms, sec, rfc)")
-POOLS = [("a", "1461446703485210103287273052203988822378723970341", -7, 10, 18, 6, True, 3000), ("b", "79228162514264337593543950336", 13, 10, 18, 18, False, 500), ("c", "4295128739", -887272, 60, 6, 18, False, 100)]
-q("h9_pool_math", lambda s, d: s.createDataFrame(POOLS, "pool string, x96 string, tick int, spacing int, d0 int, d1 int, inv boolean, fee int").select("pool", sc.sqrt_price("x96").alias("sqrt_price"), sc.tick_floor("tick", "spacing").alias("tick_lower"), sc.tick_sqrt_price("tick").alias("tick_price"), sc.pool_price(sc.sqrt_price("x96"), F.col("d0"), F.col("d1"), F.col("inv")).alias("price"), F.lit("s").alias("symbol")).withColumns({"sqrt_price": F.log10("sqrt_price"), "price": F.log10("price"), "tick_price": F.log10("tick_price")}),
-  [], "SELECT pool, round(log10(x / pow(2, 96)), 6) AS sqrt_price, (floor(tick / spacing::DOUBLE)::INT * spacing)::INT AS tick_lower, round(tick / 2.0 * log10(1.0001), 6) AS tick_price, round(log10(CASE WHEN inv THEN 1 / (pow(x / pow(2, 96), 2) * pow(10, d0 - d1)) ELSE pow(x / pow(2, 96), 2) * pow(10, d0 - d1) END), 6) AS price FROM (VALUES ('a', 1461446703485210103287273052203988822378723970341::DOUBLE, -7, 10, 18, 6, true), ('b', 79228162514264337593543950336::DOUBLE, 13, 10, 18, 18, false), ('c', 4295128739::DOUBLE, -887272, 60, 6, 18, false)) v(pool, x, tick, spacing, d0, d1, inv)")
-q("h10_tokens", lambda s, d: s.createDataFrame([("WETH",), ("cbBTC",), ("WBTC",), ("sol",)], "t string").select("t", sc.normalise_token("t").alias("base"), F.lit("s").alias("symbol")), [], "SELECT t, CASE upper(t) WHEN 'WETH' THEN 'ETH' WHEN 'WBTC' THEN 'BTC' WHEN 'CBBTC' THEN 'BTC' ELSE upper(t) END AS base FROM (VALUES ('WETH'), ('cbBTC'), ('WBTC'), ('sol')) v(t)")
 q("h11_fills_per_hour", lambda s, d: an.quote_fills(snaps(s, d), "ask", 50.0, 500).select(*KEY, sc.fills_per_hour("n_fills", "elapsed_s").alias("per_hour")), [SNAPS_SQL, F6.replace("ask_low AS reach", "bid_high AS reach").replace("(1 - 50.0", "(1 + 50.0").replace("reach <= q", "reach >= q").replace("(nx - q)", "(q - nx)")], f"SELECT venue, {r('count(mo) * 3600.0 / least((max(snap_ts_ns) - min(snap_ts_ns)) / 1e9, 3600) AS per_hour')} FROM f1 GROUP BY venue")
 q("h12_formatting", lambda s, d: ticks(s, d).select("venue", "symbol", "seq", sc.short_number("bid * 1000").alias("shown")), [], "SELECT venue, seq, CASE WHEN abs(bid * 1000) >= 1e6 THEN printf('%.1f', bid * 1000 / 1e6) || 'M' WHEN abs(bid * 1000) >= 1e3 THEN printf('%.1f', bid * 1000 / 1e3) || 'K' ELSE printf('%.0f', bid * 1000) END AS shown FROM ticks")
 q("j9_book_levels", lambda s, d: books.levels(adapters.book_updates(s, d)), [BOOKS_SQL], "SELECT venue, side, round(price, 6) AS price, round(qty, 6) AS qty FROM (SELECT *, row_number() OVER (PARTITION BY venue, side, price ORDER BY seq DESC) AS k FROM books b WHERE epoch = (SELECT max(epoch) FROM books c WHERE c.venue = b.venue)) WHERE k = 1 AND qty > 0")

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import symbols as sym
 from ..sources import adapters, feeds, files
 from . import feed_samples as fs
 from .common import r, rounded, sql, ticks
 
 QUERIES, SQL = {}, {}
-BASES = ["BTC", "ETH", "SOL", "btc", "DOGE"]
 
 
 def q(name, fn, ctes=None, select=None, digits=6):
@@ -31,17 +29,5 @@ q("a3_feed_trades", lambda s, d: feeds.trades(fs.trade_messages(adapters.trades(
 BM = f"bm AS (SELECT {at([x[0][0] for x in fs.BOOKS], NB)} AS v, {at([x[0][1] for x in fs.BOOKS], NB)} AS i, venue AS symbol, seq, side, price, qty, CASE WHEN seq % 50 = 0 AND {at([int(x[1] is not None) for x in fs.BOOKS], NB)} = '1' THEN 1 ELSE 0 END AS snap FROM books)"
 q("a3_feed_books", lambda s, d: feeds.book_updates(fs.book_messages(adapters.book_updates(s, d))).select("venue", "itype", "symbol", "seq", "side", "price", "qty", "epoch"), [adapters.BOOKS_SQL, BM],
   f"SELECT v AS venue, i AS itype, symbol, seq, side, {r('price', 'qty')}, (sum(snap) OVER (PARTITION BY v, symbol ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS epoch FROM bm")
-q("a12_volumes", lambda s, d: feeds.volumes(s.createDataFrame([("binance", "spot", '{"symbol":"BTCUSDT","volume":"12.5"}'), ("okx", "perp", '{"instId":"BTC-USDT-SWAP","vol24h":"900","volCcy24h":"9"}'), ("okx", "spot", '{"instId":"BTC-USDT","vol24h":"7"}'), ("hyperliquid", "perp", '{"coin":"BTC","dayNtlVlm":"1000","markPx":"50"}'), ("bybit", "perp", "{}")], "venue string, itype string, raw string")), [], "SELECT * FROM (VALUES ('binance', 'spot', 'BTCUSDT', 12.5::DOUBLE), ('okx', 'perp', 'BTC-USDT-SWAP', 9.0), ('okx', 'spot', 'BTC-USDT', 7.0), ('hyperliquid', 'perp', 'BTC', 20.0)) v(venue, itype, symbol, vol_24h)")
 q("a16_capture_quotes", lambda s, d: files.capture_quotes(ticks(s, d)), [], f"SELECT received_ts_ns AS tick_ts_ns, venue AS exchange, symbol, {r('bid', 'ask', 'bid_qty', 'ask_qty')}, exchange_ts_ns, received_ts_ns FROM ticks")
 q("a17_capture_trades", lambda s, d: files.capture_trades(adapters.trades(s, d)), [], "SELECT epoch_us(l_shipdate) * 1000 AS tick_ts_ns, l_linestatus AS exchange, 'SYM' AS symbol, round(l_extendedprice / l_quantity, 9) AS price, round(l_quantity, 9) AS qty, CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE '' END AS side, epoch_us(l_shipdate) * 1000 AS exchange_ts_ns, epoch_us(l_shipdate) * 1000 AS received_ts_ns FROM lineitem WHERE l_quantity > 0", digits=9)
-REG = "reg AS (SELECT ((b.i * 5 + q.i) * 2 + t.i)::INT AS symbol_id, t.n || '-' || b.n || '-' || q.n AS canonical, t.n AS itype, b.n AS base, q.n AS quote FROM (VALUES (0, 'BTC'), (1, 'ETH'), (2, 'SOL'), (3, 'DOGE')) b(i, n), (VALUES (0, 'USDT'), (1, 'USDC'), (2, 'USD'), (3, 'ETH'), (4, 'WETH')) q(i, n), (VALUES (0, 'SPOT'), (1, 'PERP')) t(i, n))"
-q("n1_registry", lambda s, d: sym.registry(s, BASES), [REG], "SELECT * FROM reg")
-q("n1_aliases", lambda s, d: sym.aliases(sym.registry(s, BASES)), [REG], "SELECT itype, unnest([canonical, base || quote, base || '-' || quote, base || '/' || quote, base || '_' || quote]) AS alias, symbol_id FROM reg")
-q("n2_resolve", lambda s, d: sym.resolve(s.createDataFrame([("PERP_BTC_USDT",), ("SPOT_ETH_USDC",), ("SOL_USD",), ("PERP_XXX_USD",)], "name string"), sym.registry(s, BASES)).withColumn("symbol_id", F.coalesce("symbol_id", F.lit(-1))), [], "SELECT * FROM (VALUES ('PERP_BTC_USDT', 1), ('SPOT_ETH_USDC', 12), ('SOL_USD', 25), ('PERP_XXX_USD', -1)) v(name, symbol_id)")
-NATIVE = [("binance", "spot", "BTCBUSD", "BTC", "BUSD"), ("binance", "perp", "ethbtc", "ETH", "BTC"), ("kraken", "perp", "PI_XBTUSD", "BTC", "USD"), ("kucoin", "perp", "XBTUSDTM", "BTC", "USDT"), ("okx", "perp", "BTC-USDT-SWAP", "BTC", "USDT"), ("coinbase", "perp", "BTC-PERP-INTX", "BTC", "USD"), ("hibachi", "perp", "BTC/USDT-P", "BTC", "USDT"), ("nado", "perp", "BTC-PERP_USDT0", "BTC", "USDT"), ("mexc", "perp", "BTC_USDT", "BTC", "USDT"), ("okx", "spot", "BROKEN", None, None)]
-lit = lambda x: "NULL" if x is None else f"'{x}'"
-q("n3_normalize", lambda s, d: sym.normalize(s.createDataFrame([x[:3] for x in NATIVE], "venue string, itype string, native string")), [], "SELECT *, upper(itype) || '_' || base || '_' || quote AS normalized FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, x)) + ")" for x in NATIVE) + ") v(venue, itype, native, base, quote)")
-DEN = [("binance", "perp", "PERP_BTC_USDT", "BTCUSDT"), ("kraken", "perp", "BTC_USD", "PI_XBTUSD"), ("kucoin", "perp", "PERP_BTC_USDT", "XBTUSDTM"), ("okx", "perp", "BTC_USDT", "BTC-USDT-SWAP"), ("coinbase", "spot", "SPOT_ETH_USD", "ETH-USD"), ("hotstuff", "perp", "SOL_USDT", "SOL-PERP")]
-q("n3_denormalize", lambda s, d: sym.denormalize(s.createDataFrame([x[:3] for x in DEN], "venue string, itype string, normalized string")), [], "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, x)) + ")" for x in DEN) + ") v(venue, itype, normalized, native)")
-q("n4_parse_normalized", lambda s, d: s.createDataFrame([("BTC_USDT",), ("SPOT_ETH_USD",), ("X",), ("A_B_C_D",)], "n string").select("n", sym.parse_normalized("n").alias("p")).select("n", "p.base", "p.quote"), [], "SELECT * FROM (VALUES ('BTC_USDT', 'BTC', 'USDT'), ('SPOT_ETH_USD', 'ETH', 'USD'), ('X', NULL, NULL), ('A_B_C_D', NULL, NULL)) v(n, base, quote)")
-q("f10_fees", lambda s, d: sym.with_fees(s.createDataFrame([("okx", "spot", "BTC"), ("okx", "perp", "ETH"), ("none", "spot", "BTC")], "venue string, itype string, symbol string"), sym.fees(s), s.createDataFrame([("okx", "perp", "ETH", 1.0, 0.5)], "venue string, itype string, symbol string, taker_bps double, maker_bps double")), [], "SELECT * FROM (VALUES ('okx', 'spot', 'BTC', 10.0::DOUBLE, 8.0::DOUBLE), ('okx', 'perp', 'ETH', 1.0, 0.5), ('none', 'spot', 'BTC', NULL, NULL)) v(venue, itype, symbol, taker_bps, maker_bps)")

@@ -32,13 +32,6 @@ q("f7_asof_lookup", lambda s, d: jn.asof_join(ticks(s, d).where("venue = 'click'
 tk = lambda s, d: ticks(s, d).withColumn("snap_ts_ns", (F.expr(f"exchange_ts_ns DIV {HOUR_NS}") + 1) * HOUR_NS)
 q("f8_join_snapshots", lambda s, d: jn.join_on_snapshot(tk(s, d).select("venue", "symbol", "seq", "snap_ts_ns"), st.cross_section(lm(s, d)).select("snap_ts_ns", "median")), [SNAPS_SQL, LM, "cs AS (SELECT snap_ts_ns, quantile_cont(log_mid, 0.5) AS median FROM lm GROUP BY ALL HAVING count(DISTINCT venue) >= 2)"], f"SELECT t.venue, t.seq, cs.snap_ts_ns, {r('median')} FROM ticks t JOIN cs ON cs.snap_ts_ns = (t.exchange_ts_ns // 3600000000000 + 1) * 3600000000000")
 q("f9_last_per_member", lambda s, d: jn.last_per(tk(s, d).select("venue", "symbol", "seq", "snap_ts_ns"), ["venue", "snap_ts_ns"], ["seq"]), [], "SELECT venue, max(seq) AS seq, (exchange_ts_ns // 3600000000000 + 1) * 3600000000000 AS snap_ts_ns FROM ticks GROUP BY ALL")
-MEM = [("A", "x", 100.0), ("A", "y", None), ("A", "z", 400.0), ("B", "x", None), ("B", "y", 0.0), ("C", "q", 7.0)]
-mem = lambda s: s.createDataFrame(MEM, "grp string, venue string, vol_24h double")
-MEMQ = "m AS (SELECT * FROM (VALUES ('A', 'x', 100.0::DOUBLE), ('A', 'y', NULL), ('A', 'z', 400.0), ('B', 'x', NULL), ('B', 'y', 0.0), ('C', 'q', 7.0)) v(grp, venue, vol_24h))"
-q("f12_liquidity_factor", lambda s, d: jn.liquidity_factor(mem(s)), [MEMQ], f"SELECT grp, venue, vol_24h, {r('CASE WHEN coalesce(max(vol_24h) OVER (PARTITION BY grp), 0) > 0 THEN pow(max(vol_24h) OVER (PARTITION BY grp) / CASE WHEN vol_24h > 0 THEN vol_24h ELSE 0.01 * max(vol_24h) OVER (PARTITION BY grp) END, 0.75) ELSE 1 END AS vol_adj')} FROM m")
-q("f13_member_rank", lambda s, d: jn.rank_members(mem(s)), [MEMQ], "SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vol_24h DESC NULLS LAST, venue)::INT AS rank FROM m")
-GRP = [("binance", "BTC_USDT", "BTC", "USDT"), ("okx", "BTC_USDT", "BTC", "USDT"), ("kraken", "ETH_BTC", "ETH", "BTC"), ("okx", "ETH_USDT", "ETH", "USDT"), ("okx", "SOL_USDT", "SOL", "USDT")]
-q("f11_groups", lambda s, d: jn.discover_groups(s.createDataFrame(GRP, "venue string, symbol string, base string, quote string")).withColumnRenamed("symbol", "native"), [], "SELECT base AS grp, venue, symbol AS native, n AS n_members, CASE WHEN quote NOT IN ('USDT', 'USDC', 'USD') THEN quote END AS reprice_group FROM (SELECT *, count(*) OVER (PARTITION BY base) AS n FROM (VALUES ('binance', 'BTC_USDT', 'BTC', 'USDT'), ('okx', 'BTC_USDT', 'BTC', 'USDT'), ('kraken', 'ETH_BTC', 'ETH', 'BTC'), ('okx', 'ETH_USDT', 'ETH', 'USDT'), ('okx', 'SOL_USDT', 'SOL', 'USDT')) v(venue, symbol, base, quote)) WHERE n >= 2")
 gaps = lambda s, d: snaps(s, d).withColumn("x", F.when(F.col("n_ticks") > 0, F.col("midquote"))).withColumn("x", F.when(F.expr("snap_ts_ns DIV 3600000000000 % 3 = 0"), None).otherwise(F.col("x"))).select(*KEY, "snap_ts_ns", "x")
 q("f14_forward_fill", lambda s, d: jn.forward_fill(gaps(s, d), ["x"], KEY, "snap_ts_ns"), [SNAPS_SQL, "g AS (SELECT venue, snap_ts_ns, CASE WHEN n_ticks > 0 AND snap_ts_ns // 3600000000000 % 3 <> 0 THEN midquote END AS x FROM snaps)"], f"SELECT venue, snap_ts_ns, {r('coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (PARTITION BY venue ORDER BY snap_ts_ns ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x')} FROM g")
 q("f15_train_test", lambda s, d: jn.split_at_median(ticks(s, d), "exchange_ts_ns").groupBy("venue", "part").agg(F.count("*").alias("n")), [], "SELECT venue, CASE WHEN exchange_ts_ns <= (SELECT quantile_cont(exchange_ts_ns::DOUBLE, 0.5) FROM ticks) THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM ticks GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as cal
-from ..operators import cleaning, folds, pools, vol
+from ..operators import cleaning, folds, pools
 from ..sources import adapters, files
 from ..sources.adapters import BOOKS_SQL
 from ..streaming import state, windows
@@ -48,12 +48,8 @@ q("j2_stream_bars", lambda s, d: drained(s, state.rolled_bars(adapters.ticks(_Re
 q("j9_stream_book", lambda s, d: drained(s, state.book_tops(adapters.book_updates(_Reader(s), d))).groupBy(*KEY).agg(F.max_by(F.struct("bid", "ask", "bid_qty", "ask_qty"), "seq").alias("q")).select(*KEY, "q.*"), CORE_SQL["j9_book_top"])
 
 q("a18_lead_lag_rows", lambda s, d: files.lead_lag_rows(cleaning.grid_sample(ticks(s, d), 6 * HOUR_NS)).select("sample_ts", "exchange", "bid", "ask", "exchange_ts"), sql(["bk AS (SELECT venue, exchange_ts_ns // 21600000000000 AS b, arg_max({'bid': bid, 'ask': ask, 't': exchange_ts_ns}, seq) AS q FROM ticks GROUP BY ALL)", "gr AS (SELECT venue, unnest(range(min(b), (SELECT max(b) FROM bk) + 1)) AS b FROM bk GROUP BY venue)", "cf AS (SELECT gr.venue, gr.b, last_value(q IGNORE NULLS) OVER (PARTITION BY gr.venue ORDER BY gr.b ROWS UNBOUNDED PRECEDING) AS q FROM gr LEFT JOIN bk USING (venue, b))"], f"SELECT (b + 1) * 21600000000000 AS sample_ts, venue AS exchange, {r('q.bid AS bid', 'q.ask AS ask')}, q.t AS exchange_ts FROM cf"))
-q("l11_annualise", lambda s, d: s.createDataFrame([(-2.0, 1.5), (0.3, 1.0)], "log_var double, season double").select("log_var", "season", vol.annualise(F.col("log_var"), F.col("season"), 5.0).alias("ann_vol")), f"SELECT log_var, season, {r('sqrt(exp(log_var) * season * 525960.0 / 5) AS ann_vol')} FROM (VALUES (-2.0::DOUBLE, 1.5::DOUBLE), (0.3, 1.0)) v(log_var, season)")
 q("m3_garch_filter", lambda s, d: folds.path(snaps(s, d).where("log_return IS NOT NULL").select(*KEY, "snap_ts_ns", "log_return"), KEY, ["snap_ts_ns"], ["log_return"], lambda x: cal.variance_lanes(x, 0.1, 0.8, 0.01, 1.0, paths=True)[:, 0], {"h": "double"}).select(*KEY, "snap_ts_ns", "h"),
   sql([SNAPS_SQL, "x AS (SELECT venue, snap_ts_ns, log_return AS x, row_number() OVER (PARTITION BY venue ORDER BY snap_ts_ns) AS k FROM snaps WHERE log_return IS NOT NULL)", "g AS (SELECT venue, snap_ts_ns, k, x, 1.0::DOUBLE AS h FROM x WHERE k = 1 UNION ALL SELECT x.venue, x.snap_ts_ns, x.k, x.x, 0.1 + 0.1 * greatest(g.x * g.x - 0.01, 0) + 0.8 * g.h FROM g JOIN x ON x.venue = g.venue AND x.k = g.k + 1)"], f"SELECT venue, snap_ts_ns, {r('h')} FROM g", True))
-POOLS = [("a", "79228162514264337593543950336", "1000000000000", 3, 10, 6, 6, 3000, False), ("b", "158456325028528675187087900672", "5000000000000", 13863, 60, 6, 6, 500, True)]
-q("h9_pool_quotes", lambda s, d: pools.pool_quotes(s.createDataFrame(POOLS, "pool string, sqrt_price_x96 string, liquidity string, active_tick int, tick_spacing int, decimals0 int, decimals1 int, fee int, invert boolean")).select("pool", "bid", "ask", "bid_qty", "ask_qty"),
-  "WITH v AS (SELECT * FROM (VALUES ('a', 1.0::DOUBLE, 1e12::DOUBLE, 0, 10, 3000, false), ('b', 2.0, 5e12, 13860, 60, 500, true)) v(pool, p, l, t, s, fee, inv)), x AS (SELECT *, pow(1.0001, t / 2.0) AS lo, pow(1.0001, (t + s) / 2.0) AS hi, CASE WHEN inv THEN 1 / (p * p) ELSE p * p END AS price FROM v) " + f"SELECT pool, {r('price * (1 - fee / 1e6) AS bid', 'price * (1 + fee / 1e6) AS ask', 'l * CASE WHEN inv THEN hi - p ELSE 1 / lo - 1 / p END / 1e6 AS bid_qty', 'l * CASE WHEN inv THEN p - lo ELSE 1 / p - 1 / hi END / 1e6 AS ask_qty')} FROM x")
 
 # Blocks of raw call results made of the ticks: four pools a block, words of 256 bits; every 97th price call is cut short.
 POOL_DIM = [(0, "p0", 10, 6, 6, 3000, False), (1, "p1", 60, 6, 6, 500, True), (2, "p2", 1, 6, 6, 100, False), (3, "p3", 200, 6, 6, 10000, True)]
