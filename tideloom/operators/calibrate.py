@@ -1,4 +1,4 @@
-"""Calibration and study: GARCH fits, Kalman smoother, EM rulers. Each group's series is one pandas group; a grid is evaluated in one pass."""
+"""Calibration and study: GARCH fits and EM rulers (a group is one pandas group), filter and smoother by buckets of steps."""
 
 from __future__ import annotations
 
