@@ -17,8 +17,11 @@ there is none). Any length is scored whole in bounded memory. Repeated rows all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,7 @@ from .shared import materialize, trim_memory
 
 FILTERS, HALF, MAX_DOCS, MAX_BYTES, EPOCHS, CUT = 16, 128, 2000, 6 << 20, 8, 0.3
 BLOCK = 1 << 19  # bytes scored at once
+PART_ROWS, PART_BYTES = 200, 4 << 20  # of texts whose features are held together, or one longer text
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +120,18 @@ def train(texts: list[bytes], labels: list[int], weight: dict[int, float], epoch
             one, two = net.tables()
             buf, halves = padded([texts[i] for i in at])
             n = int(halves.sum())
-            half = place = None
-            for k, pairs in enumerate(byte_pairs(buf)):
-                resp = one[pairs[:-1]]
-                resp += two[pairs[1:]]
-                resp = resp.reshape(n, HALF // 2, FILTERS)
-                best = resp.argmax(1)
-                high, where = np.take_along_axis(resp, best[:, None, :], 1)[:, 0], 2 * best + k + np.arange(n)[:, None] * HALF
-                half, place = (high, where) if half is None else (np.maximum(half, high), np.where(high > half, where, place))
+            half, place = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64)
+            for a in range(0, n, BLOCK // HALF):
+                b = min(n, a + BLOCK // HALF)
+                for k, pairs in enumerate(byte_pairs(buf)):
+                    resp = one[pairs[a * HALF // 2 : b * HALF // 2]]
+                    resp += two[pairs[a * HALF // 2 + 1 : b * HALF // 2 + 1]]
+                    resp = resp.reshape(b - a, HALF // 2, FILTERS)
+                    best = resp.argmax(1)
+                    high, where = np.take_along_axis(resp, best[:, None, :], 1)[:, 0], 2 * best + k + np.arange(a, b)[:, None] * HALF
+                    if k:
+                        high, where = np.maximum(half[a:b], high), np.where(high > half[a:b], where, place[a:b])
+                    half[a:b], place[a:b] = high, where
             first = np.cumsum(halves) - halves
             raw = chunk_features(half, halves, first)
             nxt = np.minimum(np.arange(n) + 1, n - 1)
@@ -193,6 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(texts, ys, weight)
 
 
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most PART_ROWS rows and PART_BYTES bytes of text, or one row with more."""
+    size = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch[text]), 0), np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART_BYTES, "right"))
+        hi = min(max(hi, lo + 1), lo + PART_ROWS, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def score_documents(docs: DataFrame, net: Network, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry``'s columns (all by default) with score and predicted. Work is by Arrow batch; nothing is shuffled."""
     new = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -202,8 +221,7 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text", carry: li
     def run(batches):
         tables = net.tables()
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
+            for part in parts(b, text):
                 s = net.score([t or b"" for t in part[text].cast(pa.binary()).to_pylist()], tables)
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in carry], pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*carry, "score", "predicted"])
         trim_memory()
