@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +22,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import byte_runs
 from .bpe import tokenizer_path
 from .piece_ids import BATCH_DOCS, piece_ids
-from .shared import shared_dir, shuffle_partitions
+from .shared import shared_dir, shuffle_partitions, trim_memory
 
 FILE = [T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 #: Writer settings: 32 MB row groups, 64 KB pages of at most 500 rows, dictionary first, version 2 pages (delta otherwise).
 WRITER = {"parquet.block.size": 32 << 20, "parquet.page.size": 64 << 10, "parquet.page.row.count.limit": 500, "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 
 
+def _encoder(path: str, end: np.ndarray):
+    """(a function from a batch's texts to (first row, row after the last one, ids of each text and ``end``, offsets of the rows), part by part; what to call at a task's end)."""
+    if byte_runs.fits(path):
+        return partial(byte_runs.byte_runs(path).encode, end=end), trim_memory
+    tok, tail = piece_ids(path), end.tobytes()
+
+    def encode(texts):
+        for lo in range(0, len(texts), BATCH_DOCS):
+            got = [x + tail for x in tok.encode(texts.slice(lo, BATCH_DOCS).to_pylist())]
+            yield lo, lo + len(got), np.frombuffer(b"".join(got), np.int32), np.cumsum([0, *[len(x) // 4 for x in got]])
+
+    return encode, tok.rest
+
+
 def _encode(path: str, text: str, carry: list[str], end: list[int]):
-    tail = array("I", end).tobytes()
+    tail = np.array(end, np.uint32).astype(np.int32)
 
     def run(batches):
-        tok, part, before = piece_ids(path), TaskContext.get().partitionId(), 0
+        (encode, rest), part, before = _encoder(path, tail), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo in range(0, b.num_rows, BATCH_DOCS):
-                rows = b.slice(lo, BATCH_DOCS)
-                got = [x + tail for x in tok.encode(rows[text].to_pylist())]
-                n = np.array([len(x) // 4 for x in got], np.int64)
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield pa.RecordBatch.from_arrays([*[rows[c] for c in carry], pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), pa.array(n), ids], names=[*carry, *[f.name for f in FILE]])
-                before += int(ends[-1])
-        tok.rest()
+            for lo, hi, flat, off in encode(b[text]):
+                rows = b.slice(lo, hi - lo)
+                ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*[rows[c] for c in carry], pa.array(np.full(hi - lo, part, np.int32)), pa.array(before + off[:-1]), pa.array(np.diff(off)), ids], names=[*carry, *[f.name for f in FILE]])
+                before += int(off[-1])
+        rest()
 
     return run
 
