@@ -41,3 +41,13 @@ def test_asks_once(monkeypatch):
     texts = ["the same words, again: 1234 times\n" * 400] * 50
     assert ids(enc, texts) == ids(enc, texts) and sum(asked) < 100
     assert not byte_runs.fits(WORD) and byte_runs.fits(BYTE)
+
+
+def test_table_is_bounded(monkeypatch):
+    """Neither long texts without a space nor many distinct pieces stay in the table."""
+    monkeypatch.setattr(byte_runs, "LIMIT", 200)
+    monkeypatch.setattr(byte_runs, "SLICE", 4000)
+    enc = byte_runs.ByteRuns(BYTE)
+    texts = [chr(0x4E00 + i) * 5000 for i in range(8)] + [f"w{i}é" for i in range(5000)]
+    assert ids(enc, texts) == [[*enc.tok.encode(t, add_special_tokens=False).ids, 0, 7] for t in texts]
+    assert len(enc.known) <= 200 and enc.known.nbytes + enc.flat.nbytes < 200 * 100

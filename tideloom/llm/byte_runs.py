@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from .bpe import SPACE
 
 SLICE, CHUNK = 8 << 20, 1000  # bytes of texts worked on at once (one text at least), pieces in one string
-LIMIT = 600_000  # pieces whose ids are kept from slice to slice, about 60 bytes each
+LIMIT, LONG = 600_000, 64  # pieces whose ids are kept from slice to slice, about 60 bytes each; the most bytes of such a piece
 LETTER, DIGIT, OTHER, WHITE, WIDE = range(5)
 CLASS = np.full(256, OTHER, np.uint8)
 CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
@@ -151,8 +151,11 @@ class ByteRuns:
         return at
 
     def _prune(self) -> None:
-        if len(self.known) > LIMIT:
-            keep = np.sort(np.argpartition(-self.met, LIMIT // 2)[: LIMIT // 2])
+        """Long pieces (a text without spaces may be one) aren't kept; of too many, those met last are."""
+        keep = np.flatnonzero(pc.binary_length(self.known).to_numpy() <= LONG)
+        if len(keep) > LIMIT:
+            keep = np.sort(keep[np.argpartition(-self.met[keep], LIMIT // 2)[: LIMIT // 2]])
+        if len(keep) < len(self.known):
             self.known, self.met = self.known.take(pa.array(keep)), self.met[keep]
             self.flat, self.n = _gather(self.flat, self.first[keep], self.n[keep]), self.n[keep]
             self.first = np.cumsum(self.n) - self.n
@@ -185,7 +188,7 @@ class ByteRuns:
 def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``n`` values from each ``first`` on, one after another."""
     stop = np.cumsum(n)
-    return flat[np.repeat(first - stop + n, n) + np.arange(stop[-1])]
+    return flat[np.repeat(first - stop + n, n) + np.arange(n.sum())]
 
 
 def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
