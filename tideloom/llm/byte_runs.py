@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import SPACE
+from .shared import kept
 
 SLICE, CHUNK = 8 << 20, 1000  # bytes of texts worked on at once (one text at least), pieces in one string
 LIMIT, LONG = 600_000, 64  # pieces whose ids are kept from slice to slice, about 60 bytes each; the most bytes of such a piece
@@ -198,6 +199,6 @@ def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], np.frombuffer(data or b"", np.uint8)[off[0] : off[-1]]
 
 
-@cache
+@kept
 def byte_runs(path: str) -> ByteRuns:
     return ByteRuns(path)

@@ -15,11 +15,10 @@ import os
 import re
 import unicodedata
 from array import array
-from functools import cache
 from itertools import accumulate, chain
 
 from .bpe import SPACE, byte_symbols, char_class
-from .shared import trim_memory
+from .shared import kept, trim_memory
 
 LIMIT, FRESH = 400_000, 150_000  # entries of a generation of the large table (there are two), and of the small one; about 200 bytes each
 BATCH_DOCS = 400
@@ -32,7 +31,7 @@ class PieceIds:
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
-        trim_memory()
+        trim_memory(piece_ids)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -134,11 +133,11 @@ class PieceIds:
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def rest(self) -> None:
-        """A task has ended: its worker process waits, maybe for another operator's task, and keeps one generation only."""
+        """A task has ended: its worker process waits, maybe for another operator's task, and keeps one generation only, which that operator drops."""
         self.old = {}
-        trim_memory()
+        trim_memory(piece_ids)
 
 
-@cache
+@kept
 def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)

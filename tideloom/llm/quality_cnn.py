@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .shared import materialize, trim_memory
 
@@ -190,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             size += sized[i]["_b"]
     if not chosen:
         return flat
-    few = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema[key]])).join(picks, key)
+    own = T.StructType([docs.schema[key]])  # an Arrow table needs no Python process in the executors
+    few = docs.sparkSession.createDataFrame(pa.table([[k for (k,) in chosen]], schema=to_arrow_schema(own)), own).join(picks, key)
     rows = texts_of.join(F.broadcast(few), key).groupBy(key).agg(F.max("_y").alias("_y"), F.min("_t").alias("_t")).collect()
     at = {k: i for i, (k,) in enumerate(chosen)}
     rows.sort(key=lambda r: at[r[key]])

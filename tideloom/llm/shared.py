@@ -62,8 +62,21 @@ def join_classes(rows: DataFrame, named: DataFrame, on: list[str], limit: float)
     return d.select(*rows.columns, *[F.coalesce(f"_hv_{c}", f"_lt_{c}").alias(c) for c in values])
 
 
-def trim_memory() -> None:
-    """Give freed memory back to the system: a worker process lives through several stages and keeps what it once took."""
+_kept = []
+
+
+def kept(make):
+    """``functools.cache`` for tables that a worker process keeps from task to task; the next operator's ``trim_memory`` drops them."""
+    _kept.append(cache(make))
+    return _kept[-1]
+
+
+def trim_memory(keep=None) -> None:
+    """Drop all ``kept`` tables but those of ``keep`` and give freed memory back to the system: a worker process lives through several
+    stages and keeps what it once took."""
+    for made in _kept:
+        if made is not keep:
+            made.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

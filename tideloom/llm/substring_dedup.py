@@ -46,13 +46,43 @@ def _windows(texts: pa.Array, width: int):
         yield lo, hi, first, *window_hashes(h, first, width)
 
 
+def _joined(found: list[np.ndarray]) -> np.ndarray:
+    """All of ``found``, which is emptied: a chunk's hashes are held once."""
+    h = np.concatenate([*found, np.zeros(0, np.uint64)])
+    found.clear()
+    return h
+
+
+def _starts(h: np.ndarray) -> np.ndarray:
+    """Where ascending ``h`` has a value for the first time."""
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return new
+
+
+def _repeated(found: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
+    """Which hashes stand earlier in ``found`` (emptied) or, by ``earlier``'s bit for each distinct one in ascending order, in an earlier chunk."""
+    h = _joined(found)
+    order = np.argsort(h, kind="stable")
+    new = _starts(h[order])
+    del h
+    again = earlier[np.cumsum(new, dtype=np.int32) - 1]
+    again |= ~new
+    out = np.empty(len(order), bool)
+    out[order] = again
+    return out
+
+
 def _send(width: int, buckets: list[int], text: str):
     def send(table: pa.Table) -> pa.Table:
-        found = [w for *_, w, _ in _windows(table[text], width)]
-        h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        trim_memory()
+        h = _joined([w for *_, w, _ in _windows(table[text], width)])
+        h.sort()
+        h = h[_starts(h)]
         cuts = cut_points(h, len(buckets))
         full = np.flatnonzero(np.diff(cuts))
         blobs = [pack_sorted(h[cuts[k] : cuts[k + 1]]) for k in full]
+        del h
         head = table.slice(0, 1)
         chunk, order = head["_chunk"][0].as_py(), head["_order"][0].as_py()
         return pa.table({
@@ -90,16 +120,17 @@ def _cut(width: int, text: str, key: str, schema: pa.Schema):
         answers = answers.sort_by("_part")
         bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(answers["_bits"].to_pylist(), answers["_n"].to_pylist())]
         earlier = np.concatenate(bits) if bits else np.zeros(0, bool)
-        parts = list(_windows(docs[text], width))
-        h = np.concatenate([w for *_, w, _ in parts]) if parts else np.zeros(0, np.uint64)
-        _, where, inv = np.unique(h, return_index=True, return_inverse=True)
-        repeated = earlier[inv] | (where[inv] != np.arange(len(h))) if len(h) else np.zeros(0, bool)
+        parts, found = [], []
+        for lo, hi, first, w, at in _windows(docs[text], width):
+            parts.append((lo, hi, first, at.astype(np.int32)))
+            found.append(w)
+        repeated = _repeated(found, earlier)
         n_words, n_removed, spans, kept, done = [], [], [], [], 0
         texts = docs[text].combine_chunks() if docs[text].num_chunks != 1 else docs[text].chunk(0)
         raw = texts.cast(pa.binary())
-        for lo, hi, first, w, at in parts:
-            hit = at[repeated[done : done + len(w)]]
-            done += len(w)
+        for lo, hi, first, at in parts:
+            hit = at[repeated[done : done + len(at)]]
+            done += len(at)
             cover = np.zeros(int(first[-1]) + width + 1, np.int32)
             cover[hit] += 1
             cover[hit + width] -= 1

@@ -35,7 +35,7 @@ WRITER = {"parquet.block.size": 32 << 20, "parquet.page.size": 64 << 10, "parque
 def _encoder(path: str, end: np.ndarray):
     """(a function from a batch's texts to (first row, row after the last one, ids of each text and ``end``, offsets of the rows), part by part; what to call at a task's end)."""
     if byte_runs.fits(path):
-        return partial(byte_runs.byte_runs(path).encode, end=end), trim_memory
+        return partial(byte_runs.byte_runs(path).encode, end=end), partial(trim_memory, byte_runs.byte_runs)
     tok, tail = piece_ids(path), end.tobytes()
 
     def encode(texts):

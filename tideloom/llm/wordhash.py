@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 256 << 10
 _rng = np.random.Generator(np.random.PCG64(977))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _ROLL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
