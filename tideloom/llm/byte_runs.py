@@ -1,4 +1,4 @@
-"""Token ids of a column of texts by a byte-level tokenizer file, worked out by columns: each distinct piece of a slice is encoded once.
+"""Token ids of a column of texts, worked out by columns: each distinct piece of a slice is encoded once. For byte-level tokenizer files:
 
 Pieces are cut in the column's own bytes where no token crosses: before white space, behind it, and where letters, digits and other
 ASCII characters change. A place where the file's pattern could decide otherwise (a contraction, white space or letters beyond ASCII) isn't
@@ -7,6 +7,10 @@ pattern keeps apart from what follows, and go through the library's whole pipeli
 split at the line feed's and laid out by the pieces' places. Pieces with more white space than one space in front, or with a special token's
 literal, are encoded as they are. A bounded table, itself of Arrow and numpy arrays, keeps pieces for the next slices; when it is full, those
 met last stay. So memory is bounded by the slice and the table.
+
+For files that drop white space and lower-case (``WordRuns``) texts are cut at ASCII white space. A run of ASCII alone is lower-cased and cut
+into pre-tokens, whose ids come from the library's model. Runs with other characters, which may compose or hold white space, with a
+contraction or with a special token's literal are pieces as they are, and ``piece_ids`` encodes those that the table lacks.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import SPACE
-from .shared import kept
+from .piece_ids import PieceIds
+from .shared import kept, trim_memory
 
 SLICE, CHUNK = 8 << 20, 1000  # bytes of texts worked on at once (one text at least), pieces in one string
 LIMIT, LONG = 600_000, 64  # pieces whose ids are kept from slice to slice, about 60 bytes each; the most bytes of such a piece
@@ -37,6 +42,8 @@ APART = np.zeros((5, 5), bool)
 for _a, _b in ((LETTER, DIGIT), (LETTER, OTHER), (DIGIT, LETTER), (DIGIT, OTHER), (OTHER, LETTER), (OTHER, DIGIT), (LETTER, WHITE), (DIGIT, WHITE), (OTHER, WHITE)):
     APART[_a, _b] = True
 APART = APART.reshape(-1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Bytes that may start a white-space character beyond ASCII; its last byte, with the byte before.
 STARTS, LASTS, BEFORE = (np.isin(np.arange(256), x) for x in ((0xC2, 0xE1, 0xE2, 0xE3), (0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F), (0xC2, 0x9A, 0x80, 0x81)))
 
@@ -79,6 +86,8 @@ def fits(path: str) -> bool:
 
 
 class ByteRuns:
+    part = 1  # a slice has SLICE / part bytes
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -93,6 +102,9 @@ class ByteRuns:
         self.marks = re.compile("|".join(re.escape(m) for m in special).encode()) if special else None
         self.space = re.compile(f"[{SPACE}]")
         (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
+        self._empty()
+
+    def _empty(self) -> None:
         # the table: pieces, all their ids, the place of each piece's first one, their number, the slice that met it last
         self.known, self.flat = pa.array([], pa.string()), np.zeros(0, np.int32)
         self.first, self.n, self.met, self.tick = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -167,25 +179,87 @@ class ByteRuns:
         off, _ = _parts(texts)
         lo = 0
         while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE // self.part, "right")) - 1)
             yield lo, hi, *self._slice(texts.slice(lo, hi - lo), end)
             lo = hi
 
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """Pieces in order; how many stand before each of ``starts``."""
+        cuts = bounds(data, starts, self._marks(data))
+        return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)), np.searchsorted(cuts, starts)
+
+    def rest(self) -> None:
+        """A task has ended: its worker process keeps the table for the operator's next one."""
+        trim_memory(column_runs)
+
     def _slice(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, data = _parts(texts)
         ids, before = np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
         if len(data):
-            cuts = bounds(data, starts, self._marks(data))
-            pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+            pieces, row = self._pieces(data, starts)
+            pieces = pieces.dictionary_encode()
             at = self._find(pieces.dictionary)[pieces.indices.to_numpy()]
             n = self.n[at]
             ids = _gather(self.flat, self.first[at], n)
-            before = np.append(0, np.cumsum(n))[np.searchsorted(cuts, starts)]
+            before = np.append(0, np.cumsum(n))[row]
             self._prune()
         ids = np.insert(ids, np.repeat(before[1:], len(end)), np.tile(end, len(texts)))
         return ids, before + np.arange(len(before)) * len(end)
 
 
+def _whole(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes whose run isn't cut: beyond ASCII, or where a contraction or a special token may start. Strings start at ``starts``."""
+    out = np.zeros(len(data), bool)
+    out[:-1] = (data[:-1] == 39) & (CLASS[data[1:]] == LETTER) | (data[:-1] == 60) & (data[1:] == 124)
+    out[starts[starts > 0] - 1] = False  # the next byte is another string's
+    out |= data >= 128
+    return out
+
+
+class WordRuns(ByteRuns):
+    part = 2
+
+    def __init__(self, path: str):
+        self.words = PieceIds(path)
+        spec = json.load(open(path, encoding="utf-8"))
+        if not self.words.drops or any(t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", [])):
+            raise ValueError("unknown kind of tokenizer file")
+        self._empty()
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        kind = CLASS[data]
+        word = kind != WHITE
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        at = starts[starts < len(data)]
+        first[at] = word[at]
+        places = np.flatnonzero(first)
+        if len(places):
+            plain = np.zeros(len(data), bool)
+            plain[places[0] :] = np.repeat(~np.logical_or.reduceat(_whole(data, starts), places), np.diff(places, append=len(data)))
+            first[1:] |= plain[1:] & word[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+            data = np.where(plain, LOWER[data], data)
+            places = np.flatnonzero(first)
+        rank = np.zeros(len(data) + 1, np.int32)  # bytes that aren't white space before each place
+        np.cumsum(word, dtype=np.int32, out=rank[1:])
+        off = rank[np.append(places, len(data))]
+        return pa.StringArray.from_buffers(len(places), pa.py_buffer(off), pa.py_buffer(data[word])), np.searchsorted(places, starts)
+
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        off, data = _parts(pieces)
+        odd = np.logical_or.reduceat(_whole(data, off), off[:-1])
+        ids = self.words.spell(pieces.filter(pa.array(~odd)).to_pylist()) + self.words.learn(pieces.filter(pa.array(odd)).to_pylist())
+        place = np.argsort(odd, kind="stable")  # the piece that each of ``ids`` belongs to
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, own = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        first[place], own[place] = np.cumsum(n) - n, n
+        return np.frombuffer(b"".join(ids), np.int32), first, own
+
+    def rest(self) -> None:
+        self.words.old = {}
+        super().rest()
+
+
 def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``n`` values from each ``first`` on, one after another."""
     stop = np.cumsum(n)
@@ -202,3 +276,9 @@ def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @kept
 def byte_runs(path: str) -> ByteRuns:
     return ByteRuns(path)
+
+
+@kept
+def column_runs(path: str) -> ByteRuns:
+    """By the kind of the file."""
+    return ByteRuns(path) if fits(path) else WordRuns(path)

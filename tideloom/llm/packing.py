@@ -16,7 +16,7 @@ input: no rows. Extra columns can be carried; equal names are replaced.
 from __future__ import annotations
 
 import zlib
-from array import array
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import tokenizer_path
-from .piece_ids import BATCH_DOCS, piece_ids
+from .byte_runs import column_runs
 from .shared import materialize
 
 CAPACITY, GROUP, ISLANDS, EPOCHS, POPULATION, BIRTHS = 2048, 16_000, 2, 2, 4, 6
@@ -37,25 +37,24 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: s
     """Pieces of all documents: key, carried columns, piece, start, length, ids_crc32 and, if asked for, ids."""
     fields = PIECE + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])
     carry = [key, *[c for c in (carry or []) if c != key and c not in {f.name for f in fields}]]
-    tail = array("I", list(end)).tobytes()
+    tail = np.array(end, np.int32)
 
     def run(batches):
-        tok = piece_ids(tokenizer)
+        tok = column_runs(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, BATCH_DOCS):
-                rows = b.slice(lo, BATCH_DOCS)
+            for lo, hi, flat, off in tok.encode(b[text], tail):
+                rows = b.slice(lo, hi - lo)
                 at, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, x in enumerate(tok.encode(rows[text].to_pylist())):
-                    x += tail
-                    for p, s in enumerate(range(0, len(x), 4 * capacity)):
-                        part = x[s : s + 4 * capacity]
+                for i, (x, y) in enumerate(pairwise(off.tolist())):
+                    for p, s in enumerate(range(x, y, capacity)):
+                        part = flat[s : min(s + capacity, y)]
                         at.append(i)
                         piece.append(p)
-                        start.append(s // 4)
-                        length.append(len(part) // 4)
+                        start.append(s - x)
+                        length.append(len(part))
                         crc.append(zlib.crc32(part))
                         if with_ids:
-                            ids.append(np.frombuffer(part, np.int32))
+                            ids.append(part)
                 rows = rows.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[rows[c] for c in carry], pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=[*carry, *[f.name for f in fields]])
         tok.rest()

@@ -86,15 +86,33 @@ class PieceIds:
             pieces -= back
         return list(pieces)
 
-    def _learn(self, lack: list[str]) -> None:
-        """Put the ids of pieces that no table has into the small one."""
-        joined = "\n".join(lack)
+    def _bound(self) -> None:
+        if len(self.table) > LIMIT:
+            self.old, self.table = self.table, {}
+        if len(self.fresh) > FRESH:
+            self.fresh = {}
+
+    def spell(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, as the file's normaliser leaves them."""
+        spell = self.tok.model.tokenize
+        symbols = "\n".join(words).encode().decode("latin-1").translate(self.symbols).split(self.symbols[10]) if words else []
+        return [array("I", [t.id for t in spell(s)]).tobytes() for s in symbols]
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; their pre-tokens' ids are kept."""
+        self._bound()
+        made = self._learn(pieces)
+        return list(map(made.__getitem__, pieces))
+
+    def _learn(self, lack: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that no table has; their pre-tokens' go into the small one."""
+        joined, out = "\n".join(lack), {}
         if odd := self._odd(lack, joined):
-            self.fresh.update(zip(odd, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]))
-            lack = [p for p in lack if p not in self.fresh]
+            out.update(zip(odd, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(odd, add_special_tokens=False)]))
+            lack = [p for p in lack if p not in out]
             joined = "\n".join(lack)
         if not lack:
-            return
+            return out
         if self.drops:
             if not joined.isascii():
                 joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
@@ -103,28 +121,24 @@ class PieceIds:
         words = set(tokens)
         words.discard("\n")
         new = self._again(words - self.table.keys())
-        spell = self.tok.model.tokenize
-        symbols = "\n".join(new).encode().decode("latin-1").translate(self.symbols).split(self.symbols[10])
-        made = dict(zip(new, [array("I", [t.id for t in spell(s)]).tobytes() for s in symbols]))
+        made = dict(zip(new, self.spell(new)))
         known = words - made.keys()
         ids = made | dict(zip(known, map(self.table.__getitem__, known))) | {"\n": MARK}
         self.fresh.update(made)
-        self.fresh.update(zip(lack, b"".join(map(ids.__getitem__, tokens)).split(MARK)))
+        out.update(zip(lack, b"".join(map(ids.__getitem__, tokens)).split(MARK)))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; null: none."""
         cut = [self.pieces(t or "") for t in texts]
-        if len(self.table) > LIMIT:
-            self.old, self.table = self.table, {}
-        if len(self.fresh) > FRESH:
-            self.fresh = {}
+        self._bound()
         pieces = list(chain.from_iterable(cut))
         ids = list(map(self.table.get, pieces))
         holes = [i for i, x in enumerate(ids) if x is None]
         if holes:
             left = list(map(pieces.__getitem__, holes))
             if lack := self._again(set(left)):
-                self._learn(lack)
+                self.fresh.update(self._learn(lack))
             table, fresh = self.table, self.fresh
             for i, p in zip(holes, left):
                 x = fresh.get(p)
