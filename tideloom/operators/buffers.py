@@ -32,11 +32,13 @@ def with_position(df: DataFrame, key=KEY, order=("seq",)) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
 
 
-def read_at(df: DataFrame, pos: int, capacity: int, key=KEY, order=("seq",)) -> DataFrame:
-    """The row at an absolute position; nothing if it isn't written yet or overwritten."""
+def read_at(df: DataFrame, pos: int, capacity: int | None = None, key=KEY, order=("seq",)) -> DataFrame:
+    """The row at an absolute position; nothing if it isn't written yet, or overwritten where the ring has a ``capacity``."""
     p = with_position(df, key, order)
-    n = F.count("*").over(Window.partitionBy(*key))
-    return p.withColumn("_n", n).where((F.col("pos") == pos) & (F.col("pos") >= F.col("_n") - capacity)).drop("_n")
+    if capacity is not None:
+        n = F.count("*").over(Window.partitionBy(*key))
+        p = p.withColumn("_n", n).where(F.col("pos") >= F.col("_n") - capacity).drop("_n")
+    return p.where(F.col("pos") == pos)
 
 
 def since(df: DataFrame, cursor: int, cap: int | None = None, key=KEY, order=("seq",)) -> DataFrame:
