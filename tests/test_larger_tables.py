@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from tideloom.functions import scalars as sc
 from tideloom.plans import registry
 
 
@@ -33,3 +34,20 @@ def both(spark, name, path):
 def test_a_position_is_read_however_many_rows_follow(spark, tmp_path):
     got, want = both(spark, "b2_read_at", events(spark, tmp_path, 70_000, venues=("click",)))
     assert got == want and len(got) == 1
+
+
+def test_numbers_are_rounded_as_sql_rounds_them(spark, tmp_path):
+    halves = "CASE id % 4 WHEN 0 THEN (id % 2000 + 0.5D) / 1000D WHEN 1 THEN 1 + id % 900 / 20D WHEN 2 THEN id % 4000 / 64D ELSE 1e3D + (id % 1000) * 50D END / (1 - (5 + id % 20) / 1e4D)"
+    got, want = both(spark, "h12_formatting", events(spark, tmp_path, 20_000, value=halves))
+    assert got == want
+
+
+def test_short_numbers(spark):
+    values = [0.5, 1.5, 998.5, 999.5, -0.4, 1e3, 1250.0, 1350.0, 74850.0, 249850.0, -1150.0, 999_950.0, 1e6, 1.25e6, 1.15e6, 4.5e21, 123.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r[1] for r in df.select("i", sc.short_number("x")).orderBy("i").collect()]
+    c = lambda v: "-" if v is None else f"{v / 1e6:.1f}M" if abs(v) >= 1e6 else f"{v / 1e3:.1f}K" if abs(v) >= 1e3 else f"{v:.0f}"
+    assert got == [c(v) for v in values]
+    df = spark.range(50_000).selectExpr("(xxhash64(id) % 100000000) / 2048D AS x").union(spark.range(50_000).selectExpr("(xxhash64(id) % 2000000) / 20D"))
+    rows = df.select("x", sc.one_decimal("x").alias("s")).collect()
+    assert [r["s"] for r in rows] == [f"{r['x']:.1f}" for r in rows]

@@ -94,9 +94,24 @@ def fills_per_hour(n: str, elapsed_s: str) -> Column:
     return F.expr(f"CASE WHEN {elapsed_s} > 0 THEN {n} * 3600D / least({elapsed_s}, 3600D) END")
 
 
+def one_decimal(x: str) -> Column:
+    """A number as C prints it by %.1f: its exact binary value rounded half to even (Java rounds its shortest decimals half up).
+
+    Ten times the fraction is the sum ``_s + _e`` of two doubles, exactly; from 9.2e18 on there is no fraction, and Java prints the digits.
+    """
+    a = f"abs({x})"
+    f8, f2 = f"({a} - floor({a})) * 8D", f"({a} - floor({a})) * 2D"
+    s = f"({f8} + {f2})"
+    e = f"({f2} - ({s} - {f8}))"
+    n = f"CAST(CASE WHEN abs({s} - rint({s})) = 0.5D AND {e} <> 0D THEN floor({s}) + IF({e} > 0D, 1, 0) ELSE rint({s}) END AS BIGINT)"
+    return F.expr(f"CASE WHEN {a} < 9.2e18D THEN concat(IF({x} < 0D, '-', ''), floor({a}) + {n} DIV 10, '.', {n} % 10) ELSE format_string('%.1f', {x}) END")
+
+
 def short_number(x: str) -> Column:
-    """1234 -> 1.2K, 2500000 -> 2.5M."""
-    return F.expr(f"CASE WHEN {x} IS NULL THEN '-' WHEN abs({x}) >= 1e6D THEN concat(format_string('%.1f', {x} / 1e6D), 'M') WHEN abs({x}) >= 1e3D THEN concat(format_string('%.1f', {x} / 1e3D), 'K') ELSE format_string('%.0f', {x}) END")
+    """1234 -> 1.2K, 2500000 -> 2.5M; rounded as C's printf does."""
+    v = F.expr(x)
+    short = F.when(F.abs(v) >= 1e6, F.concat(one_decimal(f"({x}) / 1e6D"), F.lit("M"))).when(F.abs(v) >= 1e3, F.concat(one_decimal(f"({x}) / 1e3D"), F.lit("K")))
+    return F.when(v.isNull(), "-").otherwise(short.otherwise(F.format_string("%.0f", F.rint(v))))
 
 
 # concentrated liquidity -------------------------------------------------------------------------------------------------
