@@ -51,3 +51,24 @@ def test_short_numbers(spark):
     df = spark.range(50_000).selectExpr("(xxhash64(id) % 100000000) / 2048D AS x").union(spark.range(50_000).selectExpr("(xxhash64(id) % 2000000) / 20D"))
     rows = df.select("x", sc.one_decimal("x").alias("s")).collect()
     assert [r["s"] for r in rows] == [f"{r['x']:.1f}" for r in rows]
+
+
+def test_clock_average_streams_by_in_order(spark):
+    from tideloom.operators import cleaning
+
+    raw = 1_704_067_200_000_000_123
+    rows = [(v, "s", i, None if i % 5 == 0 else raw + 1_000_000 * i + (i * 7919) % 3_000_001, raw + 1_000_000 * i, 0) for v in ("a", None, "b") for i in range(700)]
+    df = spark.createDataFrame(rows, "venue string, symbol string, seq long, received_ts_ns long, exchange_ts_raw_ns long, exchange_ts_ns long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        out = cleaning.clock_correct_ewma(df)
+        got = {(r["venue"], r["seq"]): (r["clock_offset_ns"], r["exchange_ts_ns"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    acc, want = {}, {}
+    for v, _, i, rc, ex, _ in rows:
+        if rc is not None and (d := rc - ex - 1_000_000) < 0:
+            acc[v] = int(0.999 * acc.get(v, 0) + (1 - 0.999) * d)
+        want[v, i] = (acc.get(v, 0), ex + acc.get(v, 0))
+    assert got == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no task holds a key's history

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,25 +46,38 @@ def clock_correct_max(df: DataFrame, min_latency_ms: float = 1.0, key=KEY, bucke
 
 
 def clock_correct_ewma(df: DataFrame, min_latency_ms: float = 1.0, decay: float = 0.999, key=KEY) -> DataFrame:
-    """As above with an average that moves on negative excesses only and is truncated to whole nanoseconds at each step."""
+    """As above with an average that moves on negative excesses only and is truncated to whole nanoseconds at each step.
+
+    The truncation doesn't compose, so a key's rows stream by in order through one task, sorted by Spark; only the average is held.
+    """
     out = T.StructType([*[f for f in df.schema.fields if f.name != "clock_offset_ns"], T.StructField("clock_offset_ns", T.LongType())])
     names = [f.name for f in out]
     least = int(min_latency_ms * 1e6)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        off, acc = np.zeros(len(pdf), np.int64), 0
-        known = (pdf["received_ts_ns"].notna() & pdf["exchange_ts_raw_ns"].notna()).to_numpy()
-        delta = (pdf["received_ts_ns"] - pdf["exchange_ts_raw_ns"]).fillna(0).to_numpy() - least
-        for i, (k, d) in enumerate(zip(known.tolist(), delta.tolist())):
-            if k and d < 0:
-                acc = int(decay * acc + (1 - decay) * d)
-            off[i] = min(acc, 0)
-        pdf["clock_offset_ns"] = off
-        pdf["exchange_ts_ns"] = pdf["exchange_ts_raw_ns"] + off
-        return pdf[names]
-
-    return df.groupBy(*key).applyInPandas(run, out)
+    def run(batches):
+        now, acc = None, 0
+        for b in batches:
+            codes = np.stack([b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in key])
+            starts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            delta = pc.subtract(b.column("received_ts_ns"), b.column("exchange_ts_raw_ns")).cast(pa.int64())
+            delta = pc.subtract(delta, least).fill_null(0).to_numpy(zero_copy_only=False)
+            off = np.zeros(b.num_rows, np.int64)
+            for lo, hi in zip(starts, starts[1:]):
+                if hi == lo:
+                    continue
+                k = tuple(b.column(c)[lo].as_py() for c in key)
+                if k != now:
+                    now, acc = k, 0
+                moves, seen = np.flatnonzero(delta[lo:hi] < 0), [acc]
+                for d in delta[lo:hi][moves].tolist():
+                    acc = int(decay * acc + (1 - decay) * d)
+                    seen.append(acc)
+                off[lo:hi] = np.minimum(seen, 0)[np.searchsorted(moves, np.arange(hi - lo), "right")]
+            cols = dict(zip(b.schema.names, b.columns)) | {"clock_offset_ns": pa.array(off)}
+            cols["exchange_ts_ns"] = pc.add(b.column("exchange_ts_raw_ns").cast(pa.int64()), cols["clock_offset_ns"])
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+
+    return df.repartition(*key).sortWithinPartitions(*key, F.col("seq").asc_nulls_last()).mapInArrow(run, out)
 
 
 def grid_sample(df: DataFrame, step_ns: int, key=KEY, ts: str = "exchange_ts_ns") -> DataFrame:
