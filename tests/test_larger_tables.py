@@ -72,3 +72,24 @@ def test_clock_average_streams_by_in_order(spark):
         want[v, i] = (acc.get(v, 0), ex + acc.get(v, 0))
     assert got == want
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no task holds a key's history
+
+
+def test_bias_by_buckets_equals_one_sequence(spark):
+    from tideloom.operators import fairprice
+
+    rows = [("g", v, "s", i, 10**18 + (i // 2) * 40_000_000_000, (i * 37 % 101) / 50.0 + b, b) for v, b in (("a", 0.0), ("b", 0.3)) for i in range(600)]
+    obs = spark.createDataFrame(rows, "grp string, venue string, symbol string, seq long, ts_ns long, log_mid double, bias double")
+    fair = spark.createDataFrame([("g", 10**18, 0.1), ("g", 10**18 + 10**13, 0.4)], "grp string, snap_ts_ns long, log_fair_price double")
+    got = [{(r["venue"], r["seq"]): r["bias_ewma"] for r in fairprice.gg_bias(obs, fair, 500_000.0, bucket_ns=n).collect()} for n in (10**11, 10**18)]
+    want = {}
+    for v in "ab":
+        w, at = 0.0, 0
+        for _, _, _, i, t, lm, bias in [r for r in rows if r[1] == v]:
+            b = bias if i == 0 else b
+            a = 1 - 2 ** (-((t - at) / 1e6 if at else 0.0) / 500_000.0)
+            if a > 0:
+                w = a + (1 - a) * w
+                b += a / w * (lm - (0.4 if t >= 10**18 + 10**13 else 0.1) - b)
+            at, want[v, i] = t, b
+    for one in got:
+        assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-12 for k in want)

@@ -96,22 +96,11 @@ def output(g: DataFrame, h_per_ms: float) -> DataFrame:
     return g.withColumn("fair_price", F.exp(F.col("log_fair_price") + F.col("p") / 2)).withColumn("uncertainty_bps", F.sqrt("p") * 1e4).withColumn("vol_ann_pct", F.lit(float(np.sqrt(h_per_ms * MS_PER_YEAR)) * 100))
 
 
-def gg_bias(obs: DataFrame, fair: DataFrame, halflife_ms: float) -> DataFrame:
+def gg_bias(obs: DataFrame, fair: DataFrame, halflife_ms: float, bucket_ns: int = DAY_NS) -> DataFrame:
     """Bias of each member by a weighted EWMA of its residuals against the fair price before it (off unless called)."""
     j = asof_join(obs, fair.select("grp", "snap_ts_ns", "log_fair_price"), ["grp"], "ts_ns", "snap_ts_ns", prefix="f_").where("f_log_fair_price IS NOT NULL")
-
-    def step(res, ts, bias0):
-        out, w, b, at = np.empty(len(res)), 0.0, bias0[0] if len(res) else 0.0, 0
-        for i, (r, t) in enumerate(zip(res.tolist(), ts.tolist())):
-            a = 1 - np.exp(-(max(t - at, 0) / 1e6 if at else 0.0) * LN2 / halflife_ms)
-            if a > 0:
-                w = a + (1 - a) * w
-                b += a / w * (r - b)
-            at, out[i] = t, b
-        return out
-
     j = j.withColumn("_res", F.col("log_mid") - F.col("f_log_fair_price"))
-    return folds.path(j, ["grp", "venue", "symbol"], ["ts_ns", "seq"], ["_res", "ts_ns", "bias"], step, {"bias_ewma": "double"}).drop("_res")
+    return folds.scan(j, ["grp", "venue", "symbol"], ["ts_ns", "seq"], ["_res", "ts_ns", "bias"], folds.BiasEwma(halflife_ms), {"bias_ewma": "double"}, bucket_ns).drop("_res")
 
 
 def kalman(obs: DataFrame, step_ns: int, h_per_ms: float, h_bias_per_ms: float = 0.0, bias_init_p: float = 1e-6, noise: Column | None = None, rows: str = "snaps", bucket_ns: int = DAY_NS) -> DataFrame:

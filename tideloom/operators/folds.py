@@ -212,6 +212,32 @@ class SpreadEwma:
         return spread_ewma(x, ts_ns, self.halflife, *st, int(began[0]))
 
 
+class BiasEwma:
+    """Recurrence of ``bias_ewma``: a bucket's rows after its first map (w, w b) linearly; the first row waits for the time before the bucket."""
+
+    map = {"r": "double", "t": "bigint", "bias": "double", "d": "double", "w": "double", "wb": "double", "last_t": "bigint"}
+    state = {"_st_t": "bigint", "_st_w": "double", "_st_wb": "double", "_st_bias": "double"}
+    start = (0, 0.0, 0.0, None)
+
+    def __init__(self, halflife_ms: float):
+        self.halflife = halflife_ms
+
+    def fold(self, res, ts_ns, bias):
+        d, w, wb = 1.0, 0.0, 0.0
+        for r, a in zip(res[1:].tolist(), _bias_gains(ts_ns, int(ts_ns[0]), self.halflife)[1:].tolist()):
+            d, w, wb = (1 - a) * d, a + (1 - a) * w, a * r + (1 - a) * wb
+        return float(res[0]), int(ts_ns[0]), float(bias[0]), d, w, wb, int(ts_ns[-1])
+
+    def after(self, st, m):
+        r, t, bias, d, w, wb, last_t = m
+        a = float(_bias_gains(np.array([t]), st[0], self.halflife)[0])
+        return int(last_t), d * (a + (1 - a) * st[1]) + w, d * (a * r + (1 - a) * st[2]) + wb, bias if st[3] is None else st[3]
+
+    def run(self, st, res, ts_ns, bias):
+        t, w, wb, b0 = st
+        return bias_ewma(res, ts_ns, self.halflife, int(t), w, wb / w if w > 0 else bias[0] if b0 is None or b0 != b0 else b0)
+
+
 def ewma(x, alpha: float, n: float = 0.0, s: float = np.nan):
     """s_0 = x_0, s_i = alpha x_i + (1 - alpha) s_(i-1); goes on from ``s`` where ``n`` rows came before."""
     out = np.empty(len(x))
@@ -289,3 +315,20 @@ def spread_ewma(half_spread, ts_ns, halflife_ms: float, s: float = 0.0, at: int
         s, at = (1 - d) * v + d * s, t
         out[i] = s
     return out
+
+
+def _bias_gains(ts_ns, at: int, halflife_ms: float):
+    """The weight of each row by the time since the one before it (since ``at`` for the first); 0 where nothing came before."""
+    before = np.concatenate([[at], ts_ns[:-1]])
+    return 1 - np.exp(-np.where(before != 0, np.maximum(ts_ns - before, 0), 0) / 1e6 * LN2 / halflife_ms)
+
+
+def bias_ewma(res, ts_ns, halflife_ms: float, at: int, w: float, b: float):
+    """Time-weighted EWMA of residuals by cumulative weight ``w``: b stays where no time has passed."""
+    out = np.empty(len(res))
+    for i, (r, a) in enumerate(zip(res.tolist(), _bias_gains(ts_ns, at, halflife_ms).tolist())):
+        if a > 0:
+            w = a + (1 - a) * w
+            b += a / w * (r - b)
+        out[i] = b
+    return out

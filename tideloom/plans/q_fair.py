@@ -54,7 +54,7 @@ q("g1_kalman", lambda s, d: kalman(s, d).drop("biases"), [MEMQ, *ms.kalman(HOUR_
 q("g6_predict_only", lambda s, d: kalman(s, d, HOUR_NS // 4).where("n_ticks_used = 0").drop("biases"), [MEMQ, *ms.kalman(HOUR_NS // 4, *KF)], SNAP + " WHERE n = 0", True, digits=5)
 TICK = ["log_mid", "tau_ms", "q", "p_pre", "innovation", "s", "gain", "y_post", "p_post"]
 q("a19_innovations", lambda s, d: kalman(s, d, rows="ticks"), [MEMQ, *ms.kalman(HOUR_NS, *KF)], f"SELECT grp, snap_ts_ns, tick_ts_ns, member_idx, {r(*TICK, digits=5)} FROM kt", True, digits=5)
-q("g11_gg_bias", lambda s, d: fp.gg_bias(obs(s, d), gg(s, d), 3_600_000.0).select("grp", "venue", "seq", "bias_ewma"), [MEMQ, GG, *ms.GG_BIAS], f"SELECT grp, venue, seq, {r('b AS bias_ewma')} FROM ge", True)
+q("g11_gg_bias", lambda s, d: fp.gg_bias(obs(s, d).select("grp", *KEY, "seq", "ts_ns", "log_mid", "bias"), gg(s, d), 3_600_000.0).select("grp", "venue", "seq", "bias_ewma"), [MEMQ, GG, *ms.GG_BIAS], f"SELECT grp, venue, seq, {r('b AS bias_ewma')} FROM ge", True)
 q("e26_kalman_members", lambda s, d: st.member_report(kalman(s, d, rows="ticks").select("grp", "snap_ts_ns", F.concat_ws("-", "grp", "member_idx").alias("venue"), "log_mid", "s"), kalman(s, d).select("grp", "snap_ts_ns", F.col("log_fair_price").alias("y"))),
   [MEMQ, *ms.kalman(HOUR_NS, *KF), "kn AS (SELECT grp, snap_ts_ns, y, lead(y) OVER (PARTITION BY grp ORDER BY snap_ts_ns) AS nx FROM ks), kj AS (SELECT kt.grp || '-' || member_idx AS venue, s, log_mid - y AS e, nx - y AS d FROM kt JOIN kn ON kt.grp = kn.grp AND kt.snap_ts_ns = kn.snap_ts_ns)"],
   f"SELECT venue, count(*) AS n, {r('avg(e) AS bias_error', 'var_samp(e) / avg(s) AS noise_ratio', 'regr_slope(d, e) AS edge_beta', 'avg(CASE WHEN e <> 0 AND d <> 0 THEN (sign(e) = sign(d))::INT END) AS hit_rate', digits=4)} FROM kj GROUP BY venue", True, digits=4)
