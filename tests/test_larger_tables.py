@@ -1,17 +1,22 @@
 """Registered queries on tables that the given ones don't reach: long histories of a venue, values between two roundings, large micro-batches."""
 
+import math
+from pathlib import Path
+
 import duckdb
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from tideloom.functions import scalars as sc
-from tideloom.plans import registry
+from tideloom.plans import q_live, registry
 
 
-def events(spark, path, rows, value="1 + id % 977 / 10D", venues=("click", "view", "error")):
-    """An events table of ``rows`` rows; 7 seconds and some between two."""
+def events(spark, path, rows, value="1 + id % 977 / 10D", venues=("click", "view", "error"), gap_us=7_003_001):
+    """An events table of ``rows`` rows, ``gap_us`` between two."""
     names = ", ".join(f"'{v}'" for v in venues)
     e = spark.range(rows).selectExpr(
-        "id AS event_id", "timestamp_micros(1704067200000000 + id * 7003001) AS ts", "id % 11 AS user_id",
+        "id AS event_id", f"timestamp_micros(1704067200000000 + id * {gap_us}) AS ts", "id % 11 AS user_id",
         f"element_at(array({names}), CAST(pmod(hash(id), {len(venues)}) AS INT) + 1) AS event_type", f"{value} AS value", "'{}' AS props")
     e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(1).sortWithinPartitions("event_id").write.parquet(f"{path}/written")
     file, = (path / "written").glob("*.parquet")
@@ -28,7 +33,8 @@ def both(spark, name, path):
     rows = [dict(zip([c[0] for c in want.description], r)) for r in want.fetchall()]
     got = registry.QUERIES[name](spark, path)
     assert sorted(got.columns) == cols
-    return sorted(tuple(r[c] for c in cols) for r in got.collect()), sorted(tuple(r[c] for c in cols) for r in rows)
+    whole = lambda r: repr([v for v in r if v is not None and not isinstance(v, float)])
+    return [sorted((tuple(r[c] for c in cols) for r in some), key=whole) for some in (got.collect(), rows)]
 
 
 def test_a_position_is_read_however_many_rows_follow(spark, tmp_path):
@@ -93,3 +99,17 @@ def test_bias_by_buckets_equals_one_sequence(spark):
             at, want[v, i] = t, b
     for one in got:
         assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("name", ["j6_stream_clock"])
+def test_micro_batches_are_bounded(spark, tmp_path, monkeypatch, name):
+    path = events(spark, tmp_path, 2_600, venues=("click", "view", "purchase", "signup", "error"), gap_us=700_300_001)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("tideloom/live-*"))
+    monkeypatch.setattr(q_live, "PART_ROWS", 600, raising=False)
+    got, want = both(spark, name, path)
+    assert len(got) == len(want) and len(got) > 4
+    for x, y in zip(got, want):
+        assert all(u == v or math.isclose(u, v, rel_tol=1e-9, abs_tol=2e-4) for u, v in zip(x, y)), (x, y)
+    landed = [pq.read_metadata(f).num_rows for x in set(shared.glob("tideloom/live-*")) - before for f in x.glob("in-*/*.parquet")]
+    assert sum(landed) >= 2_600 and max(landed) <= 650

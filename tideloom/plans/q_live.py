@@ -1,13 +1,15 @@
 """Live forms: feeds through the landing source, and keyed state with timers, initial state and expiry.
 
-Every stream here runs in ``PARTS`` micro-batches with a restart between them: the next part of the tables lands, and the query goes on from its
-checkpoint.
+Every stream here runs in ``PARTS`` micro-batches or more with a restart between them: the next part of the tables lands, and the query goes on
+from its checkpoint. What a key's state and task hold is bounded by a micro-batch, so streams whose rows wait for the watermark (and those of
+``q_stream`` that sort a key's rows) take parts of about ``PART_ROWS`` rows, as many as there are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import fairprice as fp
 from ..sources import feeds, landing
@@ -24,6 +26,7 @@ from .q_sources import SQL as SOURCES
 
 QUERIES, SQL = {}, {}
 PARTS = 3
+PART_ROWS = 500_000
 
 
 def q(name, fn, select=None, digits=6):
@@ -43,6 +46,22 @@ def edges_of(df: DataFrame, ts: str, n: int = PARTS) -> list[int]:
     return [] if lo is None else [lo + (hi - lo) * k // n for k in range(1, n)]
 
 
+def even_edges(df: DataFrame, ts: str, least: int = PARTS, rows: int | None = None) -> list[int]:
+    """Values of ``ts`` that cut ``df`` into parts of about ``rows`` (``PART_ROWS``) rows, ``least`` parts at least. Rows of one value stay together."""
+    n = max(least, -(-df.count() // (rows or PART_ROWS)))
+    cuts = df.agg(F.percentile_approx(ts, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    return sorted(set(cuts or []))
+
+
+def staged(df: DataFrame, ts: str, edges: list[int]) -> list[DataFrame]:
+    """``df`` cut at ``edges``, worked out once: written by part, so that each part is read without the others."""
+    path = scratch(df.sparkSession, "parts")
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(ts))) if edges else F.lit(0)
+    df.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(path)
+    whole = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    return [whole.where(F.col("_part") == k).drop("_part") for k in range(len(edges) + 1)]
+
+
 def in_parts(spark: SparkSession, tables: dict[str, list[DataFrame]], op) -> DataFrame:
     """Rows that ``op`` (streams by name to a stream) has written when the parts of ``tables`` have landed one after another."""
     path = scratch(spark, "live")

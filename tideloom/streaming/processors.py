@@ -16,6 +16,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,9 @@ def _together(parts) -> pd.DataFrame:
 
 
 class FairPrice(StatefulProcessor):
-    """State of a group: the filter (x, p, time, next interval) and the ticks that wait for the watermark."""
+    """State of a group: the filter (x, p, time, next interval) and the ticks that wait for the watermark, as packed arrays (48 bytes a tick)."""
+
+    ROW = np.dtype([("ts_ns", "<i8"), ("member", "<i8"), ("seq", "<i8"), ("log_mid", "<f8"), ("noise", "<f8"), ("noise_var", "<f8")])
 
     def __init__(self, step_ns: int, h: float, h_bias: float, bias_init_p: float):
         self.step, self.h, self.h_bias, self.init_p = step_ns, h, h_bias, bias_init_p
@@ -54,15 +58,26 @@ class FairPrice(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.filter = handle.getValueState("filter", "x array<double>, p array<double>, at long, next long")
-        self.waiting = handle.getListState("waiting", "ts_ns long, member int, seq long, log_mid double, noise double, biases array<double>, noise_var double")
+        self.waiting = handle.getListState("waiting", "ticks binary")
+        self.biases = handle.getValueState("biases", "biases array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _together(rows)
-        self.waiting.appendList([(int(r.ts_ns), int(r.member), int(r.seq), float(r.log_mid), float(r.noise), [float(b) for b in r.biases], float(r.noise_var)) for r in pdf.itertuples()])
+        least = None
+        for pdf in rows:
+            if len(pdf) and not self.biases.exists():
+                self.biases.update(([float(b) for b in pdf["biases"].iat[0]],))
+            packed = np.empty(len(pdf), self.ROW)
+            for c in self.ROW.names:
+                packed[c] = pdf[c].to_numpy()
+            self.waiting.appendList([(packed.tobytes(),)])
+            if len(pdf):
+                least = min(int(packed["ts_ns"].min()), least) if least is not None else int(packed["ts_ns"].min())
+        if least is None:
+            return iter(())
         if not self.filter.exists() and not list(self.handle.listTimers()):
-            self._wait(int(pdf["ts_ns"].min()))
+            self._wait(least)
         elif not self.filter.exists():
-            first, now = min(self.handle.listTimers()), self._end_ms((int(pdf["ts_ns"].min()) - 1) // self.step)
+            first, now = min(self.handle.listTimers()), self._end_ms((least - 1) // self.step)
             if now < first:
                 self.handle.deleteTimer(first)
                 self.handle.registerTimer(now)
@@ -76,22 +91,26 @@ class FairPrice(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        ticks = sorted(self.waiting.get())
+        ticks = np.concatenate([np.empty(0, self.ROW), *(np.frombuffer(r[0], self.ROW) for r in self.waiting.get())])
+        ticks = ticks[np.lexsort((ticks["seq"], ticks["member"], ticks["ts_ns"]))]
         if self.filter.exists():
             xs, ps, at, b = self.filter.get()
             x, p = np.array(xs), np.array(ps).reshape(len(xs), -1)
         else:
             first = ticks[0]
-            x, k = np.array([0.0, *first[5]]), first[1] + 1
-            x[0] = first[3] - x[k]
-            p = np.diag([first[6], *[self.init_p] * (len(x) - 1)])
-            at, b = first[0], (first[0] - 1) // self.step
+            x, k = np.array([0.0, *self.biases.get()[0]]), int(first["member"]) + 1
+            x[0] = first["log_mid"] - x[k]
+            p = np.diag([float(first["noise_var"]), *[self.init_p] * (len(x) - 1)])
+            at = int(first["ts_ns"])
+            b = (at - 1) // self.step
         began = self.filter.exists()
         grow, i, out = np.diag([self.h, *[self.h_bias] * (len(x) - 1)]), 0, []
+        due = ticks[: int(np.searchsorted(ticks["ts_ns"], mark * 1_000_000, "right"))]  # what ends by the mark lies before it
+        ts_of, z_of = due["ts_ns"].tolist(), zip(due["member"].tolist(), due["log_mid"].tolist(), due["noise"].tolist())
         while self._end_ms(b) <= mark:  # a timer at the mark itself is spent, so nothing may wait there
             end, p0, used, began = (b + 1) * self.step, p[0, 0] if began else 0.0, 0, True
-            while i < len(ticks) and ticks[i][0] <= end:
-                ts, member, _, log_mid, noise = ticks[i][:5]
+            while i < len(ts_of) and ts_of[i] <= end:
+                ts, (member, log_mid, noise) = ts_of[i], next(z_of)
                 p += grow * max((ts - at) / 1e6, 0.0)
                 observe(x, p, member + 1, log_mid, noise)
                 at, used, i = ts, used + 1, i + 1
@@ -102,8 +121,8 @@ class FairPrice(StatefulProcessor):
         self.filter.update((x.tolist(), p.ravel().tolist(), int(at), int(b)))
         if i:
             self.waiting.clear()
-            if ticks[i:]:
-                self.waiting.put(ticks[i:])
+            if len(ticks) > i:
+                self.waiting.put([(ticks[i:].tobytes(),)])
         self.handle.registerTimer(self._end_ms(b))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in SNAPS.split(", ")])
 
@@ -131,40 +150,61 @@ def fair_price(ticks: DataFrame, members: DataFrame, step_ns: int, h_per_ms: flo
 
 
 class Asof(StatefulProcessor):
-    """State of a key: rows of both sides (as JSON) that wait for the watermark, and the newest right row before it."""
+    """State of a key: rows of both sides (as JSON, in packed Arrow tables) that wait for the watermark, and the newest right row before it."""
+
+    ROW = pa.schema([("at", pa.int64()), ("side", pa.int32()), ("nth", pa.int64()), ("row", pa.large_string())])
+    SLICE = 10_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, side int, nth long, row string")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.newest = handle.getValueState("newest", "at long, row string")
 
+    def _packed(self, t: pa.Table) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.ROW, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            w.write_table(t)
+        return (sink.getvalue().to_pybytes(),)
+
+    def _held(self) -> pa.Table:
+        """What waits, by time; right rows before left ones of the same time."""
+        t = pa.concat_tables([self.ROW.empty_table(), *(pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get())]).combine_chunks()
+        return t.take(pc.sort_indices(t, [(c, "ascending") for c in self.ROW.names]))
+
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _together(rows)
-        self.waiting.appendList([(int(t), int(s), int(n), r) for t, s, n, r in zip(pdf["at"], pdf["side"], pdf["nth"], pdf["row"])])
-        least, timers = -(-int(pdf["at"].min()) // 1_000_000), sorted(self.handle.listTimers())
-        if not timers or least < timers[0]:
+        least = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList([self._packed(pa.Table.from_pandas(pdf[self.ROW.names], self.ROW, preserve_index=False))])
+                first = -(-int(pdf["at"].min()) // 1_000_000)
+                least = first if least is None else min(first, least)
+        timers = sorted(self.handle.listTimers())
+        if least is not None and (not timers or least < timers[0]):
             for t in timers:
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(least)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark, rows = timerValues.getCurrentWatermarkInMs(), sorted(self.waiting.get())
-        cut = sum(r[0] <= mark * 1_000_000 for r in rows)  # sorted by time, so these come first
-        now, out = self.newest.get() if self.newest.exists() else None, []
-        for at, side, _, row in rows[:cut]:
-            if side == 0:
-                now = (at, row)
-            else:
-                out.append((*key, row, now[1] if now else None))
-        if now:
-            self.newest.update(now)
+        mark, rows = timerValues.getCurrentWatermarkInMs(), self._held()
+        cut = int(np.searchsorted(rows["at"].to_numpy(), mark * 1_000_000, "right"))  # sorted by time, so these come first
+        now = self.newest.get() if self.newest.exists() else None
+        rights = np.flatnonzero(rows["side"].to_numpy()[:cut] == 0)
+        if len(rights):
+            self.newest.update((rows["at"][rights[-1]].as_py(), rows["row"][rights[-1]].as_py()))
         self.waiting.clear()
-        if rows[cut:]:
-            self.waiting.put(rows[cut:])
-            self.handle.registerTimer(-(-rows[cut][0] // 1_000_000))
-        if out:
-            yield pd.DataFrame(out, columns=[*(f"k{i}" for i in range(len(key))), "l", "r"])
+        if rows.num_rows > cut:
+            self.waiting.put([self._packed(rows.slice(cut))])
+            self.handle.registerTimer(-(-rows["at"][cut].as_py() // 1_000_000))
+        for lo in range(0, cut, self.SLICE):
+            some, out = rows.slice(lo, min(self.SLICE, cut - lo)), []
+            for at, side, row in zip(*(some[c].to_pylist() for c in ("at", "side", "row"))):
+                if side == 0:
+                    now = (at, row)
+                else:
+                    out.append((*key, row, now[1] if now else None))
+            if out:
+                yield pd.DataFrame(out, columns=[*(f"k{i}" for i in range(len(key))), "l", "r"])
 
     def close(self) -> None:
         pass

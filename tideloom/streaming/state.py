@@ -1,7 +1,8 @@
 """Keyed state for streams: stale drop, id dedup, clock correction, books, rolled bars.
 
 Each operator is ``groupBy(key).applyInPandasWithState``: rows of a micro-batch are taken in ``seq`` order, the state is a few numbers
-(or one JSON text), and a stream's result equals the batch operator's over the same rows if batches arrive in order.
+(or one JSON text), and a stream's result equals the batch operator's over the same rows if batches arrive in order. A key's rows of one
+micro-batch are held at once, so micro-batches must be bounded.
 """
 
 from __future__ import annotations
