@@ -48,7 +48,7 @@ def in_order(spark: SparkSession, df: DataFrame, op) -> DataFrame:
     return in_parts(spark, {"rows": staged(df, "seq", even_edges(df, "seq", 1))}, lambda rows: op(rows))
 
 
-q("j5_stream_stale_drop", lambda s, d: drained(s, state.drop_stale(adapters.ticks(_Reader(s), d))).select(*KEY, "seq"), sql([], "SELECT venue, seq FROM (SELECT venue, seq, exchange_ts_ns AS t, max(exchange_ts_ns) OVER (PARTITION BY venue ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ticks) WHERE m IS NULL OR t >= m"))
+q("j5_stream_stale_drop", lambda s, d: in_order(s, ticks(s, d).select(*KEY, "seq", "exchange_ts_ns"), state.drop_stale).select(*KEY, "seq"), sql([], "SELECT venue, seq FROM (SELECT venue, seq, exchange_ts_ns AS t, max(exchange_ts_ns) OVER (PARTITION BY venue ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ticks) WHERE m IS NULL OR t >= m"))
 q("j6_stream_clock", lambda s, d: in_order(s, ticks(s, d).select(*KEY, "seq", "exchange_ts_raw_ns", "exchange_ts_ns", "received_ts_ns"), lambda rows: state.clock_correct(rows, "max")).select(*KEY, "seq", "clock_offset_ns", "exchange_ts_ns"), CORE_SQL["c4_clock_max"])
 q("j2_stream_bars", lambda s, d: drained(s, state.rolled_bars(adapters.ticks(_Reader(s), d), 6, BASE_MS)), sql([BARS_SQL, ROLL], f"SELECT venue, ot AS open_time_ms, {r('open', 'high', 'low', 'close', 'volume')}, n_src FROM rb WHERE n // 21600000 > t // 21600000 AND t + 3600000 >= n // 21600000 * 21600000"))
 q("j9_stream_book", lambda s, d: drained(s, state.book_tops(adapters.book_updates(_Reader(s), d))).groupBy(*KEY).agg(F.max_by(F.struct("bid", "ask", "bid_qty", "ask_qty"), "seq").alias("q")).select(*KEY, "q.*"), CORE_SQL["j9_book_top"])
