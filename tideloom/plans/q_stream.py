@@ -51,7 +51,7 @@ def in_order(spark: SparkSession, df: DataFrame, op) -> DataFrame:
 q("j5_stream_stale_drop", lambda s, d: in_order(s, ticks(s, d).select(*KEY, "seq", "exchange_ts_ns"), state.drop_stale).select(*KEY, "seq"), sql([], "SELECT venue, seq FROM (SELECT venue, seq, exchange_ts_ns AS t, max(exchange_ts_ns) OVER (PARTITION BY venue ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ticks) WHERE m IS NULL OR t >= m"))
 q("j6_stream_clock", lambda s, d: in_order(s, ticks(s, d).select(*KEY, "seq", "exchange_ts_raw_ns", "exchange_ts_ns", "received_ts_ns"), lambda rows: state.clock_correct(rows, "max")).select(*KEY, "seq", "clock_offset_ns", "exchange_ts_ns"), CORE_SQL["c4_clock_max"])
 q("j2_stream_bars", lambda s, d: drained(s, state.rolled_bars(adapters.ticks(_Reader(s), d), 6, BASE_MS)), sql([BARS_SQL, ROLL], f"SELECT venue, ot AS open_time_ms, {r('open', 'high', 'low', 'close', 'volume')}, n_src FROM rb WHERE n // 21600000 > t // 21600000 AND t + 3600000 >= n // 21600000 * 21600000"))
-q("j9_stream_book", lambda s, d: drained(s, state.book_tops(adapters.book_updates(_Reader(s), d))).groupBy(*KEY).agg(F.max_by(F.struct("bid", "ask", "bid_qty", "ask_qty"), "seq").alias("q")).select(*KEY, "q.*"), CORE_SQL["j9_book_top"])
+q("j9_stream_book", lambda s, d: in_order(s, adapters.book_updates(s, d), state.book_tops).groupBy(*KEY).agg(F.max_by(F.struct("bid", "ask", "bid_qty", "ask_qty"), "seq").alias("q")).select(*KEY, "q.*"), CORE_SQL["j9_book_top"])
 
 q("a18_lead_lag_rows", lambda s, d: files.lead_lag_rows(cleaning.grid_sample(ticks(s, d), 6 * HOUR_NS)).select("sample_ts", "exchange", "bid", "ask", "exchange_ts"), sql(["bk AS (SELECT venue, exchange_ts_ns // 21600000000000 AS b, arg_max({'bid': bid, 'ask': ask, 't': exchange_ts_ns}, seq) AS q FROM ticks GROUP BY ALL)", "gr AS (SELECT venue, unnest(range(min(b), (SELECT max(b) FROM bk) + 1)) AS b FROM bk GROUP BY venue)", "cf AS (SELECT gr.venue, gr.b, last_value(q IGNORE NULLS) OVER (PARTITION BY gr.venue ORDER BY gr.b ROWS UNBOUNDED PRECEDING) AS q FROM gr LEFT JOIN bk USING (venue, b))"], f"SELECT (b + 1) * 21600000000000 AS sample_ts, venue AS exchange, {r('q.bid AS bid', 'q.ask AS ask')}, q.t AS exchange_ts FROM cf"))
 q("m3_garch_filter", lambda s, d: folds.path(snaps(s, d).where("log_return IS NOT NULL").select(*KEY, "snap_ts_ns", "log_return"), KEY, ["snap_ts_ns"], ["log_return"], lambda x: cal.variance_lanes(x, 0.1, 0.8, 0.01, 1.0, paths=True)[:, 0], {"h": "double"}).select(*KEY, "snap_ts_ns", "h"),
