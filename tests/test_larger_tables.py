@@ -101,7 +101,7 @@ def test_bias_by_buckets_equals_one_sequence(spark):
         assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-12 for k in want)
 
 
-@pytest.mark.parametrize("name", ["j5_stream_stale_drop", "j6_stream_clock", "j9_stream_book", "g1_stream_kalman", "g6_stream_predict_only"])
+@pytest.mark.parametrize("name", ["j5_stream_stale_drop", "j6_stream_clock", "j9_stream_book", "g1_stream_kalman", "g6_stream_predict_only", "g8_stream_quotes"])
 def test_micro_batches_are_bounded(spark, tmp_path, monkeypatch, name):
     path = events(spark, tmp_path, 2_600, venues=("click", "view", "purchase", "signup", "error"), gap_us=700_300_001)
     shared = Path(spark.conf.get("spark.checkpoint.dir"))
